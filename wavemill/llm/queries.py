@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import counts, mixing, urls
+from wavemill.llm import counts, mixing, packing, token_store, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +21,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The contract's tokenizer, its end id, and the bytes of an id in the payload (its vocabulary has 49,408 entries).
+PACK_TOKENIZER, END_ID, ID_BYTES = "word_bpe_49k.json", 2, 2
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write_store(_table(spark, sf_dir, "documents"), tokenizer_path(PACK_TOKENIZER), END_ID)
+    return store.documents().select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(PACK_TOKENIZER), 4096, END_ID)
+    return packing.read_pieces(pieces, ID_BYTES, with_ids=False)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
@@ -92,8 +106,10 @@ from (select *, unnest(generate_series(1, n)) as mix_copy from counted where n >
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_ids": op1_token_ids,
         "op4_token_counts": op4_token_counts,
         "op5_url_filters": op5_url_filters,
+        "op6_packing": op6_packing,
         "op10_mixing": op10_mixing,
     }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import counts, mixing, packing, token_store, urls
+from wavemill.llm import counts, langid, mixing, packing, token_store, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +39,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"), 3, 1)
+    parser = langid.fit(docs, ~out)
+    return langid.identify(docs.select("doc_id", out.alias("held_out"), "text"), parser, ["doc_id", "held_out"])
+
+
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
@@ -110,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_url_filters": op5_url_filters,
         "op6_packing": op6_packing,
+        "op7_language_id": op7_language_id,
         "op10_mixing": op10_mixing,
     }
 

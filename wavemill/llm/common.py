@@ -10,14 +10,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a file that share one part number (see ``with_rows``).
-PART_ROWS = 1 << 16
+PART_ROWS = 1 << 20
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -83,42 +85,64 @@ def text_of(df: DataFrame, column: str = "text"):
 
 
 class SideTable:
-    """A keyed table in the shared folder that a task reads by key, without a shuffle of the reading side.
+    """Pairs (item, value) by key in the shared folder, which a task reads by key without a shuffle of the reading side.
 
-    ``write`` lays rows (key long, payload binary) out in folders by ``pmod(key, spread)``; ``rows(key)``
-    gives the payloads of one key. A worker keeps the last folders that it has read, so a task that asks
-    for the keys of the rows that it scans reads each folder about once. ``spread`` grows with the data, so a folder stays small.
+    ``write`` takes rows (key, item, value), all long, and lays them out in folders by ``pmod(key, spread)``, one row per key with its items in order. The
+    items of one key must fit in memory: keys are the parts of ``with_rows``. ``find`` is a column expression: the value of an item
+    under a key, or null. A worker keeps the last keys that it has read, and a scan meets its parts one after another.
     """
 
-    def __init__(self, uri: str, spread: int, keep: int = 4):
-        self.uri, self.spread, self.keep = uri, spread, keep
+    def __init__(self, uri: str, spread: int):
+        self.uri, self.spread = uri, max(1, spread)
 
     def write(self, rows: DataFrame) -> SideTable:
+        items = F.sort_array(F.collect_list(F.struct("item", "value")))
         (
-            rows.select("key", "payload", F.pmod("key", F.lit(self.spread)).alias("slot"))
+            rows.groupBy("key")
+            .agg(items.alias("items"))
+            .select("key", F.col("items.item").alias("item"), F.col("items.value").alias("value"), F.pmod("key", F.lit(self.spread)).alias("slot"))
             .repartition("slot")
             .write.partitionBy("slot")
             .parquet(self.uri)
         )
         return self
 
-    def rows(self, key: int) -> list[bytes]:
-        import pyarrow.compute as pc
-        import pyarrow.parquet as pq
-
-        cache = _folders.setdefault(self.uri, {})
-        slot = key % self.spread
-        if slot not in cache:
-            while len(cache) >= self.keep:
+    def _load(self, key: int) -> tuple[np.ndarray, np.ndarray]:
+        """Items, in order, and their values."""
+        cache = _loaded.setdefault(self.uri, {})
+        if key not in cache:
+            while len(cache) >= 4:
                 cache.pop(next(iter(cache)))
             fs, base = filesystem(self.uri)
-            found = fs.get_file_info(pafs.FileSelector(f"{base}/slot={slot}", allow_not_found=True))
-            parts = [pq.ParquetFile(fs.open_input_file(f.path)).read() for f in found if f.path.endswith(".parquet")]
-            cache[slot] = pa.concat_tables(parts) if parts else None
-        table = cache[slot]
-        if table is None:
-            return []
-        return table.filter(pc.equal(table["key"], key))["payload"].to_pylist()
-
-
-_folders: dict[str, dict] = {}
+            found = fs.get_file_info(pafs.FileSelector(f"{base}/slot={key % self.spread}", allow_not_found=True))
+            cache[key] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for f in found:
+                if f.path.endswith(".parquet"):
+                    with fs.open_input_file(f.path) as handle:
+                        table = pq.read_table(handle, filters=[("key", "=", key)])
+                    if table.num_rows:
+                        cache[key] = tuple(table[c].combine_chunks().values.to_numpy() for c in ("item", "value"))
+        return cache[key]
+
+    def values(self, keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of items under their keys, and which there are."""
+        out, there = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for key in np.unique(keys).tolist():
+            rows = keys == key
+            known, value = self._load(key)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, items[rows]), len(known) - 1)
+                there[rows] = known[at] == items[rows]
+                out[rows] = value[at]
+        return out, there
+
+    def find(self, key: Column, item: Column) -> Column:
+        @F.arrow_udf("long")
+        def value(keys: pa.Array, items: pa.Array) -> pa.Array:
+            out, there = self.values(keys.to_numpy(zero_copy_only=False), items.to_numpy(zero_copy_only=False))
+            return pa.array(out, mask=~there)
+
+        return value(key, item)
+
+
+_loaded: dict[str, dict] = {}

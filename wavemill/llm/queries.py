@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import counts, langid, mixing, packing, token_store, urls
+from wavemill.llm import counts, exact_dedup, langid, mixing, packing, token_store, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,6 +35,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_pieces(pieces, ID_BYTES, with_ids=False)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP2_SQL = r"""
+with norm as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
+select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size,
+  doc_id = min(doc_id) over same as kept, sha256(norm) as text_sha256
+from norm window same as (partition by norm)
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
@@ -114,6 +126,7 @@ from (select *, unnest(generate_series(1, n)) as mix_copy from counted where n >
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
+        "op2_exact_dedup": op2_exact_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_url_filters": op5_url_filters,
         "op6_packing": op6_packing,
@@ -123,4 +136,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": OP5_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_mixing": OP10_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import counts, exact_dedup, langid, mixing, packing, token_store, urls
+from wavemill.llm import counts, exact_dedup, langid, mixing, near_dedup, packing, token_store, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -86,6 +86,10 @@ with parts as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from best
 """
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "class_id", "class_size", "kept")
+
+
 #: The hot source is held to a tenth of the mixture, the others get equal shares; sources beyond the list share one more.
 MIX_WEIGHTS = {"src0": 0.10} | {f"src{k}": 0.045 for k in range(1, 20)}
 MIX_OTHER = 0.045
@@ -131,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filters": op5_url_filters,
         "op6_packing": op6_packing,
         "op7_language_id": op7_language_id,
+        "op9_near_dedup": op9_near_dedup,
         "op10_mixing": op10_mixing,
     }
 

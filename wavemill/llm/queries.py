@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import counts, exact_dedup, langid, mixing, near_dedup, packing, token_store, urls
+from wavemill.llm import counts, exact_dedup, langid, lm, mixing, near_dedup, packing, token_store, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -47,6 +47,10 @@ from norm window same as (partition by norm)
 """
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
@@ -131,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_token_counts": op4_token_counts,
         "op5_url_filters": op5_url_filters,
         "op6_packing": op6_packing,

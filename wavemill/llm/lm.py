@@ -60,7 +60,8 @@ def slices(text: bytes, most: int = SLICE_BYTES) -> Iterator[bytes]:
             hi += 1
         yield text[lo:hi]
         lo = hi
-    yield text[lo:]
+    if lo < len(text) or not text:
+        yield text[lo:]
 
 
 def _packed(x: np.ndarray) -> bytes:

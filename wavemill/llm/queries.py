@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import counts, exact_dedup, langid, lm, mixing, near_dedup, packing, token_store, urls
+from wavemill.llm import ann, counts, exact_dedup, langid, lm, mixing, near_dedup, packing, token_store, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -90,6 +90,10 @@ with parts as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from best
 """
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "class_id", "class_size", "kept")
 
@@ -140,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filters": op5_url_filters,
         "op6_packing": op6_packing,
         "op7_language_id": op7_language_id,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_near_dedup": op9_near_dedup,
         "op10_mixing": op10_mixing,
     }

@@ -129,4 +129,8 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keys = dropped.select(F.col("part").alias("key"), F.col("pos").alias("item"), F.lit(1).cast("long").alias("value"))
     table = SideTable(shared_dir(spark, "dropped"), 64).write(keys)
-    return with_rows(docs).where(table.find(F.col("_row_part"), F.col("_row_pos")).isNull()).drop("_row_part", "_row_pos")
+    prefix = "_row"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    own = [f"{prefix}_part", f"{prefix}_pos"]
+    return with_rows(docs, prefix).where(table.find(*map(F.col, own)).isNull()).drop(*own)

@@ -12,11 +12,10 @@ all blocks of a batch step through all automata side by side; every character of
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavemill.llm.common import text_of
@@ -202,20 +201,23 @@ def fit(docs: DataFrame, train: Column, max_languages: int = MAX_LANGUAGES, samp
     return CrossParser({k: clean[k] if 2 * len(clean[k]) >= len(samples[k]) else samples[k] for k in languages})
 
 
-def identify(docs: DataFrame, parser: CrossParser, columns: list[str]) -> DataFrame:
-    """``columns`` of the rows, with lang_pred string and score double (0 to 1).
+def language(spark: SparkSession, parser: CrossParser, text: Column) -> Column:
+    """struct(lang_pred string, score double) of a text column.
 
-    A null text, or one without letters, is ``und`` with score 0; so is every text if nothing was learned. Only the text
-    is looked at. The model is broadcast; its size is bounded by the module's limits, whatever the corpus.
+    A null text, or one without letters, is ``und`` with score 0; so is every text if nothing was learned. Only the text reaches
+    Python. The model is broadcast; its size is bounded by the module's limits, whatever the corpus.
     """
-    model = docs.sparkSession.sparkContext.broadcast(parser)
-    schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
+    model = spark.sparkContext.broadcast(parser)
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predicted(texts: pa.Array) -> pa.Array:
+        names, scores = model.value.predict(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        for batch in batches:
-            names, scores = own.predict(batch.column(len(columns)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
+    return predicted(text.cast("string"))
 
-    text = F.col("text").cast("string").alias("_langid_text")
-    return docs.select(*columns, text).mapInArrow(predicted, schema)
+
+def identify(docs: DataFrame, parser: CrossParser, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows, with lang_pred and score (see ``language``)."""
+    found = language(docs.sparkSession, parser, F.col("text"))
+    return docs.select(*columns, found.alias("found")).select(*columns, "found.lang_pred", "found.score")

@@ -135,6 +135,12 @@ from (select *, unnest(generate_series(1, n)) as mix_copy from counted where n >
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
@@ -147,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_near_dedup": op9_near_dedup,
         "op10_mixing": op10_mixing,
+        "pipeline": pipeline,
     }
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,18 @@ def with_rows(docs: DataFrame, prefix: str = "_row") -> DataFrame:
     raise AssertionError
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of an Arrow batch, for the jobs that an operator runs itself on wide rows: what a Python worker holds at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_of(df: DataFrame, column: str = "text"):
     """The text column, null as empty."""
     return F.coalesce(df[f"`{column}`"].cast("string"), F.lit(""))

@@ -24,31 +24,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import filesystem, shared_dir, stored, text_of
+from wavemill.llm.common import arrow_rows, filesystem, shared_dir, stored, text_of
 from wavemill.llm.perfect_hash import mix
 
-CHUNK_TOKENS, OWNER_ENTRIES, SLICE_BYTES, CACHE_WORDS = 1 << 21, 1_500_000, 1 << 22, 300_000
+CHUNK_TOKENS, OWNER_ENTRIES, SLICE_BYTES = 1 << 21, 1_500_000, 1 << 22
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b" end", b" start"))  # no word holds a space
 BUCKETS, BINS = 40, 8  # context-frequency buckets; bins per octave in which probabilities are gathered for the EM
 CHUNKS = "chunk long, uid array<long>, doc_id array<long>, held_out array<boolean>, train array<boolean>, sizes array<long>, before array<long>, words binary, tokens binary, n_tokens long, n_words long"
 _white = b" \t\n\r\x0b\x0c"
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_words = _Words()
-
-
 def word_hashes(text: bytes) -> np.ndarray:
     """Hashes of the words of a lower-cased piece of text."""
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
     words = text.split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def slices(text: bytes, most: int = SLICE_BYTES) -> Iterator[bytes]:
@@ -284,14 +273,16 @@ def score(docs: DataFrame, held_out, chunk_tokens: int = CHUNK_TOKENS, slice_byt
     folder = shared_dir(spark, "lm")
     out = F.coalesce(held_out, F.lit(False))
     slim = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), (F.col("doc_id").isNotNull() & ~out).alias("train"), text_of(docs).alias("text"))
-    chunks(slim, chunk_tokens, slice_bytes).write.parquet(f"{folder}/chunks")
+    with arrow_rows(spark, 1000):
+        chunks(slim, chunk_tokens, slice_bytes).write.parquet(f"{folder}/chunks")
     table = stored(spark, f"{folder}/chunks", CHUNKS)
     n_chunks, n_words, n_tokens = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     owners = {"w": min(65536, max(1, -(-n_words // owner_entries))), "p": min(65536, max(1, -(-n_tokens // owner_entries)))}
     answers = Answers(f"{folder}/answers", max(1, n_chunks // 2))
     answers.owners = owners
     replies = answer(send(table, owners), owners).withColumn("slot", F.coalesce(F.pmod("chunk", F.lit(answers.spread)), F.lit(-1)))
-    replies.repartition("slot").write.partitionBy("slot").parquet(answers.uri)
+    with arrow_rows(spark, 1):  # a row is a chunk
+        replies.repartition("slot").write.partitionBy("slot").parquet(answers.uri)
     totals = spark.read.schema("chunk long, tokens long, types long, slot long").parquet(answers.uri).where("slot = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n, v = int(totals[0]), int(totals[1])
 
@@ -310,7 +301,9 @@ def score(docs: DataFrame, held_out, chunk_tokens: int = CHUNK_TOKENS, slice_byt
                 yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, columns)], ["key", "n", "p2", "p1"])
 
     cells = table.mapInArrow(gathered, "key long, n double, p2 double, p1 double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "p2", "p1")))
-    rows = np.array([[r["key"] >> 20, r["n"], r["p2"] / r["n"], r["p1"] / r["n"], 1 / (v + 1)] for r in cells.orderBy("key").collect()])  # at most BUCKETS x (64 BINS)^2 cells, whatever the corpus
+    with arrow_rows(spark, 1):
+        rows = cells.orderBy("key").collect()  # at most BUCKETS x (64 BINS)^2 cells, whatever the corpus
+    rows = np.array([[r["key"] >> 20, r["n"], r["p2"] / r["n"], r["p1"] / r["n"], 1 / (v + 1)] for r in rows])
     weights = learn(rows) if n else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,26 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import SideTable, drop_dir, materialise, shared_dir, stored, text_of, with_rows
+from wavemill.llm.common import SideTable, arrow_rows, materialise, shared_dir, stored, text_of, with_rows
 from wavemill.llm.perfect_hash import mix
 
 WORDS, THRESHOLD, BANDS, BAND_ROWS = 5, 0.8, 24, 5
 SIGNATURES = "doc_id long, part long, pos long, uid long, copy string, size long, bands array<long>, sig binary"
-#: Nodes of one block when an unresolved bucket is compared signature by signature; words that a worker remembers.
-BLOCK_NODES, CACHE_WORDS = 512, 400_000
+#: Nodes of one block when an unresolved bucket is compared signature by signature.
+BLOCK_NODES = 512
+#: Texts or pairs of shingle sets that a Python worker holds at once.
+BATCH_ROWS = 1000
 _GAP = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(64)]
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_words = _Words()
-
-
 def words_of(text: str) -> list[bytes]:
     """Lower-case words: runs of anything but ASCII signs and white space."""
     return text.lower().encode("utf-8", "surrogatepass").translate(_GAP).split()
@@ -53,11 +46,9 @@ def words_of(text: str) -> list[bytes]:
 
 def regions(words: list[bytes], width: int = WORDS) -> np.ndarray:
     """Sorted 64-bit names of a text's unit regions: each shingle hash mixed with the number of its occurrence. A text of fewer words than ``width`` is one shingle."""
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
     if not words:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(ids) - width + 1)
     with np.errstate(over="ignore"):
         shingle = np.zeros(n, np.uint64)
@@ -192,7 +183,8 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS
     k, least = bands * rows, bands * rows * threshold - 5 * (bands * rows * threshold * (1 - threshold)) ** 0.5
     source = with_rows(docs.select("doc_id", "text"))
     source = source.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(source).alias("text"), F.col("_row_part").alias("part"), F.col("_row_pos").alias("pos"))
-    signatures(source.withColumn("uid", F.monotonically_increasing_id()), bands, rows, width).write.parquet(f"{folder}/signed")
+    with arrow_rows(spark, BATCH_ROWS):
+        signatures(source.withColumn("uid", F.monotonically_increasing_id()), bands, rows, width).write.parquet(f"{folder}/signed")
     signed = stored(spark, f"{folder}/signed", SIGNATURES)
 
     copies = signed.groupBy("copy").agg(F.min("uid").alias("uid"))
@@ -213,12 +205,14 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS
 
     ends = lambda pairs: pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
     cells = _cells(source, nodes.join(ends(hopeful), "uid", "left_semi"), f"{folder}/first", width)
-    links = materialise(similar(hopeful, cells, threshold), "links")
+    with arrow_rows(spark, BATCH_ROWS):
+        links = materialise(similar(hopeful, cells, threshold), "links")
     apart = materialise(_apart(members, buckets, components(links), nodes, k, least).join(hopeful, ["a", "b"], "left_anti"), "apart")
     if apart.limit(1).count():
         missing = nodes.join(ends(apart), "uid", "left_semi").join(cells.select("uid"), "uid", "left_anti")
         cells = cells.unionByName(_cells(source, missing, f"{folder}/second", width))
-        links = links.unionByName(similar(apart, cells, threshold))
+        with arrow_rows(spark, BATCH_ROWS):
+            links = links.unionByName(materialise(similar(apart, cells, threshold), "links"))
 
     label = copies.join(components(links), "uid", "left").select("copy", F.coalesce("label", "uid").alias("label"))
     rows_of = signed.select("doc_id", "part", "pos", "uid", "copy").join(label, "copy").drop("copy")
@@ -287,5 +281,6 @@ def _cells(source: DataFrame, wanted: DataFrame, folder: str, width: int) -> Dat
                 cells = [regions(words_of(t.as_py()), width).tobytes() for t in batch.column("text")[lo : lo + 256]]
                 yield pa.RecordBatch.from_arrays([batch.column("uid")[lo : lo + 256], pa.array(cells, pa.binary())], ["uid", "cells"])
 
-    rows.mapInArrow(taken, "uid long, cells binary").write.parquet(f"{folder}-cells")
+    with arrow_rows(spark, BATCH_ROWS):
+        rows.mapInArrow(taken, "uid long, cells binary").write.parquet(f"{folder}-cells")
     return stored(spark, f"{folder}-cells", "uid long, cells binary")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from wavemill.llm.common import arrow_rows, filesystem, shared_dir, stored, text_of
 from wavemill.llm.perfect_hash import mix
 
-CHUNK_TOKENS, OWNER_ENTRIES, SLICE_BYTES = 1 << 21, 1_500_000, 1 << 22
+CHUNK_TOKENS, OWNER_ENTRIES, SLICE_BYTES = 1 << 20, 1_000_000, 1 << 22
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b" end", b" start"))  # no word holds a space
 BUCKETS, BINS = 40, 8  # context-frequency buckets; bins per octave in which probabilities are gathered for the EM
 CHUNKS = "chunk long, uid array<long>, doc_id array<long>, held_out array<boolean>, train array<boolean>, sizes array<long>, before array<long>, words binary, tokens binary, n_tokens long, n_words long"

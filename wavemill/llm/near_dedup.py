@@ -7,10 +7,10 @@ darts of rank below about (k ln k + 2k) / weight are ever drawn, so a document c
 k ln k steps, not k steps for each shingle. Each dart hits one of k coordinates, and the earliest dart of each
 coordinate is the signature: two documents agree on a coordinate with a probability of their similarity.
 
-Signatures are cut into bands. Whole texts with equal words are one node. In a bucket each node is linked to the bucket's smallest, linear in
-the bucket's size; links are verified on the shingles themselves; what a bucket still holds apart is then compared signature
-by signature in blocks, and what looks similar is verified too. So every pair that meets in any bucket and
-isn't already joined gets tested. Classes are the connected components of verified links.
+Signatures are cut into bands. Whole texts with equal words are one node. Each node is first linked to the likeliest of its buckets' smallest
+nodes, one link a node, and links are verified on the shingles themselves. What a bucket still holds apart is then compared signature
+by signature in blocks, and look-alikes of different components are verified until one joins them. So every pair that meets
+in any bucket is either in one component already or gets tested; no list of all pairs is ever made. Classes are the connected components of verified links.
 
 With 24 bands of 5, a pair at the threshold meets with probability 0.99993. The signature's filter lets pairs through down to five standard
 deviations under the threshold.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import SideTable, arrow_rows, materialise, shared_dir, stored, text_of, with_rows
+from wavemill.llm.common import arrow_rows, lean, materialise, shared_dir, SideTable, stored, text_of, with_rows
 from wavemill.llm.perfect_hash import mix
 
 WORDS, THRESHOLD, BANDS, BAND_ROWS = 5, 0.8, 24, 5
@@ -91,6 +91,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, width
     """One row per document of a frame (doc_id, text, part, pos, uid); size is the number of regions, bands and sig are null for texts without words."""
     k = bands * rows
 
+    @lean
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
@@ -123,18 +124,25 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, width
     return docs.select("doc_id", "part", "pos", "uid", "text").mapInArrow(signed, SIGNATURES)
 
 
+def overlap(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Is the similarity of two sorted, non-empty sets of regions at least ``threshold``?"""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < threshold * len(y) - 1e-9:
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return common >= threshold * (len(x) + len(y) - common) - 1e-9
+
+
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least ``threshold``. sets: uid, cells (binary, sorted)."""
 
+    @lean
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
+                keep.append(overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with_b = pairs.join(sets.select(F.col("uid").alias("b"), F.col("cells").alias("y")), "b")
@@ -142,11 +150,6 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
 
 
-def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Coordinates on which signatures agree."""
-    return (left == right).sum(axis=-1)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """uid, label: the smallest uid of each node's connected component. edges: a, b; only nodes with an edge are listed.
 
@@ -193,26 +196,27 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS
     buckets = members.groupBy("band").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = members.withColumnRenamed("uid", "b").join(buckets, "band").where("a != b").select("a", "b").distinct()
 
-    @F.arrow_udf("boolean")
-    def close(left: pa.Array, right: pa.Array) -> pa.Array:
-        if not len(left):
-            return pa.array([], pa.bool_())
-        left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), k) for x in (left, right))
-        return pa.array(alike(left, right) >= least)
+    @F.arrow_udf("int")
+    def agreeing(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array((_bytes(left, k) == _bytes(right, k)).sum(axis=1), pa.int32())
 
     sig = lambda name, column: nodes.select(F.col("uid").alias(name), F.col("sig").alias(column))
-    hopeful = materialise(stars.join(sig("b", "sig_b"), "b").join(sig("a", "sig_a"), "a").where(close("sig_a", "sig_b")).select("a", "b"), "stars")
-
-    ends = lambda pairs: pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
-    cells = _cells(source, nodes.join(ends(hopeful), "uid", "left_semi"), f"{folder}/first", width)
+    rated = stars.join(sig("b", "sig_b"), "b").join(sig("a", "sig_a"), "a").select("a", "b", agreeing("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= least)
+    best = rated.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("low"))).alias("best"))
+    hopeful = materialise(best.select((-F.col("best.low")).alias("a"), "b"), "stars")
+    ends = hopeful.select(F.col("a").alias("uid")).union(hopeful.select(F.col("b").alias("uid"))).distinct()
+    cells = _cells(source, nodes.join(ends, "uid", "left_semi"), f"{folder}/first", width)
     with arrow_rows(spark, BATCH_ROWS):
         links = materialise(similar(hopeful, cells, threshold), "links")
-    apart = materialise(_apart(members, buckets, components(links), nodes, k, least).join(hopeful, ["a", "b"], "left_anti"), "apart")
-    if apart.limit(1).count():
-        missing = nodes.join(ends(apart), "uid", "left_semi").join(cells.select("uid"), "uid", "left_anti")
+
+    dealt = materialise(_dealt(members, buckets, components(links)), "apart")
+    if dealt.limit(1).count():
+        suspects = materialise(_meeting(dealt, nodes, k, bands, least).select("uid").distinct(), "suspects")
+        missing = nodes.join(suspects, "uid", "left_semi").join(cells.select("uid"), "uid", "left_anti")
         cells = cells.unionByName(_cells(source, missing, f"{folder}/second", width))
         with arrow_rows(spark, BATCH_ROWS):
-            links = links.unionByName(materialise(similar(apart, cells, threshold), "links"))
+            more = _meeting(dealt.join(suspects, "uid", "left_semi"), nodes, k, bands, least, cells, threshold)
+            links = links.unionByName(materialise(more.select(F.col("uid").alias("a"), F.col("other").alias("b")), "links"))
 
     label = copies.join(components(links), "uid", "left").select("copy", F.coalesce("label", "uid").alias("label"))
     rows_of = signed.select("doc_id", "part", "pos", "uid", "copy").join(label, "copy").drop("copy")
@@ -221,38 +225,64 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS
     return rows_of.join(classes, "label").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "part", "pos")
 
 
-def _apart(members: DataFrame, buckets: DataFrame, labels: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs (a, b) of look-alikes that some bucket of three or more holds in different components.
+def _bytes(binaries: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(binaries.to_pylist()), np.uint8).reshape(len(binaries), width)
+
+
+def _dealt(members: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, dealt out for comparison: uid, label, band, block, i, j.
 
     A large bucket is compared in blocks: each node goes to as many tasks as there are blocks, and a task holds two blocks.
     """
-    own = members.join(buckets.where("n > 2"), "band").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    own = members.join(buckets.select("band", "n"), "band").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     split = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
     count = F.ceil(F.col("n") / BLOCK_NODES)
-    block = F.pmod(F.xxhash64("uid"), count)
-    dealt = (
+    return (
         own.join(split, "band", "left_semi")
-        .withColumn("block", block)
+        .withColumn("block", F.pmod(F.xxhash64("uid"), count))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-        .select("uid", "label", "block", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(nodes.select("uid", "sig"), "uid")
-        .repartition("band", "i", "j")
-        .sortWithinPartitions("band", "i", "j", "uid")
+        .select("uid", "label", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
 
+
+def _meeting(dealt: DataFrame, nodes: DataFrame, k: int, bands: int, least: float, cells: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Nodes of different components that meet in a bucket and look alike: uid, other.
+
+    Each pair is looked at in the first band that both share, so once in all. Without ``cells`` a node that has any look-alike gives one row. With the
+    shingles of all such nodes, look-alikes are verified, the likeliest first, until one of each component has been found similar: one link is enough to join it.
+    """
+    rows = dealt.join(nodes.select("uid", "bands", "sig"), "uid")
+    exact = cells is not None
+    if exact:
+        rows = rows.join(cells, "uid")
+    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "uid")
+
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         uid, label, block = (rows[c].to_numpy() for c in ("uid", "label", "block"))
-        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(uid), k)
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        a, b = [], []
+        sig, keys = _bytes(rows["sig"], k), rows["bands"].combine_chunks().values.to_numpy().reshape(len(uid), bands)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["cells"].to_pylist()] if exact else []
+        band, one = rows["band"][0].as_py(), rows["i"][0].as_py() == rows["j"][0].as_py()
+        here = int(np.flatnonzero(keys[0] == band)[0])
+        found: list[tuple[int, int]] = []
         for row in range(len(uid)):
-            fit = (label != label[row]) & (uid > uid[row]) & ((block != block[row]) | (i == j))
+            fit = (label != label[row]) & (one | (block != block[row]))
+            fit[: row + 1 if exact else 0] = False
+            fit[row] = False
             at = np.flatnonzero(fit)
-            at = at[alike(sig[at], sig[row]) >= least]
-            a.append(np.full(len(at), uid[row]))
-            b.append(uid[at])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
-
+            at = at[(keys[at, :here] != keys[row, :here]).all(axis=1)]
+            agree = (sig[at] == sig[row]).sum(axis=1)
+            at, agree = at[agree >= least], agree[agree >= least]
+            if not exact:
+                found += [(uid[row], uid[at[0]])] if len(at) else []
+                continue
+            joined: set[int] = set()
+            for other in at[np.argsort(-agree, kind="stable")].tolist():
+                if label[other] not in joined and overlap(sets[row], sets[other], threshold):
+                    joined.add(label[other])
+                    found.append((uid[row], uid[other]))
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["uid", "other"])
+
+    @lean
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -266,7 +296,7 @@ def _apart(members: DataFrame, buckets: DataFrame, labels: DataFrame, nodes: Dat
         if held is not None and held.num_rows:
             yield pairs(held)
 
-    return dealt.mapInArrow(compared, "a long, b long").distinct()
+    return rows.mapInArrow(compared, "uid long, other long")
 
 
 def _cells(source: DataFrame, wanted: DataFrame, folder: str, width: int) -> DataFrame:
@@ -275,6 +305,7 @@ def _cells(source: DataFrame, wanted: DataFrame, folder: str, width: int) -> Dat
     table = SideTable(f"{folder}-rows", 64).write(wanted.select(F.col("part").alias("key"), F.col("pos").alias("item"), F.col("uid").alias("value")))
     rows = source.withColumn("uid", table.find(F.col("part"), F.col("pos"))).where("uid is not null").select("uid", "text")
 
+    @lean
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):

@@ -20,7 +20,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import filesystem, shared_dir, stored
+from wavemill.llm.common import filesystem, lean, shared_dir, stored
 
 #: Rows that the codebooks are fitted on (a bounded sample, by a hash of the id); all rows are indexed.
 SAMPLE_ROWS = 8192
@@ -156,6 +156,7 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 def build(vectors: DataFrame, books: Codebooks, kind: str, folder: str) -> DataFrame:
     """Index every row: a table of blocks. vectors: vec_id, vector (valid)."""
 
+    @lean
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows, size = [], [], 0
 
@@ -186,6 +187,7 @@ def build(vectors: DataFrame, books: Codebooks, kind: str, folder: str) -> DataF
 
 
 def _query_blocks(queries: DataFrame, dim: int, kind: str, folder: str) -> DataFrame:
+    @lean
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, QUERY_ROWS):
@@ -219,6 +221,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, rerank_share: f
     count = blocks.count()
     query_uri = f"{folder}/queries"
 
+    @lean
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(query_uri)
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")]
@@ -252,6 +255,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, rerank_share: f
     half = found.groupBy("queries", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("half")).applyInArrow(merged, packed)
     whole = half.groupBy("queries").applyInArrow(merged, packed)
 
+    @lean
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

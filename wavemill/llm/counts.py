@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import text_of
+from wavemill.llm.common import lean, text_of
 
 SPACE = "▁"
 
@@ -103,6 +103,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, chunk_chars: in
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Splicer(model, chunk_chars, overlap_chars)
         for batch in batches:

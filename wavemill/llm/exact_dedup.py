@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm import golomb
-from wavemill.llm.common import SideTable, drop_dir, shared_dir, stored, text_of, with_rows
+from wavemill.llm.common import drop_dir, lean, shared_dir, SideTable, stored, text_of, with_rows
 
 #: Fingerprints that one owner merges, about.
 OWNER_SIZE = 1 << 20
@@ -42,6 +42,7 @@ def _owner(prints: np.ndarray, owners: int) -> np.ndarray:
 def send(light: DataFrame, owners: int) -> DataFrame:
     """The messages of each task: one per part and owner."""
 
+    @lean
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
@@ -80,6 +81,7 @@ def answer(messages: DataFrame) -> DataFrame:
 def resolve(messages: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Suspects by part: key, item (the fingerprint), value."""
 
+    @lean
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, bits in zip(*(batch.column(c).to_pylist() for c in ("part", "raw", "bitmap")), strict=True):

@@ -23,7 +23,7 @@ from wavemill.llm.common import text_of
 #: Bounds of what is learned from: languages (the most frequent), labelled rows per language, characters taken of a row,
 #: and characters over all languages; symbols that are told apart.
 MAX_LANGUAGES, SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS, SYMBOLS = 64, 64, 512, 1 << 17, 64
-BLOCK, BATCH_SYMBOLS = 1024, 1 << 22
+BLOCK, BATCH_SYMBOLS, SLICE_ROWS = 1024, 1 << 21, 1000
 SPACE, RARE = 0, 1
 UNDETERMINED = "und"
 _COUNT, _PLACE = 28, (1 << 28) - 1
@@ -211,7 +211,11 @@ def language(spark: SparkSession, parser: CrossParser, text: Column) -> Column:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predicted(texts: pa.Array) -> pa.Array:
-        names, scores = model.value.predict(texts.to_pylist())
+        names, scores = [], []
+        for lo in range(0, len(texts), SLICE_ROWS):
+            some = model.value.predict(texts[lo : lo + SLICE_ROWS].to_pylist())
+            names += some[0]
+            scores += some[1]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predicted(text.cast("string"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import arrow_rows, filesystem, shared_dir, stored, text_of
+from wavemill.llm.common import arrow_rows, filesystem, lean, shared_dir, stored, text_of
 from wavemill.llm.perfect_hash import mix
 
 CHUNK_TOKENS, OWNER_ENTRIES, SLICE_BYTES = 1 << 20, 1_000_000, 1 << 22
@@ -94,6 +94,7 @@ def owner_range(owner: int, owners: int) -> tuple[int, int]:
 def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """docs (uid, doc_id, held_out, train, text) as chunks of tokens; a long document may go on in the next chunk."""
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
 
@@ -168,6 +169,7 @@ class Chunk:
 def send(table: DataFrame, owners: dict[str, int]) -> DataFrame:
     """Messages: chunk, kind, owner, hashes, counts."""
 
+    @lean
     def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -286,6 +288,7 @@ def score(docs: DataFrame, held_out, chunk_tokens: int = CHUNK_TOKENS, slice_byt
     totals = spark.read.schema("chunk long, tokens long, types long, slot long").parquet(answers.uri).where("slot = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n, v = int(totals[0]), int(totals[1])
 
+    @lean
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -306,6 +309,7 @@ def score(docs: DataFrame, held_out, chunk_tokens: int = CHUNK_TOKENS, slice_byt
     rows = np.array([[r["key"] >> 20, r["n"], r["p2"] / r["n"], r["p1"] / r["n"], 1 / (v + 1)] for r in rows])
     weights = learn(rows) if n else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
+    @lean
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import filesystem, shared_dir, stored, text_of
+from wavemill.llm.common import arrow_rows, filesystem, lean, shared_dir, stored, text_of
 from wavemill.llm.encoding import encoder
 from wavemill.llm.perfect_hash import mix
 from wavemill.llm.token_store import crc_u32
@@ -75,6 +75,7 @@ def encode_to_files(docs: DataFrame, tokenizer: str, end_id: int | None, folder:
     """Write the ids of all documents as raw payload; one row per document: curve, doc_id, file, record, at (first id in the file), n."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
 
+    @lean
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         curve = Curve(own.tokenizer.get_vocab_size())
@@ -107,7 +108,8 @@ def encode_to_files(docs: DataFrame, tokenizer: str, end_id: int | None, folder:
             out.close()
 
     spark, path = docs.sparkSession, f"{folder}-records"
-    slim.mapInArrow(written, RECORDS).write.parquet(path)
+    with arrow_rows(spark, 1000):
+        slim.mapInArrow(written, RECORDS).write.parquet(path)
     return stored(spark, path, RECORDS)
 
 
@@ -126,6 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int | None
         .withColumn("part", F.spark_partition_id().cast("long"))
     )
 
+    @lean
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for batch in batches:
@@ -158,6 +161,7 @@ def read_pieces(pieces: DataFrame, width: int, with_ids: bool) -> DataFrame:
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
     dealt = pieces.withColumn("span", F.expr(f"at div {SPAN_BYTES // width}")).repartition("file", "span").sortWithinPartitions("file", "at")
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, handle, held, low = None, None, np.zeros(0, f"<u{width}"), 0
         for batch in batches:

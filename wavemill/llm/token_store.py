@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import filesystem, shared_dir, stored, text_of
+from wavemill.llm.common import arrow_rows, filesystem, lean, shared_dir, stored, text_of
 from wavemill.llm.encoding import encoder
 from wavemill.llm.perfect_hash import PerfectHash, fingerprint
 
@@ -142,6 +142,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int | None = 2, folder:
         .select("doc_id", "text", F.spark_partition_id().cast("long").alias("ord"))
     )
 
+    @lean
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, writer, order = encoder(tokenizer), None, 0
         tail = b"" if end_id is None else np.array([end_id], own.dtype).tobytes()
@@ -154,7 +155,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int | None = 2, folder:
             row = {"ord": order} | writer.close()
             yield pa.RecordBatch.from_pylist([row], pa.schema([("ord", pa.int64()), ("shard", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("width", pa.int32())]))
 
-    rows.mapInArrow(written, MANIFEST).write.parquet(f"{folder}/manifest")
+    with arrow_rows(spark, 1000):
+        rows.mapInArrow(written, MANIFEST).write.parquet(f"{folder}/manifest")
     return TokenStore(spark, folder)
 
 
@@ -179,6 +181,7 @@ class TokenStore:
         """Read every record back through its shard's index: doc_id, start, n_tokens, ids_crc32, shard."""
         folder = self.folder
 
+        @lean
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for name, start in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist(), strict=True):
@@ -213,6 +216,7 @@ class TokenStore:
 
         routed = keys.select(F.col(column).cast("long").alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", F.explode(where("doc_id")).alias("n"))
 
+        @lean
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shards: dict[int, Shard] = {}
             for batch in batches:

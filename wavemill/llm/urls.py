@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavemill.llm.common import lean
+
 #: Bytes of a padded block of URLs that are simulated at once.
 BLOCK_BYTES = 1 << 22
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -122,6 +124,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "a
     """
     slim = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"))
 
+    @lean
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = UrlRules(rules, default)
         for batch in batches:

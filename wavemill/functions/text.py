@@ -121,8 +121,8 @@ def hot_words(text) -> Column:
 
 
 def symbol(text, ident) -> Column:
-    """A vocabulary symbol as it is used: a leading mark becomes a space, and ``<0xN>`` of ids 3..258 becomes that byte (N unpadded)."""
-    byte = (ident >= 3) & (ident <= 258) & (text == F.concat(F.lit("<0x"), F.hex(ident.cast("long") - 3), F.lit(">")))
+    """A vocabulary symbol as it is used: a leading mark becomes a space, and ``<0xNN>`` of ids 3..258 becomes the byte id-3 where NN is its unpadded hex (so from 0x10 on)."""
+    byte = (F.length(text) == 6) & (ident >= 3) & (ident <= 258) & (text == F.concat(F.lit("<0x"), F.hex(ident.cast("long") - 3), F.lit(">")))
     spaced = F.when(text.startswith(SPACE_MARK), F.concat(F.lit(" "), F.substring(text, 2, 1 << 30))).otherwise(text)
     return F.when(byte, F.unhex(F.lpad(F.hex(ident.cast("long") - 3), 2, "0"))).otherwise(F.encode(spaced, "utf-8"))
 

@@ -144,7 +144,8 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
 def beam(frames: np.ndarray, joiner: Joiner = frame_is_logits, graph: PhraseGraph | None = None, paths: int = ACTIVE_PATHS, context_size: int = CONTEXT_SIZE, lm=None, lm_scale: float = LM_SCALE) -> Hypothesis:
     """Modified beam search: at most one symbol per frame, equal sequences merged in log space, phrases boosted, the best by length-normalised score.
 
-    ``lm`` maps a token sequence to its negative log likelihood; the length counts the leading blanks too. Ties go to the earlier hypothesis, then the lower symbol.
+    ``lm`` maps a token sequence to its negative log likelihood; without one, merged hypotheses add their (zero) language-model scores in log space
+    as well, as specified. The length counts the leading blanks too. Ties go to the earlier hypothesis, then the lower symbol.
     """
     beams = [Hypothesis((BLANK,) * context_size, state=graph.root if graph else None)]
     for t, frame in enumerate(frames):

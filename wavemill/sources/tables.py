@@ -31,7 +31,7 @@ def read_enrolled(spark: SparkSession, path: str) -> DataFrame:
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:
     """``symbol id`` lines: id, sym (binary, as it prints), raw. A symbol that occurs twice is an error. A line of just an id is the space."""
     parts = F.split(F.rtrim("value"), r"\s+")
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.element_at(parts, -1).cast("int").alias("id"), F.when(F.size(parts) > 1, F.element_at(parts, 1)).otherwise(F.lit(" ")).alias("raw"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.element_at(parts, -1).cast("int").alias("id"), F.when((F.size(parts) > 1) & (F.element_at(parts, 1) != ""), F.element_at(parts, 1)).otherwise(F.lit(" ")).alias("raw"))
     counted = lines.groupBy("raw").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n"))
     checked = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("symbol occurs twice: "), F.col("raw"))).cast("int")).otherwise(F.col("id"))
     return counted.select(checked.alias("id"), X.symbol(F.col("raw"), F.col("id")).alias("sym"), "raw")

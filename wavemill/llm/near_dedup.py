@@ -151,27 +151,33 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """uid, label: the smallest uid of each node's connected component. edges: a, b; only nodes with an edge are listed.
+    """uid, label: one label, a uid of its own, for each connected component. edges: a, b; only nodes with an edge are listed.
 
-    Labels spread to neighbours and jump to their label's label, a round at a time, each round a table in the shared
-    folder; rounds grow with the logarithm of a component's diameter, and a hub's edges are reduced before the shuffle.
+    Rounds of contraction: each node goes to the first of itself and its neighbours, edges follow, and those within a node vanish, so the
+    graph shrinks by a factor a round. First is by uid in the first two rounds, which settles stars around their smallest node, and then by a hash of the round,
+    which leaves no order that could make a long chain. Each round is a table in the shared folder; hubs are reduced before the shuffle.
     """
     spark, folder = edges.sparkSession, shared_dir(edges.sparkSession, "components")
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.distinct(), "edges")
-    schema = "uid long, label long, moved boolean"
-    both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("uid"), F.least("a", "b").alias("label"), F.lit(True).alias("moved")).write.parquet(f"{folder}/0")
-    step = 0
-    while True:
-        old = stored(spark, f"{folder}/{step}", schema)
-        if step and not old.where("moved").limit(1).count():
-            return old.select("uid", "label")
-        near = both.join(old.select(F.col("uid").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread = old.join(near.withColumnRenamed("a", "uid"), "uid").select("uid", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = old.select(F.col("uid").alias("label"), F.col("label").alias("next"))
-        new = spread.join(jump, "label", "left").select("uid", "was", F.least("label", "next").alias("label"))
-        step += 1
-        new.select("uid", "label", (F.col("label") != F.col("was")).alias("moved")).write.parquet(f"{folder}/{step}")
+    pair, moves = "a long, b long", []
+    edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().write.parquet(f"{folder}/edges0")
+    left = stored(spark, f"{folder}/edges0", pair)
+    while left.limit(1).count() or not moves:
+        step = len(moves)
+        order = F.lit(0).cast("long") if step < 2 else F.xxhash64("b", F.lit(step))
+        both = left.union(left.select("b", "a"))
+        near = both.union(left.select("a", F.col("a").alias("b"))).union(left.select("b", F.col("b").alias("a")))
+        to = near.groupBy("a").agg(F.min(F.struct(order.alias("order"), "b"))["b"].alias("to"))
+        to.select(F.col("a").alias("uid"), F.col("to").alias("label")).write.parquet(f"{folder}/moves{step}")
+        moves.append(stored(spark, f"{folder}/moves{step}", "uid long, label long"))
+        move = moves[-1]
+        moved = left.join(move.select(F.col("uid").alias("a"), F.col("label").alias("x")), "a").join(move.select(F.col("uid").alias("b"), F.col("label").alias("y")), "b")
+        moved.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().write.parquet(f"{folder}/edges{step + 1}")
+        left = stored(spark, f"{folder}/edges{step + 1}", pair)
+    found = moves[-1]
+    for move in moves[-2::-1]:
+        later = found.select(F.col("uid").alias("label"), F.col("label").alias("last"))
+        found = move.join(later, "label", "left").select("uid", F.coalesce("last", "label").alias("label"))
+    return materialise(found, "labels")
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:

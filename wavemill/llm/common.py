@@ -83,6 +83,13 @@ def with_rows(docs: DataFrame, prefix: str = "_row") -> DataFrame:
     raise AssertionError
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(function):
     """For the functions of ``mapInArrow``: when a task ends, its Python worker gives freed memory back before it waits for the next."""
 
@@ -91,9 +98,7 @@ def lean(function):
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 

@@ -37,7 +37,7 @@ class _Cache(dict):
 class Encoder:
     """ids of a text as little-endian bytes, ``dtype`` wide: two bytes where the vocabulary allows it, else four."""
 
-    def __init__(self, path: str, cache_words: int = 150_000):
+    def __init__(self, path: str, cache_words: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import text_of
+from wavemill.llm.common import give_back, text_of
 
 #: Bounds of what is learned from: languages (the most frequent), labelled rows per language, characters taken of a row,
 #: and characters over all languages; symbols that are told apart.
-MAX_LANGUAGES, SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS, SYMBOLS = 64, 64, 512, 1 << 17, 64
-BLOCK, BATCH_SYMBOLS, SLICE_ROWS = 1024, 1 << 21, 1000
+MAX_LANGUAGES, SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS, SYMBOLS = 64, 64, 512, 1 << 16, 48
+BLOCK, BATCH_SYMBOLS, SLICE_ROWS = 1024, 1 << 20, 500
 SPACE, RARE = 0, 1
 UNDETERMINED = "und"
 _COUNT, _PLACE = 28, (1 << 28) - 1
@@ -216,6 +216,7 @@ def language(spark: SparkSession, parser: CrossParser, text: Column) -> Column:
             some = model.value.predict(texts[lo : lo + SLICE_ROWS].to_pylist())
             names += some[0]
             scores += some[1]
+        give_back()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predicted(text.cast("string"))

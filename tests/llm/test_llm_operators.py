@@ -1,6 +1,7 @@
 """Each operator against SQL or a brute-force version, with nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -69,9 +70,18 @@ def test_equals_sql(spark, sf_dir, duck, name):
 # --- 1: token ids
 
 
+@functools.cache
+def encoded_one(text):
+    return tokenizer().encode(text, add_special_tokens=False).ids + [2]
+
+
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(WORDS)
+
+
 def encoded(texts):
-    t = Tokenizer.from_file(WORDS)
-    return [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
+    return [encoded_one(x or "") for x in texts]
 
 
 def crc(ids):
@@ -259,23 +269,28 @@ def test_automaton_of_many_words_equals_regular_expressions():
 
 
 def check_pieces(rows, texts):
-    own = collections.defaultdict(list)
-    for key, text in texts:
-        own[key].append(encoded([text])[0])
-    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    """Every id of every document in one piece, and every sequence without a gap. A document may occur many times."""
+    own = collections.Counter((key, text or "") for key, text in texts)
+    known = collections.defaultdict(list)
+    for key, text in own:
+        known[key].append(encoded_one(text))
+    tokens, by_sequence = collections.Counter(), collections.defaultdict(list)
+    for (key, start, length, n, check), count in collections.Counter((r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32) for r in rows).items():
+        assert length > 0 and any(len(x) == n and crc(x[start : start + length]) == check for x in known[key])
+        tokens[key] += length * count
+    want = collections.Counter()
+    for (key, text), count in own.items():
+        want[key] += len(encoded_one(text)) * count
+    assert tokens == want
     for r in rows:
-        assert r.length > 0 and any(len(x) == r.doc_tokens and crc(x[r.start : r.start + r.length]) == r.ids_crc32 for x in own[r.doc_id])
-        by_doc[r.doc_id].append((r.start, r.length))
         by_sequence[r.sequence_id].append((r.offset, r.length))
-    assert {k: sum(n for _, n in v) for k, v in by_doc.items()} == {k: sum(map(len, v)) for k, v in own.items()}
     for places in by_sequence.values():
         at = 0
         for offset, n in sorted(places):
             assert offset == at
             at += n
         assert at <= 4096
-    total = sum(len(x) for v in own.values() for x in v)
-    assert len(by_sequence) == -(-total // 4096)
+    assert len(by_sequence) == -(-sum(want.values()) // 4096)
 
 
 def test_packing(spark, sf_dir, docs):

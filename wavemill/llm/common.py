@@ -11,7 +11,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import numpy as np
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a file that share one part number (see ``with_rows``).
 PART_ROWS = 1 << 20
+#: Folders of a side table at most; there are no more of them than keys.
+SLOTS = 4096
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -90,11 +92,27 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Caches of this worker process that outlive a task, by the modules that use them.
+_kept: dict[tuple[str, ...], Callable[[], None]] = {}
+
+
+def keep(modules: tuple[str, ...], drop: Callable[[], None]) -> None:
+    """A cache that later tasks of these modules find warm; ``drop`` empties it as soon as a task of another module runs here."""
+    _kept[modules] = drop
+
+
+def drop_caches_of_others(module: str) -> None:
+    for modules in [m for m in _kept if not module.endswith(m)]:
+        _kept.pop(modules)()
+        give_back()
+
+
 def lean(function):
-    """For the functions of ``mapInArrow``: when a task ends, its Python worker gives freed memory back before it waits for the next."""
+    """For the functions of ``mapInArrow``: a task drops what other operators have left in its Python worker, and gives freed memory back when it ends."""
 
     @functools.wraps(function)
     def run(batches):
+        drop_caches_of_others(function.__module__)
         try:
             yield from function(batches)
         finally:
@@ -128,8 +146,8 @@ class SideTable:
     under a key, or null. A worker keeps the last keys that it has read, and a scan meets its parts one after another.
     """
 
-    def __init__(self, uri: str, spread: int):
-        self.uri, self.spread = uri, max(1, spread)
+    def __init__(self, uri: str, spread: int = SLOTS):
+        self.uri, self.spread = uri, spread
 
     def write(self, rows: DataFrame) -> SideTable:
         items = F.sort_array(F.collect_list(F.struct("item", "value")))
@@ -138,6 +156,7 @@ class SideTable:
             .agg(items.alias("items"))
             .select("key", F.col("items.item").alias("item"), F.col("items.value").alias("value"), F.pmod("key", F.lit(self.spread)).alias("slot"))
             .repartition("slot")
+            .sortWithinPartitions("slot", "key")
             .write.partitionBy("slot")
             .parquet(self.uri)
         )
@@ -145,6 +164,8 @@ class SideTable:
 
     def _load(self, key: int) -> tuple[np.ndarray, np.ndarray]:
         """Items, in order, and their values."""
+        while self.uri not in _loaded and len(_loaded) >= 2:
+            _loaded.pop(next(iter(_loaded)))
         cache = _loaded.setdefault(self.uri, {})
         if key not in cache:
             while len(cache) >= 4:
@@ -175,6 +196,7 @@ class SideTable:
     def find(self, key: Column, item: Column) -> Column:
         @F.arrow_udf("long")
         def value(keys: pa.Array, items: pa.Array) -> pa.Array:
+            drop_caches_of_others(__name__)
             out, there = self.values(keys.to_numpy(zero_copy_only=False), items.to_numpy(zero_copy_only=False))
             return pa.array(out, mask=~there)
 

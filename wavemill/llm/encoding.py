@@ -15,6 +15,8 @@ import re
 
 import numpy as np
 
+from wavemill.llm.common import keep
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The cut that the word cache is proven for (a fixed value: it must equal the vocabulary file's own pattern).
@@ -96,7 +98,8 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process: later tasks find its cache warm."""
+    """One encoder per worker process: later tasks of the operators that use it find its cache warm."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    keep(("token_store", "packing"), _encoders.clear)
     return _encoders[path]

@@ -107,11 +107,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     print64 = F.xxhash64("norm")
     rows.select("doc_id", "part", "pos", F.monotonically_increasing_id().alias("uid"), print64.alias("fp"), F.sha2("norm", 256).alias("sha")).write.parquet(f"{folder}/light")
     light = stored(spark, f"{folder}/light", LIGHT)
-    size, parts = light.agg(F.count(F.lit(1)), F.approx_count_distinct("part")).first()
+    size = light.count()
 
     send(light, max(1, -(-size // OWNER_SIZE))).write.parquet(f"{folder}/messages")
     messages = stored(spark, f"{folder}/messages", MESSAGE)
-    table = SideTable(f"{folder}/suspects", parts // 4).write(resolve(messages, answer(messages)))
+    table = SideTable(f"{folder}/suspects").write(resolve(messages, answer(messages)))
     drop_dir(spark, f"{folder}/messages")
     suspect = lambda frame: frame.withColumn("suspect", table.find(F.col("part"), F.col("fp")).isNotNull())
 
@@ -130,7 +130,7 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows whose part and pos ``dropped`` lists. The documents stay where they are: no shuffle."""
     spark = docs.sparkSession
     keys = dropped.select(F.col("part").alias("key"), F.col("pos").alias("item"), F.lit(1).cast("long").alias("value"))
-    table = SideTable(shared_dir(spark, "dropped"), 64).write(keys)
+    table = SideTable(shared_dir(spark, "dropped")).write(keys)
     prefix = "_row"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"

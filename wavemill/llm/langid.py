@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import give_back, text_of
+from wavemill.llm.common import drop_caches_of_others, give_back, text_of
 
 #: Bounds of what is learned from: languages (the most frequent), labelled rows per language, characters taken of a row,
 #: and characters over all languages; symbols that are told apart.
@@ -211,6 +211,7 @@ def language(spark: SparkSession, parser: CrossParser, text: Column) -> Column:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predicted(texts: pa.Array) -> pa.Array:
+        drop_caches_of_others(__name__)
         names, scores = [], []
         for lo in range(0, len(texts), SLICE_ROWS):
             some = model.value.predict(texts[lo : lo + SLICE_ROWS].to_pylist())

@@ -308,7 +308,7 @@ def _meeting(dealt: DataFrame, nodes: DataFrame, k: int, bands: int, least: floa
 def _cells(source: DataFrame, wanted: DataFrame, folder: str, width: int) -> DataFrame:
     """uid, cells of the wanted nodes (uid, part, pos): a scan of the texts that lets only their rows through."""
     spark = source.sparkSession
-    table = SideTable(f"{folder}-rows", 64).write(wanted.select(F.col("part").alias("key"), F.col("pos").alias("item"), F.col("uid").alias("value")))
+    table = SideTable(f"{folder}-rows").write(wanted.select(F.col("part").alias("key"), F.col("pos").alias("item"), F.col("uid").alias("value")))
     rows = source.withColumn("uid", table.find(F.col("part"), F.col("pos"))).where("uid is not null").select("uid", "text")
 
     @lean

@@ -27,7 +27,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -209,10 +208,10 @@ class TokenStore:
         folder = self.folder
         lows, highs = np.array([a for _, a, _ in ranges], np.int64), np.array([b for _, _, b in ranges], np.int64)
 
-        @F.pandas_udf("array<int>")
-        def where(ids):
+        @F.arrow_udf("array<int>")
+        def where(ids: pa.Array) -> pa.Array:
             lo, hi = np.searchsorted(highs, ids.to_numpy(), "left"), np.searchsorted(lows, ids.to_numpy(), "right")
-            return pd.Series([list(range(a, b)) for a, b in zip(lo, hi, strict=True)], dtype=object)
+            return pa.array([list(range(a, b)) for a, b in zip(lo, hi, strict=True)], pa.list_(pa.int32()))
 
         routed = keys.select(F.col(column).cast("long").alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", F.explode(where("doc_id")).alias("n"))
 

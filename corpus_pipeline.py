@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The parser learns from the labelled rows of its input.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # whole texts go to Python
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # whole texts go to Python
     parser = langid.fit(docs, F.lit(True))
     return docs.where(langid.language(spark, parser, docs["text"])["lang_pred"] != langid.UNDETERMINED)
 

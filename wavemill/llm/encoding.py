@@ -39,14 +39,18 @@ class _Cache(dict):
 class Encoder:
     """ids of a text as little-endian bytes, ``dtype`` wide: two bytes where the vocabulary allows it, else four."""
 
-    def __init__(self, path: str, cache_words: int = 120_000):
+    def __init__(self, path: str, cache_words: int = 80_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.limit = cache_words
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            head, model, _ = f.read().partition('"model":')  # the vocabulary itself isn't wanted a second time
+        try:
+            spec = json.loads(head + '"model": null}') if model else {}
+        except ValueError:
+            spec = {}
         steps = [(x["type"], x.get("content")) for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.by_word = (
@@ -57,7 +61,7 @@ class Encoder:
             and not cuts[1]["add_prefix_space"]
             and not cuts[1]["use_regex"]
             and not spec.get("post_processor")
-            and all(re.fullmatch(r"<\|\w+\|>", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in spec["added_tokens"])
+            and all(re.fullmatch(r"<\|\w+\|>", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens", []))
         )
         if self.by_word:
             table = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS}

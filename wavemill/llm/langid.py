@@ -23,7 +23,7 @@ from wavemill.llm.common import drop_caches_of_others, give_back, text_of
 #: Bounds of what is learned from: languages (the most frequent), labelled rows per language, characters taken of a row,
 #: and characters over all languages; symbols that are told apart.
 MAX_LANGUAGES, SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS, SYMBOLS = 64, 64, 512, 1 << 16, 48
-BLOCK, BATCH_SYMBOLS, SLICE_ROWS = 1024, 1 << 20, 500
+BLOCK, BATCH_SYMBOLS, SLICE_ROWS = 1024, 1 << 19, 250
 SPACE, RARE = 0, 1
 UNDETERMINED = "und"
 _COUNT, _PLACE = 28, (1 << 28) - 1

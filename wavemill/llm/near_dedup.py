@@ -200,7 +200,8 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS
     nodes = materialise(signed.join(copies.select("uid"), "uid", "left_semi").where("size > 0").select("uid", "part", "pos", "bands", "sig"), "nodes")
     members = nodes.select("uid", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = members.withColumnRenamed("uid", "b").join(buckets, "band").where("a != b").select("a", "b").distinct()
+    shared = materialise(members.join(buckets, "band"), "buckets")  # only buckets of two or more, so most bands are gone
+    stars = shared.where("a != uid").select("a", F.col("uid").alias("b")).distinct()
 
     @F.arrow_udf("int")
     def agreeing(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -215,7 +216,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS
     with arrow_rows(spark, BATCH_ROWS):
         links = materialise(similar(hopeful, cells, threshold), "links")
 
-    dealt = materialise(_dealt(members, buckets, components(links)), "apart")
+    dealt = materialise(_dealt(shared, components(links)), "apart")
     if dealt.limit(1).count():
         suspects = materialise(_meeting(dealt, nodes, k, bands, least).select("uid").distinct(), "suspects")
         missing = nodes.join(suspects, "uid", "left_semi").join(cells.select("uid"), "uid", "left_anti")
@@ -235,12 +236,12 @@ def _bytes(binaries: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(binaries.to_pylist()), np.uint8).reshape(len(binaries), width)
 
 
-def _dealt(members: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _dealt(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, dealt out for comparison: uid, label, band, block, i, j.
 
     A large bucket is compared in blocks: each node goes to as many tasks as there are blocks, and a task holds two blocks.
     """
-    own = members.join(buckets.select("band", "n"), "band").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    own = shared.drop("a").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     split = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
     count = F.ceil(F.col("n") / BLOCK_NODES)
     return (
@@ -309,7 +310,7 @@ def _cells(source: DataFrame, wanted: DataFrame, folder: str, width: int) -> Dat
     """uid, cells of the wanted nodes (uid, part, pos): a scan of the texts that lets only their rows through."""
     spark = source.sparkSession
     table = SideTable(f"{folder}-rows").write(wanted.select(F.col("part").alias("key"), F.col("pos").alias("item"), F.col("uid").alias("value")))
-    rows = source.withColumn("uid", table.find(F.col("part"), F.col("pos"))).where("uid is not null").select("uid", "text")
+    rows = materialise(source.withColumn("uid", table.find(F.col("part"), F.col("pos"))).where("uid is not null").select("uid", "text"), "wanted")
 
     @lean
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

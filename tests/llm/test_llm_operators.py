@@ -412,6 +412,26 @@ def test_recall_of_the_scan(spark):
     assert len(got) == 100 and hits / 2000 >= 0.9
 
 
+def test_near_equal_vectors_are_all_reranked(spark):
+    """Groups of 2,000 vectors nearer to each other than a codebook cell, and a query id that has more rows than k."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(3, 64))
+    x = np.concatenate([np.repeat(centres, 2000, axis=0) + rng.normal(0, 1e-4, (6000, 64)), rng.normal(size=(3000, 64))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = np.arange(len(x))
+    ids[1:31] = 0
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").coalesce(1)
+    got = collections.defaultdict(list)
+    for r in ann.search(df, (F.col("vec_id") % 200 == 0)).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    y = x.astype(np.float64)
+    for q in range(200, len(x), 200):
+        s = (y * y[q]).sum(axis=1)
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        assert sorted(got[q]) == [(n + 1, int(ids[i]), float(s[i])) for n, i in enumerate(order)]
+    assert len(got) == 45 and len(got[0]) == 31 * 20 and 0 not in {v for _, v, _ in got[0]}
+
+
 def test_codes_lose_less_along_the_vector():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 16))

@@ -2,7 +2,8 @@
 
 A vector is coded in four bits for each pair of dimensions. Codes and codebooks minimise |r|^2 + (h - 1) (r . u)^2, where r is the residual and u the vector's
 direction: error along the vector, which changes large inner products, costs h times as much as error across it. A scan adds up table entries
-by code, two codes a byte; the best RERANK_SHARE of a block are scored again on the original vectors in double precision.
+by code, two codes a byte; the best RERANK_SHARE of a block are scored again on the original vectors in double precision. So is every other row whose scan score
+plus its bound (the query's norm times the row's residual) reaches the k-th of these, so the cut loses no neighbour, however many vectors share a code.
 
 The index is a table of blocks in the shared folder: each task packs the rows that it reads, so nothing is shuffled to build it. A search task holds one block and
 streams the query blocks past it; each pair of blocks leaves the k best of each query, and these are merged in two levels.
@@ -28,7 +29,8 @@ SAMPLE_ROWS = 8192
 SCORE_THRESHOLD = 0.2
 CODES, PAIR, BLOCK_ROWS, QUERY_ROWS = 16, 2, 16384, 512
 RERANK_SHARE, RERANK_LEAST = 0.03, 512
-BLOCKS = "n long, ids binary, ends binary, vectors binary, codes binary"
+REACH_ROWS = 4096
+BLOCKS = "n long, ids binary, ends binary, vectors binary, codes binary, errors binary"
 
 
 def valid(vector: Column, dim: int | None = None) -> Column:
@@ -102,6 +104,13 @@ class Codebooks:
             self.books[m][used] = np.linalg.solve(left[used], right[used][:, :, None])[:, :, 0]
             along = rest + ((xm - self.books[m][c]) * um).sum(axis=1)
 
+    def errors(self, vectors: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Norm of what each row's codes leave of it."""
+        rest = self.pairs(vectors)
+        for m in range(rest.shape[1]):
+            rest[:, m] -= self.books[m][code[:, m]]
+        return np.sqrt((rest**2).sum(axis=(1, 2)))
+
     def pack(self, code: np.ndarray) -> np.ndarray:
         """Two codes a byte, by byte: (pairs / 2) x rows."""
         return np.ascontiguousarray((code[:, 0::2] | (code[:, 1::2] << 4)).astype(np.uint8).T)
@@ -123,24 +132,53 @@ class Block:
         self.ids, self.ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
         self.vectors = np.frombuffer(row["vectors"], kind).reshape(-1, dim)
         self.codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, max(1, len(self.vectors)))
+        self.errors = np.frombuffer(row["errors"], np.float64)
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors, dtype=np.float64).max(initial=0.0))  # the largest
+
+    def exact(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return (self.vectors[at].astype(np.float64) * query).sum(axis=1)
+
+    def within_reach(self, rough: np.ndarray, done: np.ndarray, bar: float, query: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Rows besides ``done`` that may score ``bar`` or more: first by scan score and residual, then by a product in the vectors' own precision.
+
+        Both bounds are strict, with room for rounding; what isn't finite stays in.
+        """
+        size, dim = float(np.sqrt((query**2).sum())), len(query)
+        info = np.finfo(self.vectors.dtype)
+        room = (len(table) + 4) * np.finfo(np.float32).eps * float(np.abs(table).max(axis=1).sum()) + 4 * dim * np.finfo(np.float64).eps * size * self.norm
+        may = ~(rough + size * self.errors + room < bar) | ~np.isfinite(rough)
+        may[done] = False
+        more = np.flatnonzero(may)
+        slack = 4 * dim * (info.eps * size * self.norm + info.tiny)
+        kept = [more[:0]]
+        with np.errstate(over="ignore", invalid="ignore"):
+            for lo in range(0, len(more), REACH_ROWS):
+                part = more[lo : lo + REACH_ROWS]
+                near = (self.vectors[part] @ query.astype(self.vectors.dtype)).astype(np.float64)
+                kept.append(part[~(near + slack < bar) | ~np.isfinite(near)])
+        return np.concatenate(kept)
 
     def search(self, query: np.ndarray, own: int, table: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best ids and scores, without ``own``."""
         n = len(self.vectors)
-        some = max(least, int(np.ceil(share * n)), k + 1)
+        k_own = k + int(np.count_nonzero(self.ids == own))  # rows of own may be the best ones
+        some = max(least, int(np.ceil(share * n)), k_own)
         at = np.arange(n)
         if some < n:
             rough = table[0].take(self.codes[0])
             for byte in range(1, len(self.codes)):
                 rough += table[byte].take(self.codes[byte])
             at = np.argpartition(rough, n - some)[n - some :]
-        exact = (self.vectors[at].astype(np.float64) * query).sum(axis=1)
-        if len(at) > k + 1:
-            bound = np.partition(exact, len(at) - k - 1)[len(at) - k - 1]  # own may be one of them
+        exact = self.exact(at, query)
+        if some < n:
+            more = self.within_reach(rough, at, exact[np.argpartition(exact, some - k_own)[some - k_own]], query, table)
+            at, exact = np.concatenate([at, more]), np.concatenate([exact, self.exact(more, query)])
+        if len(at) > k_own:
+            bound = np.partition(exact, len(at) - k_own)[len(at) - k_own]
             at, exact = at[exact >= bound], exact[exact >= bound]
         order = np.argsort(-exact, kind="stable")
         starts = np.concatenate([[0], self.ends[:-1]])
-        ids = [self.ids[starts[i] : min(self.ends[i], starts[i] + k + 1)] for i in at[order]]
+        ids = [self.ids[starts[i] : min(self.ends[i], starts[i] + k_own)] for i in at[order]]
         scores = np.repeat(exact[order], [len(x) for x in ids])
         every = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         every, scores = every[every != own], scores[every != own]
@@ -166,9 +204,10 @@ def build(vectors: DataFrame, books: Codebooks, kind: str, folder: str) -> DataF
             distinct = distinct.view(every.dtype).reshape(-1, books.dim)
             order = np.lexsort((vec_ids, at))
             ends = np.cumsum(np.bincount(at, minlength=len(distinct)))
-            row = {"n": len(vec_ids), "ids": vec_ids[order].tobytes(), "ends": ends.astype(np.int64).tobytes(), "vectors": distinct.tobytes(), "codes": books.pack(books.assign(distinct)).tobytes()}
+            codes = books.assign(distinct)
+            row = {"n": len(vec_ids), "ids": vec_ids[order].tobytes(), "ends": ends.astype(np.int64).tobytes(), "vectors": distinct.tobytes(), "codes": books.pack(codes).tobytes(), "errors": books.errors(distinct, codes).tobytes()}
             ids.clear(), rows.clear()
-            return pa.RecordBatch.from_pylist([row], pa.schema([("n", pa.int64()), *((c, pa.binary()) for c in ("ids", "ends", "vectors", "codes"))]))
+            return pa.RecordBatch.from_pylist([row], pa.schema([("n", pa.int64()), *((c, pa.binary()) for c in ("ids", "ends", "vectors", "codes", "errors"))]))
 
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK_ROWS // 4):

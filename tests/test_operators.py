@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from wavemill import queries
 from wavemill.functions import dsp
 from wavemill.functions import text as X
 from wavemill.functions import vectors as V
@@ -91,6 +92,72 @@ def test_diarist_relabels():
     assert d.keys == [0, 1, 0] and d.speakers()[0] == d.speakers()[2]
 
 
+class EagerDiarist:
+    """The definition: all keys are clustered anew after every miss."""
+
+    def __init__(self, threshold):
+        self.threshold, self.registry, self.labels, self.keys = threshold, [], [], []
+
+    def step(self, v):
+        scores = [tracking.cosine(v, x) for x in self.registry]
+        key = int(np.argmax(scores)) if scores else -1
+        if key >= 0 and scores[key] > self.threshold:
+            self.registry[key] = (self.registry[key] + v) / 2
+        else:
+            key = len(self.registry)
+            self.registry.append(v)
+            self.labels = clustering.by_first_appearance(clustering.cluster(np.array(self.registry))).tolist()
+        self.keys.append(key)
+
+
+@pytest.fixture(scope="module")
+def far_embeddings(spark, tmp_path_factory):
+    """A folder with a small table of embeddings whose ids reach beyond 300, and its vectors by id."""
+    rng, folder = np.random.default_rng(3), tmp_path_factory.mktemp("far")
+    vectors = {k: rng.normal(size=8) for k in [0, 7, 199, 200, 299, 300, 1000, *range(2000, 2600, 10)]}
+    spark.createDataFrame([(k, 0, v.tolist()) for k, v in vectors.items()], "vec_id long, label int, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder), vectors
+
+
+def test_online_diarize_over_the_whole_table(spark, far_embeddings):
+    folder, vectors = far_embeddings
+    want = {}
+    for stream in range(10):
+        ids, d = [k for k in sorted(vectors) if k % 10 == stream], EagerDiarist(0.3)
+        for k in ids:
+            d.step(vectors[k])
+        want |= {k: d.labels[x] for k, x in zip(ids, d.keys, strict=True)}
+    got = queries.queries()["online_diarize"](spark, folder).collect()
+    assert {r.vec_id: r.speaker for r in got} == want and len(got) == len(want)
+
+
+def test_signals_of_the_whole_table(spark, far_embeddings):
+    folder, vectors = far_embeddings
+    tone = {k: np.sin(np.arange(3200) * (0.02 + 0.001 * (k % 50))) for k in vectors}
+
+    def found(name, column):
+        rows = queries.queries()[name](spark, folder).orderBy("vec_id", "pos").collect()
+        out = {}
+        for r in rows:
+            assert r.pos == len(out.setdefault(r.vec_id, []))
+            out[r.vec_id].append(r[column])
+        return out
+
+    energy, halved = found("mel_features", "energy"), found("resample", "sample")
+    assert energy.keys() == halved.keys() == vectors.keys()
+    for k in vectors:
+        assert np.allclose(energy[k], dsp.log_mel(tone[k]).mean(axis=0), atol=1e-4)
+        assert len(halved[k]) == 1600
+    cutoff, half = 0.99 * 4000, 6 / (2 * 0.99 * 4000)
+    for k in (0, 2590):
+        for n in (0, 99, 100, 800, 1599):
+            delta = np.arange(3200) / 16000 - n / 8000
+            weight = np.where(np.abs(delta) < half, 0.5 * (1 + np.cos(2 * np.pi * cutoff / 6 * delta)), 0) * 2 * cutoff * np.sinc(2 * cutoff * delta) / 16000
+            assert abs(halved[k][n] - tone[k] @ weight) < 2e-6
+    spoken = queries.queries()["speech_to_text_pipeline"](spark, folder).select("stream_id").distinct().collect()
+    assert {r.stream_id for r in spoken} == set(vectors)
+
+
 def test_phrase_boost():
     g = decoding.PhraseGraph([[1, 2], [1, 2, 3], [2, 3]], 1.0)
     state, total = g.root, 0.0

@@ -79,30 +79,49 @@ class ChangeDetector:
 
 @dataclass
 class Diarist:
-    """Segments to speakers: a match blends the stored vector, a miss adds a key and clusters all keys anew, which may relabel what came before."""
+    """Segments to speakers: a match blends the stored vector, a miss adds a key and clusters all keys anew, which may relabel what came before.
+
+    Only the clustering after the last miss is seen in the labels, so it is made when they are asked for, of the vectors as they were then.
+    """
 
     threshold: float = MATCH
     registry: list[np.ndarray] = field(default_factory=list)
     labels: list[int] = field(default_factory=list)
     keys: list[int] = field(default_factory=list)
+    missed: list[np.ndarray] | None = None
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+
+    def _store(self, key: int, v: np.ndarray) -> None:
+        """The registry, and its vectors' norms and rows of one array that doubles when it is full."""
+        if key == len(self.registry):
+            self.registry.append(v)
+        self.registry[key] = v
+        if key >= len(self.rows):
+            grown = np.zeros((max(16, 2 * key), len(v) + 1))
+            grown[:key] = self.rows[:key] if key else 0
+            self.rows = grown
+        self.rows[key, 0], self.rows[key, 1:] = np.linalg.norm(v), v
 
     def step(self, vector) -> int:
         """The key that the segment goes to."""
         v = np.asarray(vector, np.float64)
-        scores = [cosine(v, x) for x in self.registry]
-        key = int(np.argmax(scores)) if scores else -1
+        n = len(self.registry)
+        scores = self.rows[:n, 1:] @ v / np.maximum(self.rows[:n, 0] * np.linalg.norm(v), np.finfo(np.float32).eps) if n else []
+        key = int(np.argmax(scores)) if n else -1
         if key >= 0 and scores[key] > self.threshold:
-            if len(self.registry[key]) == len(v):
-                self.registry[key] = (self.registry[key] + v) / 2
+            self._store(key, (self.registry[key] + v) / 2)
         else:
-            key = len(self.registry)
-            self.registry.append(v)
-            self.labels = [0] if key == 0 else by_first_appearance(cluster(np.array(self.registry))).tolist()
+            key = n
+            self._store(key, v)
+            self.missed = list(self.registry)
         self.keys.append(key)
         return key
 
     def speakers(self) -> list[int]:
         """The label of every segment so far, in the order of arrival."""
+        if self.missed is not None:
+            self.labels = by_first_appearance(cluster(np.array(self.missed))).tolist()
+            self.missed = None
         return [self.labels[k] for k in self.keys]
 
 

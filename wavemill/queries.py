@@ -654,7 +654,7 @@ def change_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("online_diarize")
 def online_diarize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracking.diarised(_vector_stream(spark, sf_dir).where("vec_id < 300"), "stream_id", "vec_id", threshold=0.3)
+    return tracking.diarised(_vector_stream(spark, sf_dir), "stream_id", "vec_id", threshold=0.3)
 
 
 @register("centroid_linkage")
@@ -705,9 +705,10 @@ def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tones: one per embedding, 0.2 s at 16 kHz, computed in the JVM."""
+    """Tones: one per embedding, 0.2 s at 16 kHz, computed in the JVM. A row takes 26 kB, so few of them go to Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     tone = F.transform(F.sequence(F.lit(0), F.lit(3199)), lambda i: F.sin(i * (0.02 + 0.001 * (F.col("vec_id") % 50))))
-    return table(spark, sf_dir, "embeddings").where("vec_id < 200").select("vec_id", tone.alias("samples"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", tone.alias("samples"))
 
 
 def _per_signal(rows: DataFrame, function, column: str) -> DataFrame:
@@ -715,8 +716,9 @@ def _per_signal(rows: DataFrame, function, column: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            out = [(k, i, x) for k, s in zip(pdf["vec_id"], pdf["samples"], strict=True) for i, x in enumerate(function(s))]
-            yield pd.DataFrame(out, columns=["vec_id", "pos", column])
+            for key, samples in zip(pdf["vec_id"], pdf["samples"], strict=True):
+                out = function(samples)
+                yield pd.DataFrame({"vec_id": key, "pos": range(len(out)), column: out})
 
     return rows.mapInPandas(run, f"vec_id long, pos long, {column} double")
 
@@ -732,7 +734,7 @@ def mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavemill.functions import dsp
 
-    return _per_signal(_signals(spark, sf_dir), lambda s: dsp.Resampler(16000, 8000)(s, flush=True)[:100].round(6), "sample")
+    return _per_signal(_signals(spark, sf_dir), lambda s: dsp.Resampler(16000, 8000)(s, flush=True).round(6), "sample")
 
 
 @register("phrase_graph")

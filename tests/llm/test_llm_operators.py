@@ -345,6 +345,42 @@ def test_cross_parsing_equals_brute_force():
             assert got[k] == n
 
 
+@pytest.mark.parametrize("dense", [1, langid.DENSE])
+def test_all_letters_count(monkeypatch, dense):
+    """Scripts of more letters than the table is wide, with any width, against brute force."""
+    monkeypatch.setattr(langid, "DENSE", dense)
+    han = [chr(0x4E00 + k) for k in range(400)]
+    samples = {"en": ["the cat sat on the mat"], "el": ["η γάτα κάθεται στο χαλί"], "ru": ["кошка сидит на ковре"], "zh": ["".join(han[:200])], "ja": ["".join(han[150:] + ["\U00030001"])]}
+    parser = langid.CrossParser(samples)
+    assert parser.predict(["cat mat", "γάτα", "ковре", "".join(han[20:30]), "".join(han[300:310]), "".join(han[390:]) + "\U00030001"])[0] == ["en", "el", "ru", "zh", "ja", "ja"]
+    rng = np.random.default_rng(1)
+    whole = {k: " ".join([*v, ""]) for k, v in samples.items()}
+    for _ in range(40):
+        texts = [str(rng.choice(list(whole.values()))) for _ in range(8)]
+        text = "".join(t[(a := rng.integers(len(t))) : a + rng.integers(1, 12)] for t in texts).lower() + "ж鿿"
+        text = " ".join(text.split(" "))
+        code = parser.codes(text).tolist()
+        for k, language in enumerate(parser.languages):
+            sample = [c for t in samples[language] for c in [*parser.codes(t).tolist(), 0]]
+            holds = {tuple(sample[a:b]) for a in range(len(sample)) for b in range(a + 1, min(len(sample), a + 40) + 1)}
+            n = at = 0
+            while at < len(code):
+                to = at
+                while to < len(code) and tuple(code[at : to + 1]) in holds:
+                    to += 1
+                n, at = n + 1, max(to, at + 1)
+            assert parser.phrases([np.array(code)])[0][k] == n
+
+
+def test_all_labelled_languages_count(spark):
+    rng = np.random.default_rng(5)
+    words = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(20)] for k in range(80)}
+    rows = [(100 * k + i, " ".join(rng.choice(words[lang], 20)), lang) for k, lang in enumerate(sorted(words)) for i in range(4)]
+    parser = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert parser.languages == sorted(words)
+    assert parser.predict([" ".join(words[lang][:10]) for lang in sorted(words)])[0] == sorted(words)
+
+
 def test_held_out_accuracy(spark, sf_dir):
     got = queries.op7_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert got and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95 and all(0 <= r.score <= 1 for r in got)

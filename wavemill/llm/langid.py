@@ -4,8 +4,9 @@ Each language is a suffix automaton of a bounded sample of its labelled text. A
 to right into the longest phrases that occur in the sample. The language with the least cross-entropy, phrases x
 log2(sample length) / document length, wins.
 
-The automata of all languages are one dense table of (state, symbol) -> state, with the restart after a phrase
-folded in, so a step of the parse is one gather. Documents are cut into blocks of BLOCK symbols (each parsed from a fresh phrase), and
+All letters of the samples are told apart. For the commonest symbols the automata of all languages are one dense table of (state, symbol) -> state, with the
+restart after a phrase folded in, so a step of the parse is one gather; transitions on the others are sorted by state and symbol and looked up. The table's width changes
+its memory and no result. Documents are cut into blocks of BLOCK symbols (each parsed from a fresh phrase), and
 all blocks of a batch step through all automata side by side; every character of every text is parsed.
 """
 
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from wavemill.llm.common import drop_caches_of_others, give_back, text_of
 
-#: Bounds of what is learned from: languages (the most frequent), labelled rows per language, characters taken of a row,
-#: and characters over all languages; symbols that are told apart.
-MAX_LANGUAGES, SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS, SYMBOLS = 64, 64, 512, 1 << 16, 48
+#: Bounds of what is learned from: labelled rows per language, characters taken of a row, and characters over all languages (64 a row at least).
+SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS = 64, 512, 1 << 16
+#: Symbols of the dense table at most, and its entries (a wide table is narrowed to them).
+SYMBOLS, DENSE = 48, 1 << 23
 BLOCK, BATCH_SYMBOLS, SLICE_ROWS = 1024, 1 << 19, 250
 SPACE, RARE = 0, 1
 UNDETERMINED = "und"
@@ -71,33 +73,59 @@ class CrossParser:
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         letters = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-        known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]]
+        known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))]
         code = {c: k + 2 for k, c in enumerate(known)}
-        self.symbol = np.zeros(0x110000, np.uint8)
-        for point in range(0x30000):
+        self.size = len(known) + 2
+        self.symbol = np.zeros(0x110000, np.uint8 if self.size <= 1 << 8 else np.uint16 if self.size <= 1 << 16 else np.int32)
+        for point in range(0x40000):
             c = chr(point)
             if c.isalpha():
-                self.symbol[point] = code.get(c.lower()[0], RARE)
-        tables, self.roots, self.bits = [], [], []
+                self.symbol[point] = code.get(c.lower()[0], RARE)  # no sample has RARE
+        automata, self.bits = [], []
         for language in self.languages:
             text: list[int] = []
             for t in samples[language]:
                 text += [*self.codes(t).tolist(), SPACE]
-            states = SuffixAutomaton(text).next
-            base = sum(len(t) for t in tables)
-            root = np.full(SYMBOLS, (base * SYMBOLS) | (1 << _COUNT), np.int64)  # a symbol that the sample lacks is a phrase by itself
-            table = np.empty((len(states), SYMBOLS), np.int64)
+            automata.append(SuffixAutomaton(text).next)
+            self.bits.append(np.log2(max(2, len(text))))
+        self.width = width = max(2, min(SYMBOLS, self.size, DENSE // max(1, sum(map(len, automata)))))
+        tables, self.roots, keys, values, base = [], [], [], [], 0
+        for states in automata:
+            root = np.full(width, (base * width) | (1 << _COUNT), np.int64)  # a symbol that the sample lacks is a phrase by itself
+            table = np.empty((len(states), width), np.int64)
             for c, to in states[0].items():
-                root[c] = (base + to) * SYMBOLS
+                if c < width:
+                    root[c] = (base + to) * width
             table[:] = root + (1 << _COUNT)  # the phrase ends before this symbol, which begins the next
             table[0] = root
-            for state, out in enumerate(states[1:], 1):
+            for state, out in enumerate(states):
                 for c, to in out.items():
-                    table[state, c] = (base + to) * SYMBOLS
+                    if c < width:
+                        table[state, c] = (base + to) * width
+                    else:
+                        keys.append((base + state) * self.size + c)
+                        values.append((base + to) * width)
             tables.append(table.astype(np.int32))
-            self.roots.append(base * SYMBOLS)
-            self.bits.append(np.log2(max(2, len(text))))
+            self.roots.append(base * width)
+            base += len(states)
+        if base * width > _PLACE:
+            raise ValueError(f"{len(self.languages)} languages have {base} states; places of at most {_PLACE // width} fit the table")
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.values = np.append(np.array(values, np.int32)[order], np.int32(0))
+
+    def _sparse(self, place: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """What the table would hold for symbols beyond its width."""
+
+        def found(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = at.astype(np.int64) // self.width * self.size + symbol
+            k = np.searchsorted(self.keys, key)
+            return self.keys[k] == key, self.values[k]
+
+        (hit, to), (begins, first) = found(place), found(root)
+        restart = np.where(begins, first, root | (1 << _COUNT)) + np.where(place == root, 0, 1 << _COUNT)
+        return np.where(hit, to, restart).astype(np.int32)
 
     def codes(self, text: str) -> np.ndarray:
         """Symbols of a text: lower-case letters, and one space for each run of anything else."""
@@ -123,11 +151,18 @@ class CrossParser:
         for row, k in enumerate(order):
             padded[row, : sizes[row]] = blocks[k]
         steps = np.ascontiguousarray(padded.T)
+        beyond = steps >= self.width
+        some_beyond = beyond.any(axis=1).tolist()
+        dense = np.where(beyond, RARE, steps) if any(some_beyond) else steps
+        roots = np.array(self.roots, np.int32)[:, None]
         active = len(blocks) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")
         place = np.repeat(np.array(self.roots, np.int32)[:, None], len(blocks), axis=1)
         count = np.zeros_like(place)
         for k, n in enumerate(active.tolist()):
-            moved = self.table.take(place[:, :n] + steps[k, :n])
+            moved = self.table.take(place[:, :n] + dense[k, :n])
+            if some_beyond[k]:
+                at = np.flatnonzero(beyond[k, :n])
+                moved[:, at] = self._sparse(place[:, at], steps[k, at], roots)
             count[:, :n] += moved >> _COUNT
             np.bitwise_and(moved, _PLACE, out=place[:, :n])
         count += place != np.array(self.roots, np.int32)[:, None]
@@ -164,16 +199,16 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, train: Column, max_languages: int = MAX_LANGUAGES, sample_rows: int = SAMPLE_ROWS) -> CrossParser:
-    """Learn from the rows where ``train`` holds: of each language the ``sample_rows`` rows that come first by a hash of doc_id, ROW_CHARS characters of each.
+def fit(docs: DataFrame, train: Column, max_languages: int | None = None, sample_rows: int = SAMPLE_ROWS) -> CrossParser:
+    """Learn from the rows where ``train`` holds, of all languages (or the ``max_languages`` most frequent): of each language the ``sample_rows`` rows that come first by a hash of doc_id, ROW_CHARS characters of each.
 
     Labels may be wrong: the sample is parsed against the first automata, rows that another language explains better are dropped (unless a language would
     lose over half), and the automata are built anew.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of(docs).alias("text"), train.alias("train")).where("train and lang is not null and doc_id is not null")
-    counts = slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = [r["lang"] for r in counts]
+    counts = slim.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    languages = [r["lang"] for r in (counts if max_languages is None else counts.limit(max_languages)).collect()]
     if not languages:
         return CrossParser({})
     hashed = F.xxhash64("doc_id")
@@ -184,7 +219,7 @@ def fit(docs: DataFrame, train: Column, max_languages: int = MAX_LANGUAGES, samp
         .where(F.col("place") <= sample_rows)
         .select("doc_id", "lang")
     )
-    wanted = spark.createDataFrame(first.distinct().collect(), "doc_id long, lang string")  # at most max_languages x sample_rows rows
+    wanted = spark.createDataFrame(first.distinct().collect(), "doc_id long, lang string")  # at most languages x sample_rows rows
     span = max(64, min(ROW_CHARS, TOTAL_CHARS // (len(languages) * sample_rows)))
     room = F.greatest(F.lit(1), F.char_length("text") - span + 1)
     piece = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), room) + 1).cast("int"), F.lit(span))

@@ -170,6 +170,20 @@ def test_phrase_boost():
     assert g.step(state, 9)[1] == -1
 
 
+def test_phrase_graph_holds_whole_phrases(spark, tmp_path, monkeypatch):
+    """Phrases that share no words: 1.5 for each word of each whole occurrence, nothing for an opening."""
+    phrases = ["alpha beta gamma delta epsilon", "one two", None]
+    spark.createDataFrame(list(enumerate(phrases)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["x alpha beta gamma y", "x alpha beta gamma delta epsilon y one two", "one two one two z one", "beta gamma delta epsilon", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    count = lambda t: sum(1.5 * len(p.split()) * f" {t or ''} ".replace(" ", "  ").count(" " + p.replace(" ", "  ") + " ") for p in phrases if p)
+    run = lambda: {r.doc_id: r.boost for r in queries.queries()["phrase_graph"](spark, str(tmp_path)).collect()}
+    assert run() == {k: count(t) for k, t in enumerate(texts)} == {0: 0, 1: 10.5, 2: 6, 3: 0, 4: 0}
+    monkeypatch.setattr(queries, "MAX_PHRASE_CHARS", 10)
+    with pytest.raises(ValueError):
+        run()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10_000))
 def test_beam_with_all_paths_is_exhaustive(seed):

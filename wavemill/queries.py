@@ -737,12 +737,20 @@ def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_signal(_signals(spark, sf_dir), lambda s: dsp.Resampler(16000, 8000)(s, flush=True).round(6), "sample")
 
 
+#: A longer phrase list is an error.
+MAX_PHRASE_CHARS = 1 << 23
+
+
 @register("phrase_graph")
 def phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The boost of each document by the benchmark's first words, through the phrase automaton."""
+    """The boost of each document by the benchmark's texts as whole phrases (in the order of their ids), through the phrase automaton."""
     import pandas as pd
 
-    phrases = [r["text"].split()[:3] for r in table(spark, sf_dir, "benchmark").select("text").collect()]  # the phrase list of a recogniser: given, and small
+    given = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    size = given.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    if size > MAX_PHRASE_CHARS:
+        raise ValueError(f"the phrases have {size} characters; every task holds their graph, and MAX_PHRASE_CHARS is {MAX_PHRASE_CHARS}")
+    phrases = [(r["text"] or "").split() for r in given.orderBy("item_id", "text").collect()]
 
     def run(batches):
         ids: dict[str, int] = {}

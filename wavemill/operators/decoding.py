@@ -1,4 +1,4 @@
-"""Decoding: greedy and beam search, phrase boosting, hypotheses. SURVEY ids: D1-D8, D10, A18, O2, O3, O6, U4, U5, J6, X17.
+"""Decoding: greedy and beam search, phrase boosting, hypotheses. SURVEY ids: D1-D8, D10, A18, O2, O3, O6, U5, J6, X17.
 
 With fixed log-probabilities the greedy forms are array expressions. Searches whose next scores depend on what was decoded take a
 ``Joiner``, and run per utterance in Arrow batches.

@@ -1,4 +1,4 @@
-"""Windows over sample counts and time, and cuts of sample arrays. SURVEY ids: T1, T2, F15, F18, F19, P4, P5, J8, W2, W3, W8, W9, A15, P9.
+"""Windows over sample counts and time, and cuts of sample arrays. SURVEY ids: T1, T2, F15, F18, P4, P5, J8, W2, W3, W8, W9, A15, P9.
 
 A stream is a key column; order within it is a bigint index. Nothing here needs a row's neighbours but through a window
 function or an equi-key, so one shuffle by stream (and window) is all.

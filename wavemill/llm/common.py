@@ -85,6 +85,15 @@ def with_rows(docs: DataFrame, prefix: str = "_row") -> DataFrame:
     raise AssertionError
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` (one row per key) where one key may hold any share of the rows.
+
+    ``salt``, a column of ``rows``, deals the rows of a key out; the facts of a key are copied once to each salt under which the key occurs.
+    """
+    wanted = rows.select(key, salt).distinct().join(facts, key)
+    return rows.join(wanted, [key, salt], how)
+
+
 def give_back() -> None:
     """Return memory that this process has freed to the system."""
     pa.default_memory_pool().release_unused()

@@ -7,10 +7,13 @@ darts of rank below about (k ln k + 2k) / weight are ever drawn, so a document c
 k ln k steps, not k steps for each shingle. Each dart hits one of k coordinates, and the earliest dart of each
 coordinate is the signature: two documents agree on a coordinate with a probability of their similarity.
 
-Signatures are cut into bands. Whole texts with equal words are one node. Each node is first linked to the likeliest of its buckets' smallest
-nodes, one link a node, and links are verified on the shingles themselves. What a bucket still holds apart is then compared signature
-by signature in blocks, and look-alikes of different components are verified until one joins them. So every pair that meets
-in any bucket is either in one component already or gets tested; no list of all pairs is ever made. Classes are the connected components of verified links.
+Signatures are cut into bands. Whole texts with equal words are one node. Candidates come from buckets, texts that share a band, in three steps, each linear in a
+bucket's members: first each node meets the likeliest of its buckets' smallest nodes; then, for LEADER_ROUNDS rounds, each member of a bucket that still holds several components
+meets one of two leaders drawn by hash, of another component; verified links join components from round to round. What is then still apart goes to an exact join by
+rare shingles. Overlap with another component is at most the number of shingles that other components hold too, so a text of which they hold less than
+the threshold's share is done: unlike texts with a common passage leave here, without being compared. The others are listed under the rarest of their shared shingles, as
+many as any similar pair must have one in common of, and entries of a list are compared by size and place, near ones first, in windows that grow until they cover the longest list.
+No pair that meets in a bucket goes untested unless it is in one component already or can't reach the threshold. Classes are the connected components of verified links.
 
 With 24 bands of 5, a pair at the threshold meets with probability 0.99993. The signature's filter lets pairs through down to five standard
 deviations under the threshold.
@@ -26,13 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import arrow_rows, lean, materialise, shared_dir, SideTable, stored, text_of, with_rows
+from wavemill.llm.common import arrow_rows, lean, materialise, shared_dir, SideTable, spread_join, stored, text_of, with_rows
 from wavemill.llm.perfect_hash import mix
 
 WORDS, THRESHOLD, BANDS, BAND_ROWS = 5, 0.8, 24, 5
 SIGNATURES = "doc_id long, part long, pos long, uid long, copy string, size long, bands array<long>, sig binary"
-#: Nodes of one block when an unresolved bucket is compared signature by signature.
-BLOCK_NODES = 512
+#: Rounds in which the members of an unresolved bucket meet a leader, before the exact join takes what is left.
+LEADER_ROUNDS = 2
+#: Shingles of a chunk of texts in the exact join; entries of a list that are compared with each other at first, and the factor from round to round.
+CHUNK_CELLS, WINDOW, WINDOW_GROWTH = 1 << 19, 64, 16
+CHUNKS = "uids binary, labels binary, sizes binary, cells binary"
+ENTRIES = "token long, uid long, size long, pos long"
 #: Texts or pairs of shingle sets that a Python worker holds at once.
 BATCH_ROWS = 1000
 _GAP = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
@@ -196,114 +203,203 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS
         signatures(source.withColumn("uid", F.monotonically_increasing_id()), bands, rows, width).write.parquet(f"{folder}/signed")
     signed = stored(spark, f"{folder}/signed", SIGNATURES)
 
+    task = F.shiftright("uid", 33)  # the task that has numbered the row: no hot key holds more of one task's rows than the task had
     copies = signed.groupBy("copy").agg(F.min("uid").alias("uid"))
     nodes = materialise(signed.join(copies.select("uid"), "uid", "left_semi").where("size > 0").select("uid", "part", "pos", "bands", "sig"), "nodes")
-    members = nodes.select("uid", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(members.join(buckets, "band"), "buckets")  # only buckets of two or more, so most bands are gone
-    stars = shared.where("a != uid").select("a", F.col("uid").alias("b")).distinct()
+    members = nodes.select("uid", task.alias("task"), F.explode("bands").alias("band"))
+    buckets = members.groupBy("band").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = materialise(spread_join(members, buckets, "band", "task"), "buckets")  # only buckets of two or more, so most bands are gone
 
-    @F.arrow_udf("int")
-    def agreeing(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array((_bytes(left, k) == _bytes(right, k)).sum(axis=1), pa.int32())
-
-    sig = lambda name, column: nodes.select(F.col("uid").alias(name), F.col("sig").alias(column))
-    rated = stars.join(sig("b", "sig_b"), "b").join(sig("a", "sig_a"), "a").select("a", "b", agreeing("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= least)
-    best = rated.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("low"))).alias("best"))
-    hopeful = materialise(best.select((-F.col("best.low")).alias("a"), "b"), "stars")
-    ends = hopeful.select(F.col("a").alias("uid")).union(hopeful.select(F.col("b").alias("uid"))).distinct()
-    cells = _cells(source, nodes.join(ends, "uid", "left_semi"), f"{folder}/first", width)
+    hopeful = materialise(_likeliest(shared.where("a != uid").select("a", F.col("uid").alias("b")), nodes, k, least), "stars")
+    cells = _cells(source, nodes.join(_ends(hopeful), "uid", "left_semi"), f"{folder}/first", width)
     with arrow_rows(spark, BATCH_ROWS):
         links = materialise(similar(hopeful, cells, threshold), "links")
-
-    dealt = materialise(_dealt(shared, components(links)), "apart")
-    if dealt.limit(1).count():
-        suspects = materialise(_meeting(dealt, nodes, k, bands, least).select("uid").distinct(), "suspects")
-        missing = nodes.join(suspects, "uid", "left_semi").join(cells.select("uid"), "uid", "left_anti")
-        cells = cells.unionByName(_cells(source, missing, f"{folder}/second", width))
-        with arrow_rows(spark, BATCH_ROWS):
-            more = _meeting(dealt.join(suspects, "uid", "left_semi"), nodes, k, bands, least, cells, threshold)
-            links = links.unionByName(materialise(more.select(F.col("uid").alias("a"), F.col("other").alias("b")), "links"))
-
-    label = copies.join(components(links), "uid", "left").select("copy", F.coalesce("label", "uid").alias("label"))
-    rows_of = signed.select("doc_id", "part", "pos", "uid", "copy").join(label, "copy").drop("copy")
+    labels = _merged(shared.select("uid", "task").distinct().withColumn("label", F.col("uid")), links)
+
+    apart = materialise(_apart(shared.drop("a"), labels), "apart")
+    if apart.limit(1).count():
+        missing = apart.select("uid").distinct().join(cells.select("uid"), "uid", "left_anti")
+        cells = cells.unionByName(_cells(source, nodes.join(missing, "uid", "left_semi"), f"{folder}/second", width))
+        for turn in range(LEADER_ROUNDS):
+            met = materialise(_likeliest(_leaders(apart, turn), nodes, k, least), "met")
+            with arrow_rows(spark, BATCH_ROWS):
+                labels = _merged(labels, materialise(similar(met, cells, threshold), "links"))
+            apart = materialise(_apart(apart.drop("label"), labels), "apart")
+        labels = _by_rare_shingles(apart.select("uid", "task", "label").distinct(), cells, labels, threshold)
+
+    label = copies.join(labels.select("uid", "label"), "uid", "left").select("copy", F.coalesce("label", "uid").alias("label"))
+    rows_of = spread_join(signed.select("doc_id", "part", "pos", "uid", "copy", task.alias("task")), label, "copy", "task").drop("copy")
+    rows_of = materialise(rows_of, "labelled")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     classes = rows_of.groupBy("label").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return rows_of.join(classes, "label").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "part", "pos")
+    return spread_join(rows_of, classes, "label", "task").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "part", "pos")
 
 
 def _bytes(binaries: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(binaries.to_pylist()), np.uint8).reshape(len(binaries), width)
 
 
-def _dealt(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, dealt out for comparison: uid, label, band, block, i, j.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
 
-    A large bucket is compared in blocks: each node goes to as many tasks as there are blocks, and a task holds two blocks.
-    """
-    own = shared.drop("a").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+
+def _likeliest(pairs: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
+    """Of each b the pair (a, b) whose signatures agree most, in ``least`` coordinates at least."""
+
+    @F.arrow_udf("int")
+    def agreeing(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array((_bytes(left, k) == _bytes(right, k)).sum(axis=1), pa.int32())
+
+    sig = lambda name, column: nodes.select(F.col("uid").alias(name), F.col("sig").alias(column))
+    rated = spread_join(pairs.distinct().join(sig("b", "sig_b"), "b").withColumn("task", F.shiftright("b", 33)), sig("a", "sig_a"), "a", "task")
+    rated = rated.select("a", "b", agreeing("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= least)
+    best = rated.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("low"))).alias("best"))
+    return best.select((-F.col("best.low")).alias("a"), "b")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (uid, task, label: a uid of the component) after more links (a, b) between its uids."""
+    own = lambda name: labels.select(F.col("uid").alias(name), F.col("label").alias(f"label_{name}"))
+    joined = spread_join(links.withColumn("task", F.shiftright("b", 33)), own("a"), "a", "task").join(own("b"), "b")
+    found = components(joined.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    moved = spread_join(labels, found.select(F.col("uid").alias("label"), F.col("label").alias("to")), "label", "task", "left")
+    return materialise(moved.select("uid", "task", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of the rows (uid, task, band) those of buckets that hold several components, with their label."""
+    own = members.join(labels.select("uid", "label"), "uid")
     split = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    count = F.ceil(F.col("n") / BLOCK_NODES)
-    return (
-        own.join(split, "band", "left_semi")
-        .withColumn("block", F.pmod(F.xxhash64("uid"), count))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-        .select("uid", "label", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    )
+    return spread_join(own, split, "band", "task").select("uid", "task", "band", "label")
+
+
+def _leaders(apart: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each member b of a bucket and that of two members drawn by hash that is of another component, the first of them if both are."""
+    drawn = F.struct(F.xxhash64("uid", F.lit(turn)).alias("order"), "uid", "label")
+    leaders = apart.groupBy("band").agg(F.min(drawn).alias("first"), F.max(drawn).alias("last"))
+    met = spread_join(apart, leaders, "band", "task")
+    other = F.when(F.col("label") != F.col("first.label"), F.col("first.uid")).when(F.col("label") != F.col("last.label"), F.col("last.uid"))
+    return met.select(other.alias("a"), F.col("uid").alias("b")).where("a is not null")
 
 
-def _meeting(dealt: DataFrame, nodes: DataFrame, k: int, bands: int, least: float, cells: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Nodes of different components that meet in a bucket and look alike: uid, other.
+def _by_rare_shingles(apart: DataFrame, cells: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``labels`` after every similar pair of different components among ``apart`` (uid, label) has been linked.
 
-    Each pair is looked at in the first band that both share, so once in all. Without ``cells`` a node that has any look-alike gives one row. With the
-    shingles of all such nodes, look-alikes are verified, the likeliest first, until one of each component has been found similar: one link is enough to join it.
+    Shingles are ordered: first those of one component alone, then by how many of these texts hold them. Two similar texts of sizes n and m share at least t/(1+t) (n+m)
+    shingles, so the first that they share, at places i and j of theirs, leaves as many behind it in both: i <= (1-t) n, and
+    min(n-i, m-j) reaches that bound.
     """
-    rows = dealt.join(nodes.select("uid", "bands", "sig"), "uid")
-    exact = cells is not None
-    if exact:
-        rows = rows.join(cells, "uid")
-    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "uid")
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        uid, label, block = (rows[c].to_numpy() for c in ("uid", "label", "block"))
-        sig, keys = _bytes(rows["sig"], k), rows["bands"].combine_chunks().values.to_numpy().reshape(len(uid), bands)
-        sets = [np.frombuffer(x, np.uint64) for x in rows["cells"].to_pylist()] if exact else []
-        band, one = rows["band"][0].as_py(), rows["i"][0].as_py() == rows["j"][0].as_py()
-        here = int(np.flatnonzero(keys[0] == band)[0])
-        found: list[tuple[int, int]] = []
-        for row in range(len(uid)):
-            fit = (label != label[row]) & (one | (block != block[row]))
-            fit[: row + 1 if exact else 0] = False
-            fit[row] = False
-            at = np.flatnonzero(fit)
-            at = at[(keys[at, :here] != keys[row, :here]).all(axis=1)]
-            agree = (sig[at] == sig[row]).sum(axis=1)
-            at, agree = at[agree >= least], agree[agree >= least]
-            if not exact:
-                found += [(uid[row], uid[at[0]])] if len(at) else []
-                continue
-            joined: set[int] = set()
-            for other in at[np.argsort(-agree, kind="stable")].tolist():
-                if label[other] not in joined and overlap(sets[row], sets[other], threshold):
-                    joined.add(label[other])
-                    found.append((uid[row], uid[other]))
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["uid", "other"])
+    entries = _entries(apart, cells, threshold)
+    longest = entries.groupBy("token").count().agg(F.max("count")).first()[0] or 0
+    line = entries.repartitionByRange("token", "size", "uid").sortWithinPartitions("token", "size", "uid").withColumn("id", F.monotonically_increasing_id())
+    line = materialise(line, "line").withColumn("range", F.shiftright("id", 33))
+    sizes = sorted((r["range"], r["count"]) for r in line.groupBy("range").count().collect())  # one row per partition
+    bases = [(part, sum(n for _, n in sizes[:i]) - (part << 33)) for i, (part, _) in enumerate(sizes)]
+    line = line.join(F.broadcast(apart.sparkSession.createDataFrame(bases, "range long, base long")), "range").withColumn("place", F.col("id") + F.col("base"))
+    low, high = 1, WINDOW
+    while low < longest:
+        near = materialise(_candidates(line, labels, low, high, threshold).distinct(), "near")
+        with arrow_rows(apart.sparkSession, BATCH_ROWS):
+            labels = _merged(labels, materialise(similar(near, cells, threshold), "links"))
+        low, high = high, high * WINDOW_GROWTH
+    return labels
+
+
+def _entries(apart: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """token, uid, size, pos: the texts that may be similar to one of another component, under their rarest shared shingles."""
+    spark = apart.sparkSession
+    folder = shared_dir(spark, "rare")
 
     @lean
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            row = {"uids": np.array([h[0] for h in held], np.int64), "labels": np.array([h[1] for h in held], np.int64), "sizes": np.array([len(h[2]) // 8 for h in held], np.int64)}
+            row = {c: x.tobytes() for c, x in row.items()} | {"cells": b"".join(h[2] for h in held)}
+            held.clear()
+            return pa.RecordBatch.from_pylist([row], pa.schema([(c, pa.binary()) for c in ("uids", "labels", "sizes", "cells")]))
+
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None else table
-            key = np.stack([held[c].to_numpy() for c in ("band", "i", "j")])
-            starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1])
-            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                yield pairs(held.slice(lo, hi - lo))
-            held = held.slice(int(starts[-1]))
-        if held is not None and held.num_rows:
-            yield pairs(held)
-
-    return rows.mapInArrow(compared, "uid long, other long")
+            for row in zip(*(batch.column(c).to_pylist() for c in ("uid", "label", "cells")), strict=True):
+                held.append(row)
+                size += len(row[2]) // 8
+                if size >= CHUNK_CELLS:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    with arrow_rows(spark, BATCH_ROWS):
+        apart.select("uid", "label").join(cells, "uid").select("uid", "label", "cells").mapInArrow(chunked, CHUNKS).withColumn("chunk", F.monotonically_increasing_id()).write.parquet(f"{folder}/chunks")
+    chunks = stored(spark, f"{folder}/chunks", f"{CHUNKS}, chunk long")
+
+    @lean
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                flat, owner = np.frombuffer(row["cells"], np.int64), np.repeat(np.frombuffer(row["labels"], np.int64), np.frombuffer(row["sizes"], np.int64))
+                order = np.lexsort((owner, flat))
+                flat, owner = flat[order], owner[order]
+                start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+                end = np.append(start[1:], len(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(flat[start]), pa.array(np.full(len(start), row["chunk"])), pa.array(owner[start]), pa.array(owner[end - 1]), pa.array(end - start)], ["token", "chunk", "low", "high", "n"])
+
+    with arrow_rows(spark, 1):  # a row is a chunk
+        chunks.mapInArrow(held, "token long, chunk long, low long, high long, n long").write.parquet(f"{folder}/held")
+    each = stored(spark, f"{folder}/held", "token long, chunk long, low long, high long, n long")
+    common = each.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high").select("token", "n")
+    table = SideTable(f"{folder}/common").write(each.select("token", "chunk").join(common, "token").select(F.col("chunk").alias("key"), F.col("token").alias("item"), F.col("n").alias("value")))
+
+    @lean
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                flat, uids, sizes = (np.frombuffer(row[c], np.int64) for c in ("cells", "uids", "sizes"))
+                n, there = table.values(np.full(len(flat), row["chunk"]), flat)
+                ends = np.cumsum(sizes)
+                shared = np.add.reduceat(there.astype(np.int64), ends - sizes)
+                out = []
+                for i in np.flatnonzero(shared >= threshold * sizes - 1e-9).tolist():
+                    mine = np.arange(ends[i] - sizes[i], ends[i])[there[ends[i] - sizes[i] : ends[i]]]
+                    mine = mine[np.lexsort((flat[mine], n[mine]))]
+                    pos = sizes[i] - shared[i] + np.arange(len(mine))
+                    first = pos <= (1 - threshold) * sizes[i] + 1e-9
+                    out.append((flat[mine[first]], np.full(first.sum(), uids[i]), np.full(first.sum(), sizes[i]), pos[first]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "uid", "size", "pos"])
+
+    with arrow_rows(spark, 1):
+        chunks.mapInArrow(listed, ENTRIES).write.parquet(f"{folder}/entries")
+    return stored(spark, f"{folder}/entries", ENTRIES)
+
+
+def _candidates(line: DataFrame, labels: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that stand ``low`` to ``high`` - 1 places apart in one list and may be similar by size and place.
+
+    The line of all lists is cut every ``high`` places; an entry goes to its own block and, to be met by later entries, to the next one.
+    """
+    own = line.join(labels.select("uid", "label"), "uid").withColumn("block", F.expr(f"place div {high}"))
+    rows = own.withColumn("after", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("block", F.col("block") + F.col("after"))
+
+    def pairs(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        token, uid, size, pos, label, place, after = (rows[c].to_numpy() for c in ("token", "uid", "size", "pos", "label", "place", "after"))
+        found = [(uid[:0], uid[:0])]
+        behind, need = size - pos, threshold / (1 + threshold)
+        for d in range(1, min(high, len(uid))):
+            same = token[d:] == token[:-d]
+            if not same.any():
+                break
+            apart = place[d:] - place[:-d]  # no smaller than d: entries of other blocks are missing only at the ends
+            ok = same & (apart >= low) & (apart < high) & (after[d:] == 0) & (label[d:] != label[:-d])
+            ok &= np.minimum(behind[d:], behind[:-d]) >= need * (size[d:] + size[:-d]) - 1e-9
+            at = np.flatnonzero(ok)
+            found.append((np.minimum(uid[at], uid[at + d]), np.maximum(uid[at], uid[at + d])))
+        return pa.table({"a": pa.array(np.concatenate([x for x, _ in found]), pa.int64()), "b": pa.array(np.concatenate([y for _, y in found]), pa.int64())})
+
+    return rows.select("block", "token", "uid", "size", "pos", "label", "place", "after").groupBy("block").applyInArrow(pairs, "a long, b long")
 
 
 def _cells(source: DataFrame, wanted: DataFrame, folder: str, width: int) -> DataFrame:

@@ -5,6 +5,8 @@ pre-tokenizer cuts runs of letters, single digits and runs of other signs, the i
 white-space-free runs one after another; and where a run only holds Latin letters and plain ASCII signs (no apostrophe,
 which begins contractions), it may be cut between the letters and the signs as well. Words are then looked up in a bounded cache, and only new ones
 go through the library. Every other run goes through the library whole; any other vocabulary is used on whole texts.
+
+Texts of plain signs are cut together, wherever white space, letters and signs meet; Arrow numbers their words, each distinct word is looked up once, and numpy lays the ids out.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from wavemill.llm.common import keep
 
@@ -25,6 +29,11 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *
 _PLAIN = bytes([9, 10, 11, 12, 13, *(c for c in range(32, 127) if c != 39), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 _WORDS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[!-&(-@\\[-`{-~]+")
 _RUNS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Characters of texts that are cut together; a longer text is taken alone.
+GROUP_CHARS = 1 << 20
+#: Of the Latin-1 signs: lower case, and whether it is white space (0), a letter (1) or another sign (2).
+_LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+_KIND = np.array([0 if chr(c) in " \t\n\r\x0b\x0c" else 1 if chr(c) in LETTERS else 2 for c in range(256)], np.uint8)
 
 
 class _Cache(dict):
@@ -36,10 +45,18 @@ class _Cache(dict):
         return found
 
 
+def _plain(text: str) -> bool:
+    """Nothing but Latin letters, digits, plain ASCII signs and white space?"""
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
 class Encoder:
     """ids of a text as little-endian bytes, ``dtype`` wide: two bytes where the vocabulary allows it, else four."""
 
-    def __init__(self, path: str, cache_words: int = 80_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -66,7 +83,10 @@ class Encoder:
         if self.by_word:
             table = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS}
             self.as_bytes = str.maketrans({c: x for c, x in table.items() if c != x})
-        self.words, self.runs = _Cache(self._word), _Cache(self._run)
+        self.words, self.runs, self.known = _Cache(self._word), _Cache(self._run), _Cache(self._piece)
+
+    def _piece(self, piece: bytes) -> bytes:
+        return self._word(piece.decode("latin-1")) if _KIND[piece[0]] else b""
 
     def _run(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -82,22 +102,69 @@ class Encoder:
         if not self.by_word:
             return self._run(text)
         for cache in (self.words, self.runs):
-            if len(cache) > self.limit:
+            if len(cache) > self.limit // 4:
                 cache.clear()
-        try:
-            plain = not text.encode("latin-1").translate(None, _PLAIN) and "<|" not in text
-        except UnicodeEncodeError:
-            plain = False
-        if plain:
+        if _plain(text):
             return b"".join(map(self.words.__getitem__, _WORDS.findall(text.lower())))
         return b"".join(self._mixed(run) for run in _RUNS.findall(text))
 
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many there are of each."""
+        parts, sizes, group, chars = [np.zeros(0, self.dtype)], np.zeros(len(texts), np.int64), [], 0
+
+        def flush() -> None:
+            if group:
+                ids, sizes[group] = self._together([texts[i] for i in group])
+                parts.append(ids)
+
+        for i, text in enumerate(texts):
+            if self.by_word and _plain(text):
+                if group and chars + len(text) > GROUP_CHARS:
+                    flush()
+                    group, chars = [], 0
+                group.append(i)
+                chars += len(text)
+            else:
+                flush()
+                group, chars = [], 0
+                parts.append(np.frombuffer(self.encode(text), self.dtype))
+                sizes[i] = len(parts[-1])
+        flush()
+        return np.concatenate(parts), sizes
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_many`` for plain texts."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        raw = "\n".join([*texts, ""]).encode("latin-1").translate(_LOWER)
+        kind = _KIND[np.frombuffer(raw, np.uint8)]
+        starts = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1])
+        offsets = np.append(starts, len(raw))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        numbered = pc.dictionary_encode(pieces)
+        found = list(map(self.known.__getitem__, numbered.dictionary.to_pylist()))
+        each = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        words = kind[starts] > 0
+        starts, number = starts[words], numbered.indices.to_numpy()[words]
+        n = each[number]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(each) - each)[number] - ends + n, n)
+        place += np.arange(len(place))
+        texts_end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        last = np.concatenate([[0], ends])[np.searchsorted(starts, texts_end)]
+        return np.frombuffer(b"".join(found), self.dtype)[place], np.diff(last, prepend=0)
+
     def _mixed(self, run: str) -> bytes:
         if len(run) < 64 and run.isascii() and "'" not in run and "<|" not in run and run.isprintable():
             return b"".join(map(self.words.__getitem__, _WORDS.findall(run.lower())))
         return self.runs[run] if len(run) < 64 else self._run(run)
 
 
+def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and sizes of texts with ``end_id`` (none: nothing) after each."""
+    return (ids, sizes) if end_id is None else (np.insert(ids, np.cumsum(sizes), end_id), sizes + 1)
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.common import arrow_rows, filesystem, lean, shared_dir, stored, text_of
-from wavemill.llm.encoding import encoder
+from wavemill.llm.encoding import encoder, with_end
 from wavemill.llm.perfect_hash import mix
 from wavemill.llm.token_store import crc_u32
 
@@ -27,6 +27,8 @@ BUCKETS, DIMENSIONS, BITS = 512, 4, 12
 RECORDS = "curve long, doc_id long, file string, record long, at long, n long"
 #: Bytes of ids after which a task begins another payload file, and the span of a file that one reading task takes.
 FILE_BYTES, SPAN_BYTES = 256 << 20, 16 << 20
+#: Documents that are placed on the curve together.
+GROUP_ROWS = 500
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -63,12 +65,19 @@ class Curve:
         self.bucket = (mix(np.arange(vocabulary), 11) % np.uint64(BUCKETS)).astype(np.int64)
         self.directions = np.random.default_rng(6).standard_normal((BUCKETS, DIMENSIONS)) / 2
 
-    def cells(self, ids: np.ndarray) -> np.ndarray:
-        if not len(ids):
-            return np.zeros(DIMENSIONS, np.int64)
-        vector = np.sqrt(np.bincount(self.bucket[ids], minlength=BUCKETS))
-        place = vector @ self.directions / np.linalg.norm(vector)
-        return np.clip(np.floor((place + 1) / 2 * (1 << BITS)), 0, (1 << BITS) - 1).astype(np.int64)
+    def cells(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Cells (rows x dimensions) of documents of these sizes whose ids stand one after another. A document without ids lies in cell 0."""
+        ends = np.cumsum(sizes)
+        parts = [self._cells(ids[ends[lo] - sizes[lo] : ends[min(lo + 64, len(sizes)) - 1]], sizes[lo : lo + 64]) for lo in range(0, len(sizes), 64)]
+        return np.concatenate([np.zeros((0, DIMENSIONS), np.int64), *parts])
+
+    def _cells(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        row = np.repeat(np.arange(len(sizes)) * BUCKETS, sizes)
+        vectors = np.sqrt(np.bincount(self.bucket[ids] + row, minlength=len(sizes) * BUCKETS)).reshape(len(sizes), BUCKETS)
+        place = vectors @ self.directions / np.sqrt(np.maximum(sizes, 1))[:, None]  # the squares of a row add up to its size
+        cells = np.clip(np.floor((place + 1) / 2 * (1 << BITS)), 0, (1 << BITS) - 1).astype(np.int64)
+        cells[sizes == 0] = 0
+        return cells
 
 
 def encode_to_files(docs: DataFrame, tokenizer: str, end_id: int | None, folder: str) -> DataFrame:
@@ -83,27 +92,20 @@ def encode_to_files(docs: DataFrame, tokenizer: str, end_id: int | None, folder:
         fs.create_dir(base, recursive=True)
         out, name, at, record = None, "", 0, 0
         for batch in batches:
-            cells, files, records, starts, sizes = [], [], [], [], []
-            for text in batch.column("text"):
+            for lo in range(0, batch.num_rows, GROUP_ROWS):
+                part = batch.slice(lo, GROUP_ROWS)
                 if out is None or at * own.dtype.itemsize >= FILE_BYTES:
                     if out:
                         out.close()
                     name, at, record = uuid.uuid4().hex, 0, 0
                     out = fs.open_output_stream(f"{base}/{name}.ids")
-                raw = own.encode(text.as_py())
-                ids = np.frombuffer(raw, own.dtype)
-                cells.append(curve.cells(ids))
-                out.write(raw)
-                n = len(ids)
-                if end_id is not None:
-                    out.write(np.array([end_id], own.dtype).tobytes())
-                    n += 1
-                for column, value in ((files, name), (records, record), (starts, at), (sizes, n)):
-                    column.append(value)
-                at, record = at + n, record + 1
-            if cells:
-                keys = hilbert(np.array(cells), BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("doc_id"), pa.array(files), *(pa.array(x, pa.int64()) for x in (records, starts, sizes))], ["curve", "doc_id", "file", "record", "at", "n"])
+                ids, sizes = own.encode_many(part.column("text").to_pylist())
+                keys = hilbert(curve.cells(ids, sizes), BITS)
+                ids, n = with_end(ids, sizes, end_id)
+                out.write(ids.tobytes())
+                starts, records = at + np.cumsum(n) - n, record + np.arange(len(n))
+                at, record = at + int(n.sum()), record + len(n)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("doc_id"), pa.array([name] * len(n)), *map(pa.array, (records, starts, n))], ["curve", "doc_id", "file", "record", "at", "n"])
         if out:
             out.close()
 

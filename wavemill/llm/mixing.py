@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 #: Means above this are drawn as sums of several independent draws, since exp(-mean) would underflow.
 DRAW_MEAN = 500.0
+#: A draw is (k + 0.5) / 2^52 with k below 2^52.
+LARGEST_DRAW = ((1 << 52) - 0.5) / (1 << 52)
+#: Values of ``mix_key``: 15 hexadecimal digits.
+KEY_BITS = 60
 OTHER = "other sources"
 
 
@@ -28,7 +32,7 @@ def _number(digest: Column, digits: int) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float], other_weight: float, budget: float | None, unit: str) -> DataFrame:
-    """One row per listed source, and one for the others: bucket, mean repetition rate, draws, cumulative probabilities of a draw.
+    """One row per listed source, and one for the others: bucket, mean repetition rate, draws, cumulative probabilities that a draw can reach, and the largest count.
 
     A bucket of no size gets the rate 0. budget: the size of the mixture in ``unit`` (default: that of the input).
     """
@@ -53,6 +57,7 @@ def rates(docs: DataFrame, weights: dict[str, float], other_weight: float, budge
         ),
         lambda s: s["cdf"],
     )
+    reachable = F.filter(grown, lambda c: c <= LARGEST_DRAW)  # the others are above every draw
     return (
         listed.join(F.broadcast(sizes), "bucket", "left")
         .join(F.broadcast(whole))
@@ -60,7 +65,7 @@ def rates(docs: DataFrame, weights: dict[str, float], other_weight: float, budge
         .withColumn("rate", F.coalesce(mean, F.lit(0.0)))
         .withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / DRAW_MEAN)).cast("int"))
         .withColumn("step_mean", F.col("rate") / F.col("draws"))
-        .select("bucket", "rate", "draws", grown.alias("cdf"))
+        .select("bucket", "rate", "draws", reachable.alias("cdf"), (F.size(steps)).alias("most"))
     )
 
 
@@ -77,9 +82,13 @@ def mix(
     unit: str = "chars",
     seed: str = "mix",
     keep: list[str] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The mixture: rows of ``docs`` (columns ``keep``, default all), each as often as its draw says, in global hash order.
 
+    The order's key is a uniform hash, so equal ranges of it are equal parts of the mixture: rows go straight to their range's
+    partition, of ``partitions`` (default: spark.sql.shuffle.partitions), and are sorted there; nothing is sampled.
+
     Added columns: ``mix_rate`` double, ``mix_repeats`` long, ``mix_copy`` long (from 1), ``mix_key`` long (the global order;
     ties by doc_id, then copy). Input columns of these names are replaced.
 
@@ -91,21 +100,24 @@ def mix(
     slim = docs.select("source", *(["text"] if unit == "chars" else []))
     table = F.broadcast(
         rates(slim, weights, other_weight, budget, unit).select(
-            F.col("bucket").alias("_mix_bucket"), F.col("rate").alias("_mix_rate"), F.col("draws").alias("_mix_draws"), F.col("cdf").alias("_mix_cdf")
+            F.col("bucket").alias("_mix_bucket"), F.col("rate").alias("_mix_rate"), F.col("draws").alias("_mix_draws"), F.col("cdf").alias("_mix_cdf"), F.col("most").alias("_mix_most")
         )
     )
+    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    span = -(-(1 << KEY_BITS) // partitions)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     draw = lambda i: (_number(_hashed(F.lit(seed), key, i.cast("string")), 13) + F.lit(0.5)) / F.lit(float(1 << 52))
-    inverse = lambda u: F.least(F.size(F.filter("_mix_cdf", lambda c: c <= u)), F.size("_mix_cdf") - 1).cast("long")
-    repeats = F.aggregate(F.sequence(F.lit(1), F.col("_mix_draws")), F.lit(0).cast("long"), lambda s, i: s + inverse(draw(i)))
+    inverse = lambda u: F.least(F.size(F.filter("_mix_cdf", lambda c: c <= u)), F.col("_mix_most")).cast("long")
+    several = F.aggregate(F.sequence(F.lit(2), F.col("_mix_draws")), inverse(draw(F.lit(1))), lambda s, i: s + inverse(draw(i)))
+    repeats = F.when(F.col("_mix_draws") == 1, inverse(draw(F.lit(1)))).otherwise(several)
     return (
         docs.select(*dict.fromkeys(["doc_id", "source", *keep]), _bucket(weights).alias("_mix_bucket"))
         .join(table, "_mix_bucket")
         .withColumn("mix_repeats", repeats)
-        .where("mix_repeats > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_repeats"))))
+        .withColumn("mix_copy", F.explode(F.when(F.col("mix_repeats") > 0, F.sequence(F.lit(1).cast("long"), F.col("mix_repeats")))))
         .withColumn("mix_key", _number(_hashed(F.lit(seed), key, F.lit("copy"), F.col("mix_copy").cast("string")), 15))
         .withColumn("mix_rate", F.col("_mix_rate"))
-        .orderBy("mix_key", "doc_id", "mix_copy")
+        .repartitionById(partitions, F.expr(f"cast(mix_key div {span} as int)"))
+        .sortWithinPartitions("mix_key", "doc_id", "mix_copy")
         .select(*keep, "mix_rate", "mix_repeats", "mix_copy", "mix_key")
     )

@@ -1,11 +1,11 @@
 """Operator 2: exact deduplication by an exchange of Golomb-coded fingerprints.
 
 1. One scan takes a 64-bit fingerprint of each normalised text.
-2. Each part of the corpus sorts its distinct fingerprints, splits them by the owner of their range, and sends each owner
-   one Golomb-coded message (some five bytes a document), with a bit for those that the part itself holds twice.
+2. Each task sorts its fingerprints, some million documents' since it reads nothing else, splits them by the owner of their range, and sends each owner
+   one Golomb-coded message (some five bytes a document), with a bit for those that the task itself holds twice.
 3. An owner merges the messages of its range and answers each with a bitmap: which fingerprints occur elsewhere or twice.
-4. The parts turn bitmaps into suspects. A second scan lets only suspects through, and groups them by the bytes
-   of their text, with partial sums before the shuffle, so a text with a million copies is sent once per task.
+4. Bitmaps become suspects by part of the corpus. A second scan lets only suspect rows through, and groups them by the bytes
+   of their text, with partial sums before the shuffle, so a text with a million copies is sent once per task. The rows of a group get its result task by task.
 
 Texts that nobody shares are never shuffled. Fingerprints that collide cost a needless verification, never a wrong result.
 """
@@ -21,12 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm import golomb
-from wavemill.llm.common import drop_dir, lean, shared_dir, SideTable, stored, text_of, with_rows
+from wavemill.llm.common import drop_dir, lean, shared_dir, SideTable, spread_join, stored, text_of, with_rows
 
 #: Fingerprints that one owner merges, about.
-OWNER_SIZE = 1 << 20
+OWNER_SIZE = 1 << 22
+#: Rows whose fingerprints one task holds at most.
+SENDER_ROWS = 1 << 22
 LIGHT = "doc_id long, part long, pos long, uid long, fp long, sha string"
-MESSAGE = "message string, part long, owner long, raw binary, twice binary"
+#: ``which`` gives each fingerprint's place in ``parts``; it stays with the sender.
+MESSAGE = "message string, owner long, raw binary, twice binary, parts binary, which binary"
 
 
 def normalised(text: Column) -> Column:
@@ -40,23 +43,32 @@ def _owner(prints: np.ndarray, owners: int) -> np.ndarray:
 
 
 def send(light: DataFrame, owners: int) -> DataFrame:
-    """The messages of each task: one per part and owner."""
+    """The messages of each task: one per owner for each SENDER_ROWS rows."""
+    schema = pa.schema([("message", pa.string()), ("owner", pa.int64()), *((c, pa.binary()) for c in ("raw", "twice", "parts", "which"))])
+
+    def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        prints, (parts, which) = np.concatenate([h[0] for h in held]), np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+        order = np.lexsort((which, prints))
+        prints, which = prints[order], which[order]
+        start = np.flatnonzero(np.concatenate([[True], (prints[1:] != prints[:-1]) | (which[1:] != which[:-1])]))
+        own, at, twice = prints[start], which[start].astype("<u4"), np.diff(np.append(start, len(prints))) > 1
+        owner = _owner(own, owners)
+        for to in np.unique(owner).tolist():
+            lo, hi = np.searchsorted(owner, [to, to + 1])
+            row = {"message": uuid.uuid4().hex, "owner": to, "raw": golomb.encode(own[lo:hi]), "twice": np.packbits(twice[lo:hi]).tobytes(), "parts": parts.tobytes(), "which": at[lo:hi].tobytes()}
+            yield pa.RecordBatch.from_pylist([row], schema)
 
     @lean
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held, size = [], 0
         for batch in batches:
-            part, prints = batch.column("part").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
-            for key in np.unique(part).tolist():
-                held.setdefault(key, []).append(prints[part == key])
-        for key, pieces in held.items():
-            own, count = np.unique(np.concatenate(pieces), return_counts=True)
-            owner = _owner(own, owners)
-            rows = []
-            for to in np.unique(owner).tolist():
-                lo, hi = np.searchsorted(owner, [to, to + 1])
-                rows.append({"message": uuid.uuid4().hex, "part": key, "owner": to, "raw": golomb.encode(own[lo:hi]), "twice": np.packbits(count[lo:hi] > 1).tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("message", pa.string()), ("part", pa.int64()), ("owner", pa.int64()), ("raw", pa.binary()), ("twice", pa.binary())]))
+            held.append((batch.column("fp").to_numpy().view(np.uint64), batch.column("part").to_numpy()))
+            size += batch.num_rows
+            if size >= SENDER_ROWS:
+                yield from sent(held)
+                held, size = [], 0
+        if size:
+            yield from sent(held)
 
     return light.select("part", "fp").mapInArrow(coded, MESSAGE)
 
@@ -84,12 +96,13 @@ def resolve(messages: DataFrame, bitmaps: DataFrame) -> DataFrame:
     @lean
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, bits in zip(*(batch.column(c).to_pylist() for c in ("part", "raw", "bitmap")), strict=True):
+            for raw, bits, parts, which in zip(*(batch.column(c).to_pylist() for c in ("raw", "bitmap", "parts", "which")), strict=True):
                 own = golomb.decode(raw)
-                own = own[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, np.int64)), pa.array(own), pa.array(np.ones(len(own), np.int64))], ["key", "item", "value"])
+                some = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
+                part = np.frombuffer(parts, np.int64)[np.frombuffer(which, "<u4")[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own[some].view(np.int64)), pa.array(np.ones(len(part), np.int64))], ["key", "item", "value"])
 
-    joined = messages.select("message", "part", "raw").join(bitmaps, "message").select("part", "raw", "bitmap")
+    joined = messages.select("message", "raw", "parts", "which").join(bitmaps, "message").select("raw", "bitmap", "parts", "which")
     return joined.mapInArrow(suspects, "key long, item long, value long").distinct()
 
 
@@ -103,9 +116,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_dir(spark, "exact")
     rows = with_rows(docs.select(F.col("doc_id"), F.col("text")))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_of(rows)).alias("norm"), F.col("_row_part").alias("part"), F.col("_row_pos").alias("pos"))
-    print64 = F.xxhash64("norm")
-    rows.select("doc_id", "part", "pos", F.monotonically_increasing_id().alias("uid"), print64.alias("fp"), F.sha2("norm", 256).alias("sha")).write.parquet(f"{folder}/light")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(rows).alias("text"), F.col("_row_part").alias("part"), F.col("_row_pos").alias("pos"))
+    norm = rows.withColumn("norm", normalised(F.col("text")))
+    norm.select("doc_id", "part", "pos", F.monotonically_increasing_id().alias("uid"), F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("sha")).write.parquet(f"{folder}/light")
     light = stored(spark, f"{folder}/light", LIGHT)
     size = light.count()
 
@@ -113,16 +126,19 @@ def dedup(docs: DataFrame) -> DataFrame:
     messages = stored(spark, f"{folder}/messages", MESSAGE)
     table = SideTable(f"{folder}/suspects").write(resolve(messages, answer(messages)))
     drop_dir(spark, f"{folder}/messages")
-    suspect = lambda frame: frame.withColumn("suspect", table.find(F.col("part"), F.col("fp")).isNotNull())
-
-    same = suspect(rows.withColumn("fp", print64)).where("suspect").groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    light.withColumn("suspect", table.find(F.col("part"), F.col("fp")).isNotNull()).write.parquet(f"{folder}/marked")
+    marked = stored(spark, f"{folder}/marked", f"{LIGHT}, suspect boolean")
+    drop_dir(spark, f"{folder}/light")
+    shared = marked.where("suspect").withColumn("task", F.shiftright("uid", 33))
+
+    wanted = SideTable(f"{folder}/wanted").write(shared.select(F.col("part").alias("key"), F.col("pos").alias("item"), F.lit(1).cast("long").alias("value")))
+    texts = rows.where(wanted.find(F.col("part"), F.col("pos")).isNotNull()).select("doc_id", normalised(F.col("text")).alias("norm"))
+    same = texts.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = same.select(F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-    marked = suspect(light)
-    shared = marked.where("suspect")
     first = shared.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))["uid"].alias("first"))
     columns = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), "part", "pos"]
     alone = marked.where("not suspect").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    copies = shared.join(groups.join(first, "sha"), "sha").withColumn("kept", F.col("uid") == F.col("first"))
+    copies = spread_join(shared, groups.join(first, "sha"), "sha", "task").withColumn("kept", F.col("uid") == F.col("first"))
     return alone.select(*columns).unionByName(copies.select(*columns))
 
 

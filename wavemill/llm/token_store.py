@@ -1,6 +1,6 @@
 """Operator 1: token ids in a binary format, with a minimal perfect hash index.
 
-A store is a folder of shards and a manifest. Rows are range-partitioned and sorted by doc_id, each partition writes
+A store is a folder of shards and a manifest. Rows are range-partitioned and sorted by doc_id, in as many partitions as their bytes ask for, each partition writes
 one shard as a stream, and the ids of all shards in manifest order are the corpus in ascending doc_id order.
 
     {shard}.ids    nothing but ids, little-endian, two bytes each where the vocabulary allows it, else four
@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.llm.common import arrow_rows, filesystem, lean, shared_dir, stored, text_of
-from wavemill.llm.encoding import encoder
+from wavemill.llm.encoding import encoder, with_end
 from wavemill.llm.perfect_hash import PerfectHash, fingerprint
 
 MAGIC = b"WMTOKENS"
 MANIFEST = "ord long, shard string, records long, tokens long, first_id long, last_id long, width int"
-#: Bytes of ids that a reader holds at once.
-READ_BYTES = 8 << 20
+#: Bytes of ids that a reader holds at once, and bytes of text that a shard should hold (more by a sampling error of the ranges, or a single document).
+READ_BYTES, SHARD_BYTES = 8 << 20, 512 << 20
 
 
 class ShardWriter:
@@ -51,10 +51,10 @@ class ShardWriter:
         self.lengths: list[int] = []
         self.keys: list[int | None] = []
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.out.write(ids)
-        self.lengths.append(len(ids) // self.width)
-        self.keys.append(doc_id)
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.out.write(ids.tobytes())
+        self.lengths += sizes.tolist()
+        self.keys += doc_ids
 
     def close(self) -> dict:
         self.out.close()
@@ -133,23 +133,20 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int | None = 2, folder:
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-        .withColumn("at", F.monotonically_increasing_id())
-        .repartitionByRange("doc_id", "at")
-        .sortWithinPartitions("doc_id", "at")
-        .select("doc_id", "text", F.spark_partition_id().cast("long").alias("ord"))
-    )
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("at", F.monotonically_increasing_id())
+    shards = -(-(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+    many = [shards] if shards > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    rows = slim.repartitionByRange(*many, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "text", F.spark_partition_id().cast("long").alias("ord"))
 
     @lean
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, writer, order = encoder(tokenizer), None, 0
-        tail = b"" if end_id is None else np.array([end_id], own.dtype).tobytes()
         for batch in batches:
             if writer is None and batch.num_rows:
                 writer, order = ShardWriter(folder, own.dtype.itemsize), batch.column("ord")[0].as_py()
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                writer.add(doc_id, own.encode(text.as_py()) + tail)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                writer.add(part.column("doc_id").to_pylist(), *with_end(*own.encode_many(part.column("text").to_pylist()), end_id))
         if writer:
             row = {"ord": order} | writer.close()
             yield pa.RecordBatch.from_pylist([row], pa.schema([("ord", pa.int64()), ("shard", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("width", pa.int32())]))
@@ -185,10 +182,13 @@ class TokenStore:
             for batch in batches:
                 for name, start in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist(), strict=True):
                     shard = Shard(folder, name)
-                    order = np.arange(shard.records)
-                    known = np.unique(shard.doc_ids[shard.nulls :])
-                    if not np.array_equal(known, shard.doc_ids[shard.find(known)] if len(known) else known):
+                    known, count = np.unique(shard.doc_ids[shard.nulls :], return_counts=True)
+                    first = shard.find(known)
+                    if (first < 0).any():
                         raise ValueError(f"the index of {name} misses a doc_id")
+                    order = np.concatenate([np.arange(shard.nulls), np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())])
+                    if not np.array_equal(order, np.arange(shard.records)):
+                        raise ValueError(f"the index of {name} doesn't lead through its records in order")
                     for part in _runs(shard.offsets, READ_BYTES // shard.width):
                         lo, hi = order[part][0], order[part][-1] + 1
                         at = shard.offsets[lo : hi + 1]

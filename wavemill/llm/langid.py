@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from wavemill.llm.common import drop_caches_of_others, give_back, text_of
 
-#: Bounds of what is learned from: labelled rows per language, characters taken of a row, and characters over all languages (64 a row at least).
-SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS = 64, 512, 1 << 16
+#: Bounds of what is learned from: labelled rows per language, and characters taken of a row. Both hold for each language alone, however many there are.
+SAMPLE_ROWS, ROW_CHARS = 64, 256
 #: Symbols of the dense table at most, and its entries (a wide table is narrowed to them).
 SYMBOLS, DENSE = 48, 1 << 23
 BLOCK, BATCH_SYMBOLS, SLICE_ROWS = 1024, 1 << 19, 250
@@ -62,6 +62,11 @@ class SuffixAutomaton:
             last = new
 
 
+    def edges(self) -> np.ndarray:
+        """Rows of state, symbol and next state."""
+        return np.array([(state, c, to) for state, out in enumerate(self.next) for c, to in out.items()], np.int64).reshape(-1, 3)
+
+
 def folded(text: str) -> np.ndarray:
     """Code points of a text."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -81,39 +86,38 @@ class CrossParser:
             c = chr(point)
             if c.isalpha():
                 self.symbol[point] = code.get(c.lower()[0], RARE)  # no sample has RARE
-        automata, self.bits = [], []
+        automata, self.bits = [], []  # of each language its number of states and its transitions
         for language in self.languages:
             text: list[int] = []
             for t in samples[language]:
                 text += [*self.codes(t).tolist(), SPACE]
-            automata.append(SuffixAutomaton(text).next)
+            automaton = SuffixAutomaton(text)
+            automata.append((len(automaton.next), automaton.edges()))
             self.bits.append(np.log2(max(2, len(text))))
-        self.width = width = max(2, min(SYMBOLS, self.size, DENSE // max(1, sum(map(len, automata)))))
+        self.width = width = max(2, min(SYMBOLS, self.size, DENSE // max(1, sum(n for n, _ in automata))))
         tables, self.roots, keys, values, base = [], [], [], [], 0
-        for states in automata:
+        for states, edges in automata:
+            state, symbol, to = edges.T
+            narrow = symbol < width
             root = np.full(width, (base * width) | (1 << _COUNT), np.int64)  # a symbol that the sample lacks is a phrase by itself
-            table = np.empty((len(states), width), np.int64)
-            for c, to in states[0].items():
-                if c < width:
-                    root[c] = (base + to) * width
+            first = narrow & (state == 0)
+            root[symbol[first]] = (base + to[first]) * width
+            table = np.empty((states, width), np.int64)
             table[:] = root + (1 << _COUNT)  # the phrase ends before this symbol, which begins the next
             table[0] = root
-            for state, out in enumerate(states):
-                for c, to in out.items():
-                    if c < width:
-                        table[state, c] = (base + to) * width
-                    else:
-                        keys.append((base + state) * self.size + c)
-                        values.append((base + to) * width)
+            table[state[narrow], symbol[narrow]] = (base + to[narrow]) * width
+            keys.append((base + state[~narrow]) * self.size + symbol[~narrow])
+            values.append((base + to[~narrow]) * width)
             tables.append(table.astype(np.int32))
             self.roots.append(base * width)
-            base += len(states)
+            base += states
         if base * width > _PLACE:
             raise ValueError(f"{len(self.languages)} languages have {base} states; places of at most {_PLACE // width} fit the table")
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
-        self.values = np.append(np.array(values, np.int32)[order], np.int32(0))
+        every, to = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, values))
+        order = np.argsort(every)
+        self.keys = np.append(every[order], np.iinfo(np.int64).max)
+        self.values = np.append(to[order], 0).astype(np.int32)
 
     def _sparse(self, place: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> np.ndarray:
         """What the table would hold for symbols beyond its width."""
@@ -204,6 +208,9 @@ def fit(docs: DataFrame, train: Column, max_languages: int | None = None, sample
 
     Labels may be wrong: the sample is parsed against the first automata, rows that another language explains better are dropped (unless a language would
     lose over half), and the automata are built anew.
+
+    Rows that are null in doc_id or lang teach nothing; a null or empty text adds nothing to its language's sample. Of rows that repeat a doc_id and a label, the piece that is first in
+    text order counts. An empty or unlabelled table gives a parser without languages. Of other columns only those that ``train`` names are read.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of(docs).alias("text"), train.alias("train")).where("train and lang is not null and doc_id is not null")
@@ -220,9 +227,8 @@ def fit(docs: DataFrame, train: Column, max_languages: int | None = None, sample
         .select("doc_id", "lang")
     )
     wanted = spark.createDataFrame(first.distinct().collect(), "doc_id long, lang string")  # at most languages x sample_rows rows
-    span = max(64, min(ROW_CHARS, TOTAL_CHARS // (len(languages) * sample_rows)))
-    room = F.greatest(F.lit(1), F.char_length("text") - span + 1)
-    piece = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), room) + 1).cast("int"), F.lit(span))
+    room = F.greatest(F.lit(1), F.char_length("text") - ROW_CHARS + 1)
+    piece = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), room) + 1).cast("int"), F.lit(ROW_CHARS))
     taken = slim.join(F.broadcast(wanted), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min(piece).alias("piece")).collect()
     rows = sorted((r["lang"], r["doc_id"], r["piece"]) for r in taken)
     samples: dict[str, list[str]] = {k: [] for k in languages}
@@ -240,7 +246,7 @@ def language(spark: SparkSession, parser: CrossParser, text: Column) -> Column:
     """struct(lang_pred string, score double) of a text column.
 
     A null text, or one without letters, is ``und`` with score 0; so is every text if nothing was learned. Only the text reaches
-    Python. The model is broadcast; its size is bounded by the module's limits, whatever the corpus.
+    Python. The model is broadcast; its size is bounded by the module's limits for each labelled language, whatever the corpus.
     """
     model = spark.sparkContext.broadcast(parser)
 
@@ -259,6 +265,10 @@ def language(spark: SparkSession, parser: CrossParser, text: Column) -> Column:
 
 
 def identify(docs: DataFrame, parser: CrossParser, columns: list[str]) -> DataFrame:
-    """``columns`` of the rows, with lang_pred and score (see ``language``)."""
+    """``columns`` of the rows, with lang_pred and score (see ``language``).
+
+    One row per input row, repeated ones too, in any length of text; an empty table gives none. If several languages need equally little, the one that is
+    first in alphabetical order wins. Columns that aren't asked for are not read, whatever their names.
+    """
     found = language(docs.sparkSession, parser, F.col("text"))
     return docs.select(*columns, found.alias("found")).select(*columns, "found.lang_pred", "found.score")

@@ -5,13 +5,14 @@ direction: error along the vector, which changes large inner products, costs h t
 by code, two codes a byte; the best RERANK_SHARE of a block are scored again on the original vectors in double precision. So is every other row whose scan score
 plus its bound (the query's norm times the row's residual) reaches the k-th of these, so the cut loses no neighbour, however many vectors share a code.
 
-The index is a table of blocks in the shared folder: each task packs the rows that it reads, so nothing is shuffled to build it. A search task holds one block and
-streams the query blocks past it; each pair of blocks leaves the k best of each query, and these are merged in two levels.
+The index is a table of blocks in the shared folder: each task packs the rows that it reads, so nothing is shuffled to build it. A search task holds up to
+TASK_BLOCKS blocks, streams the query blocks past them and leaves the k best of each query over all its blocks; these are merged in two levels.
 Equal vectors of a block are coded and scored once and keep the list of their ids, so ties are whole and go to the smaller id.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,11 @@ SAMPLE_ROWS = 8192
 #: The parallel weight is (d - 1) T^2 / (1 - T^2) for inner products of at least T (on unit vectors).
 SCORE_THRESHOLD = 0.2
 CODES, PAIR, BLOCK_ROWS, QUERY_ROWS = 16, 2, 16384, 512
-RERANK_SHARE, RERANK_LEAST = 0.03, 512
+RERANK_SHARE, RERANK_LEAST = 0.03, 40
+TASK_BLOCKS = 16
 REACH_ROWS = 4096
-BLOCKS = "n long, ids binary, ends binary, vectors binary, codes binary, errors binary"
+BLOCKS = "n long, ids binary, asks binary, ends binary, vectors binary, codes binary, errors binary"
+FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def valid(vector: Column, dim: int | None = None) -> Column:
@@ -129,7 +132,8 @@ def fit(vectors: DataFrame, dim: int, sample_rows: int = SAMPLE_ROWS) -> Codeboo
 
 class Block:
     def __init__(self, row: dict, dim: int, kind: str):
-        self.ids, self.ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
+        self.name, self.ids, self.ends = row["block"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
+        self.asks = np.unpackbits(np.frombuffer(row["asks"], np.uint8), count=len(self.ids)).astype(bool)
         self.vectors = np.frombuffer(row["vectors"], kind).reshape(-1, dim)
         self.codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, max(1, len(self.vectors)))
         self.errors = np.frombuffer(row["errors"], np.float64)
@@ -159,9 +163,9 @@ class Block:
         return np.concatenate(kept)
 
     def search(self, query: np.ndarray, own: int, table: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best ids and scores, without ``own``."""
+        """The k best ids and scores, without the row at place ``own`` (none: -1)."""
         n = len(self.vectors)
-        k_own = k + int(np.count_nonzero(self.ids == own))  # rows of own may be the best ones
+        k_own = k + 1  # the own row may be among the best
         some = max(least, int(np.ceil(share * n)), k_own)
         at = np.arange(n)
         if some < n:
@@ -178,11 +182,10 @@ class Block:
             at, exact = at[exact >= bound], exact[exact >= bound]
         order = np.argsort(-exact, kind="stable")
         starts = np.concatenate([[0], self.ends[:-1]])
-        ids = [self.ids[starts[i] : min(self.ends[i], starts[i] + k_own)] for i in at[order]]
-        scores = np.repeat(exact[order], [len(x) for x in ids])
-        every = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        every, scores = every[every != own], scores[every != own]
-        return best(every, scores, k)
+        places = [np.arange(starts[i], min(self.ends[i], starts[i] + k_own + 1)) for i in at[order]]  # one more, for the own row
+        scores = np.repeat(exact[order], [len(x) for x in places])
+        every = np.concatenate(places) if places else np.zeros(0, np.int64)
+        return best(self.ids[every[every != own]], scores[every != own], k)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,11 +195,11 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def build(vectors: DataFrame, books: Codebooks, kind: str, folder: str) -> DataFrame:
-    """Index every row: a table of blocks. vectors: vec_id, vector (valid)."""
+    """Index every row: a table of blocks. vectors: vec_id, vector (valid), is_query."""
 
     @lean
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows, size = [], [], 0
+        ids, asks, rows, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             every, vec_ids = np.concatenate(rows), np.concatenate(ids)
@@ -205,14 +208,15 @@ def build(vectors: DataFrame, books: Codebooks, kind: str, folder: str) -> DataF
             order = np.lexsort((vec_ids, at))
             ends = np.cumsum(np.bincount(at, minlength=len(distinct)))
             codes = books.assign(distinct)
-            row = {"n": len(vec_ids), "ids": vec_ids[order].tobytes(), "ends": ends.astype(np.int64).tobytes(), "vectors": distinct.tobytes(), "codes": books.pack(codes).tobytes(), "errors": books.errors(distinct, codes).tobytes()}
-            ids.clear(), rows.clear()
-            return pa.RecordBatch.from_pylist([row], pa.schema([("n", pa.int64()), *((c, pa.binary()) for c in ("ids", "ends", "vectors", "codes", "errors"))]))
+            row = {"n": len(vec_ids), "ids": vec_ids[order].tobytes(), "asks": np.packbits(np.concatenate(asks)[order]).tobytes(), "ends": ends.astype(np.int64).tobytes(), "vectors": distinct.tobytes(), "codes": books.pack(codes).tobytes(), "errors": books.errors(distinct, codes).tobytes()}
+            ids.clear(), asks.clear(), rows.clear()
+            return pa.RecordBatch.from_pylist([row], pa.schema([("n", pa.int64()), *((c, pa.binary()) for c in ("ids", "asks", "ends", "vectors", "codes", "errors"))]))
 
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK_ROWS // 4):
                 part = batch.slice(lo, BLOCK_ROWS // 4)
                 ids.append(part.column("vec_id").to_numpy())
+                asks.append(part.column("is_query").to_numpy(zero_copy_only=False))
                 rows.append(np.ascontiguousarray(part.column("vector").flatten().to_numpy().astype(kind).reshape(-1, books.dim)) + 0.0)  # -0.0 is 0.0
                 size += len(part)
                 if size >= BLOCK_ROWS:
@@ -225,38 +229,48 @@ def build(vectors: DataFrame, books: Codebooks, kind: str, folder: str) -> DataF
     return stored(vectors.sparkSession, f"{folder}/blocks", f"{BLOCKS}, block long")
 
 
-def _query_blocks(queries: DataFrame, dim: int, kind: str, folder: str) -> DataFrame:
+def _query_blocks(blocks: DataFrame, dim: int, kind: str, folder: str) -> DataFrame:
+    """The query rows of all blocks, QUERY_ROWS together: ids, vectors, and where each row stands (block and place)."""
+    names = ["ids", "vectors", "block", "places"]
+
     @lean
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, QUERY_ROWS):
-                part = batch.slice(lo, QUERY_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("vec_id").to_numpy().tobytes()]), pa.array([part.column("vector").flatten().to_numpy().astype(kind).tobytes()])], ["ids", "vectors"])
+            for row in batch.to_pylist():
+                block = Block(row, dim, kind)
+                places = np.flatnonzero(block.asks)
+                for lo in range(0, len(places), QUERY_ROWS):
+                    some = places[lo : lo + QUERY_ROWS]
+                    vectors = block.vectors[np.searchsorted(block.ends, some, "right")]
+                    yield pa.RecordBatch.from_arrays([pa.array([block.ids[some].tobytes()]), pa.array([vectors.tobytes()]), pa.array([block.name]), pa.array([some.tobytes()])], names)
 
-    queries.mapInArrow(packed, "ids binary, vectors binary").withColumn("queries", F.monotonically_increasing_id()).write.parquet(f"{folder}/queries")
-    return stored(queries.sparkSession, f"{folder}/queries", "ids binary, vectors binary, queries long")
+    schema = "ids binary, vectors binary, block long, places binary"
+    blocks.mapInArrow(packed, schema).withColumn("queries", F.monotonically_increasing_id()).write.parquet(f"{folder}/queries")
+    return stored(blocks.sparkSession, f"{folder}/queries", f"{schema}, queries long")
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = 20, rerank_share: float = RERANK_SHARE, rerank_least: int = RERANK_LEAST) -> DataFrame:
     """Of each query row its k nearest others by inner product: query_id, rank (from 1), vec_id, score. Ties to the smaller vec_id.
 
-    embeddings: vec_id, embedding (array of float or double). Rows without a vec_id, and vectors that are null, empty, zero, hold null or non-finite
-    components, or don't have the commonest number of dimensions (ties: the larger), take no part. All rows of the query's own vec_id are left out of its candidates; other repeated
-    ids are listed as often as they occur. With fewer than k candidates, all are listed. An empty table gives no rows. Other columns are not read.
+    embeddings: vec_id, embedding (array of float or double). Rows without a vec_id, and vectors that are null, empty, zero, or hold null or non-finite
+    components, take no part. Inner products are of vectors with equally many dimensions, so each number of dimensions is searched by itself. Only the query's own row is left out
+    of its candidates; other rows of the same vec_id are listed like any, each query row has its own list, and repeated ids are listed as often as they occur. With fewer than k
+    candidates, all are listed. An empty table gives no rows. Other columns are not read.
     """
     spark, folder = embeddings.sparkSession, shared_dir(embeddings.sparkSession, "ann")
     double = "double" in embeddings.schema["embedding"].dataType.simpleString()
     kind, element = ("<f8", "double") if double else ("<f4", "float")
-    slim = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("vector"), is_query.alias("is_query")).where(F.col("vec_id").isNotNull() & valid(F.col("vector")))
-    dims = slim.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not dims:
-        return spark.createDataFrame([], schema)
-    dim = dims[0]["dim"]
-    own = slim.where(F.size("vector") == dim)
+    slim = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where(F.col("vec_id").isNotNull() & valid(F.col("vector")))
+    dims = sorted(r["dim"] for r in slim.groupBy(F.size("vector").alias("dim")).count().collect())  # a row per number of dimensions
+    found = [_search(slim.where(F.size("vector") == dim), dim, kind, f"{folder}/{dim}", k, rerank_share, rerank_least) for dim in dims]
+    return functools.reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], FOUND)
+
+
+def _search(own: DataFrame, dim: int, kind: str, folder: str, k: int, rerank_share: float, rerank_least: int) -> DataFrame:
+    spark = own.sparkSession
     books = spark.sparkContext.broadcast(fit(own, dim))  # 16 x dim doubles
     blocks = build(own, books.value, kind, folder)
-    _query_blocks(own.where("is_query"), dim, kind, folder)
+    _query_blocks(blocks, dim, kind, folder)
     count = blocks.count()
     query_uri = f"{folder}/queries"
 
@@ -264,20 +278,30 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, rerank_share: f
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(query_uri)
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")]
+
+        def past(some: list[Block]) -> Iterator[pa.RecordBatch]:
+            for path in files:
+                with fs.open_input_file(path) as handle:
+                    for part in pq.ParquetFile(handle).iter_batches(4):
+                        for q in part.to_pylist():
+                            ids, places = np.frombuffer(q["ids"], np.int64), np.frombuffer(q["places"], np.int64)
+                            vectors = np.frombuffer(q["vectors"], kind).reshape(-1, dim).astype(np.float64)
+                            found = []
+                            for lo in range(0, len(ids), 64):
+                                for v, place, t in zip(vectors[lo : lo + 64], places[lo : lo + 64].tolist(), books.value.tables(vectors[lo : lo + 64]), strict=True):
+                                    parts = [block.search(v, place if block.name == q["block"] else -1, t, k, rerank_share, rerank_least) for block in some]
+                                    found.append(best(*map(np.concatenate, zip(*parts, strict=True)), k) if len(parts) > 1 else parts[0])
+                            yield _part(q["queries"], some[0].name, ids, found)
+
+        held = []
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row, dim, kind)
-                for path in files:
-                    with fs.open_input_file(path) as handle:
-                        for part in pq.ParquetFile(handle).iter_batches(4):
-                            for q in part.to_pylist():
-                                ids = np.frombuffer(q["ids"], np.int64)
-                                vectors = np.frombuffer(q["vectors"], kind).reshape(-1, dim).astype(np.float64)
-                                found = []
-                                for lo in range(0, len(ids), 64):
-                                    tables = books.value.tables(vectors[lo : lo + 64])
-                                    found += [block.search(v, i, t, k, rerank_share, rerank_least) for v, i, t in zip(vectors[lo : lo + 64], ids[lo : lo + 64].tolist(), tables, strict=True)]
-                                yield _part(q["queries"], row["block"], ids, found)
+                held.append(Block(row, dim, kind))
+                if len(held) == TASK_BLOCKS:
+                    yield from past(held)
+                    held = []
+        if held:
+            yield from past(held)
 
     def merged(table: pa.Table) -> pa.Table:
         ids = np.frombuffer(table["ids"][0].as_py(), np.int64)
@@ -289,8 +313,9 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, rerank_share: f
         return pa.Table.from_batches([_part(table["queries"][0].as_py(), table["block"][0].as_py(), ids, found)])
 
     packed = "queries long, block long, ids binary, sizes binary, vec_ids binary, scores binary"
-    found = blocks.repartitionByRange(max(1, count), "block").mapInArrow(searched, packed)
-    groups = max(1, round(count**0.5))
+    tasks = max(1, min(count, spark.sparkContext.defaultParallelism), -(-count // TASK_BLOCKS))
+    found = blocks.repartitionByRange(tasks, "block").mapInArrow(searched, packed)
+    groups = max(1, round(tasks**0.5))
     half = found.groupBy("queries", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("half")).applyInArrow(merged, packed)
     whole = half.groupBy("queries").applyInArrow(merged, packed)
 
@@ -302,7 +327,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, rerank_share: f
                 rank = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(row["ids"], np.int64), sizes)), pa.array(rank, pa.int32()), pa.array(np.frombuffer(row["vec_ids"], np.int64)), pa.array(np.frombuffer(row["scores"], np.float64))], ["query_id", "rank", "vec_id", "score"])
 
-    return whole.mapInArrow(listed, schema)
+    return whole.mapInArrow(listed, FOUND)
 
 
 def _part(queries: int, block: int, ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:

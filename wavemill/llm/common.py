@@ -177,7 +177,7 @@ class SideTable:
             _loaded.pop(next(iter(_loaded)))
         cache = _loaded.setdefault(self.uri, {})
         if key not in cache:
-            while len(cache) >= 4:
+            while len(cache) >= 2:
                 cache.pop(next(iter(cache)))
             fs, base = filesystem(self.uri)
             found = fs.get_file_info(pafs.FileSelector(f"{base}/slot={key % self.spread}", allow_not_found=True))

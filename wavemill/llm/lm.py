@@ -73,22 +73,28 @@ def unpack_counts(raw: bytes, n: int) -> np.ndarray:
     return counts
 
 
-def pack_hashes(hashes: np.ndarray, low: int, high: int) -> bytes:
-    """Sorted hashes whose upper 16 bits lie in low..high-1: how many there are of each, then 32 and 16 bits of each."""
-    top = np.bincount((hashes >> np.uint64(48)).astype(np.int64) - low, minlength=high - low).astype("<u4")
+def head_bits(owners: int) -> int:
+    """Bits of a hash by which owners are told apart: 16, or as many as give each owner a value of its own."""
+    return max(16, (owners - 1).bit_length())
+
+
+def pack_hashes(hashes: np.ndarray, low: int, high: int, head: int = 16) -> bytes:
+    """Sorted hashes whose upper ``head`` bits (16 at least) lie in low..high-1: how many there are of each, then 32 and 16 bits of each."""
+    top = np.bincount((hashes >> np.uint64(64 - head)).astype(np.int64) - low, minlength=high - low).astype("<u4")
     return top.tobytes() + (hashes & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((hashes >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
-def unpack_hashes(raw: bytes, low: int, high: int) -> np.ndarray:
+def unpack_hashes(raw: bytes, low: int, high: int, head: int = 16) -> np.ndarray:
     top = np.frombuffer(raw, "<u4", high - low).astype(np.int64)
     n = int(top.sum())
     at = top.size * 4
-    upper = np.repeat(np.arange(low, high, dtype=np.uint64), top) << np.uint64(48)
+    upper = np.repeat(np.arange(low, high, dtype=np.uint64), top) << np.uint64(64 - head)
     return upper | (np.frombuffer(raw, "<u2", n, at + 4 * n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(raw, "<u4", n, at).astype(np.uint64)
 
 
 def owner_range(owner: int, owners: int) -> tuple[int, int]:
-    return -(-owner * 65536 // owners), -(-(owner + 1) * 65536 // owners)
+    values = 1 << head_bits(owners)
+    return -(-owner * values // owners), -(-(owner + 1) * values // owners)
 
 
 def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -175,11 +181,11 @@ def send(table: DataFrame, owners: dict[str, int]) -> DataFrame:
             for k in range(batch.num_rows):
                 own = Chunk(batch.slice(k, 1).to_pylist()[0])
                 for kind, hashes, counts in zip("wp", (own.words, own.pairs), own.training_counts(), strict=True):
-                    edges = np.searchsorted(hashes, np.array([owner_range(o, owners[kind])[0] << 48 for o in range(owners[kind])], np.uint64)).tolist() + [len(hashes)]
+                    edges = np.searchsorted(hashes, np.array([owner_range(o, owners[kind])[0] << (64 - head_bits(owners[kind])) for o in range(owners[kind])], np.uint64)).tolist() + [len(hashes)]
                     for o in range(owners[kind]):
                         a, b = edges[o], edges[o + 1]
                         if b > a:
-                            yield pa.RecordBatch.from_pylist([{"chunk": own.row["chunk"], "kind": kind, "owner": o, "hashes": pack_hashes(hashes[a:b], *owner_range(o, owners[kind])), "counts": pack_counts(counts[a:b])}], schema)
+                            yield pa.RecordBatch.from_pylist([{"chunk": own.row["chunk"], "kind": kind, "owner": o, "hashes": pack_hashes(hashes[a:b], *owner_range(o, owners[kind]), head_bits(owners[kind])), "counts": pack_counts(counts[a:b])}], schema)
 
     schema = pa.schema([("chunk", pa.int64()), ("kind", pa.string()), ("owner", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
     return table.mapInArrow(messages, "chunk long, kind string, owner long, hashes binary, counts binary")
@@ -190,7 +196,7 @@ def answer(messages: DataFrame, owners: dict[str, int]) -> DataFrame:
 
     def added(table: pa.Table) -> pa.Table:
         kind, owner = table["kind"][0].as_py(), table["owner"][0].as_py()
-        span = owner_range(owner, owners[kind])
+        span = (*owner_range(owner, owners[kind]), head_bits(owners[kind]))
         lists = [unpack_hashes(raw, *span) for raw in table["hashes"].to_pylist()]
         counts = [unpack_counts(raw, len(x)) for raw, x in zip(table["counts"].to_pylist(), lists, strict=True)]
         distinct, at = np.unique(np.concatenate(lists), return_inverse=True)
@@ -224,7 +230,7 @@ class Answers:
         out = []
         for kind, hashes in (("w", chunk.words), ("p", chunk.pairs)):
             raws = dict(parts[kind])
-            top = (hashes >> np.uint64(48)).astype(np.int64)
+            top = (hashes >> np.uint64(64 - head_bits(self.owners[kind]))).astype(np.int64)
             counts, lo = [], 0
             for owner in sorted(raws):
                 hi = int(np.searchsorted(top, owner_range(owner, self.owners[kind])[1]))
@@ -279,7 +285,7 @@ def score(docs: DataFrame, held_out, chunk_tokens: int = CHUNK_TOKENS, slice_byt
         chunks(slim, chunk_tokens, slice_bytes).write.parquet(f"{folder}/chunks")
     table = stored(spark, f"{folder}/chunks", CHUNKS)
     n_chunks, n_words, n_tokens = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    owners = {"w": min(65536, max(1, -(-n_words // owner_entries))), "p": min(65536, max(1, -(-n_tokens // owner_entries)))}
+    owners = {"w": max(1, -(-n_words // owner_entries)), "p": max(1, -(-n_tokens // owner_entries))}
     answers = Answers(f"{folder}/answers", max(1, n_chunks // 2))
     answers.owners = owners
     replies = answer(send(table, owners), owners).withColumn("slot", F.coalesce(F.pmod("chunk", F.lit(answers.spread)), F.lit(-1)))

@@ -7,9 +7,9 @@ darts of rank below about (k ln k + 2k) / weight are ever drawn, so a document c
 k ln k steps, not k steps for each shingle. Each dart hits one of k coordinates, and the earliest dart of each
 coordinate is the signature: two documents agree on a coordinate with a probability of their similarity.
 
-Signatures are cut into bands. Whole texts with equal words are one node. Candidates come from buckets, texts that share a band, in three steps, each linear in a
-bucket's members: first each node meets the likeliest of its buckets' smallest nodes; then, for LEADER_ROUNDS rounds, each member of a bucket that still holds several components
-meets one of two leaders drawn by hash, of another component; verified links join components from round to round. What is then still apart goes to an exact join by
+Signatures are cut into bands. Whole texts with equal words are one node. Candidates come from buckets, texts that share a band, in steps that are linear in a
+bucket's members: first each node meets the likeliest of its buckets' smallest nodes, and verified links join components. Of buckets that still hold several components, those of
+at most SMALL members are compared pair by pair, by signature and then by shingles; in larger ones each member meets one of two leaders drawn by hash, of another component. What is then still apart goes to an exact join by
 rare shingles. Overlap with another component is at most the number of shingles that other components hold too, so a text of which they hold less than
 the threshold's share is done: unlike texts with a common passage leave here, without being compared. The others are listed under the rarest of their shared shingles, as
 many as any similar pair must have one in common of, and entries of a list are compared by size and place, near ones first, in windows that grow until they cover the longest list.
@@ -34,10 +34,10 @@ from wavemill.llm.perfect_hash import mix
 
 WORDS, THRESHOLD, BANDS, BAND_ROWS = 5, 0.8, 24, 5
 SIGNATURES = "doc_id long, part long, pos long, uid long, copy string, size long, bands array<long>, sig binary"
-#: Rounds in which the members of an unresolved bucket meet a leader, before the exact join takes what is left.
-LEADER_ROUNDS = 2
+#: Members of an unresolved bucket that are compared pair by pair; larger buckets are left to leaders and the exact join.
+SMALL = 16
 #: Shingles of a chunk of texts in the exact join; entries of a list that are compared with each other at first, and the factor from round to round.
-CHUNK_CELLS, WINDOW, WINDOW_GROWTH = 1 << 19, 64, 16
+CHUNK_CELLS, WINDOW, WINDOW_GROWTH = 1 << 17, 256, 16
 CHUNKS = "uids binary, labels binary, sizes binary, cells binary"
 ENTRIES = "token long, uid long, size long, pos long"
 #: Texts or pairs of shingle sets that a Python worker holds at once.
@@ -195,12 +195,21 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS
     than ``width`` words is one shingle. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    folder = shared_dir(spark, "near")
-    k, least = bands * rows, bands * rows * threshold - 5 * (bands * rows * threshold * (1 - threshold)) ** 0.5
     source = with_rows(docs.select("doc_id", "text"))
     source = source.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(source).alias("text"), F.col("_row_part").alias("part"), F.col("_row_pos").alias("pos"))
     with arrow_rows(spark, BATCH_ROWS):
-        signatures(source.withColumn("uid", F.monotonically_increasing_id()), bands, rows, width).write.parquet(f"{folder}/signed")
+        rows_of = _labelled(source, threshold, width, bands, rows)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
+    classes = rows_of.groupBy("label").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
+    return spread_join(rows_of, classes, "label", "task").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "part", "pos")
+
+
+def _labelled(source: DataFrame, threshold: float, width: int, bands: int, rows: int) -> DataFrame:
+    """The rows (doc_id, part, pos, uid, task) of a frame (doc_id, text, part, pos) with a label for each class."""
+    spark = source.sparkSession
+    folder = shared_dir(spark, "near")
+    k, least = bands * rows, bands * rows * threshold - 5 * (bands * rows * threshold * (1 - threshold)) ** 0.5
+    signatures(source.withColumn("uid", F.monotonically_increasing_id()), bands, rows, width).write.parquet(f"{folder}/signed")
     signed = stored(spark, f"{folder}/signed", SIGNATURES)
 
     task = F.shiftright("uid", 33)  # the task that has numbered the row: no hot key holds more of one task's rows than the task had
@@ -212,27 +221,23 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS
 
     hopeful = materialise(_likeliest(shared.where("a != uid").select("a", F.col("uid").alias("b")), nodes, k, least), "stars")
     cells = _cells(source, nodes.join(_ends(hopeful), "uid", "left_semi"), f"{folder}/first", width)
-    with arrow_rows(spark, BATCH_ROWS):
-        links = materialise(similar(hopeful, cells, threshold), "links")
+    links = materialise(similar(hopeful, cells, threshold), "links")
     labels = _merged(shared.select("uid", "task").distinct().withColumn("label", F.col("uid")), links)
 
     apart = materialise(_apart(shared.drop("a"), labels), "apart")
     if apart.limit(1).count():
-        missing = apart.select("uid").distinct().join(cells.select("uid"), "uid", "left_anti")
+        large = apart.where(F.col("n") > SMALL)
+        met = materialise(_rated(_small_pairs(apart), nodes, k, least).select("a", "b").union(_likeliest(_leaders(large), nodes, k, least)).distinct(), "met")
+        missing = _ends(met).union(large.select("uid")).distinct().join(cells.select("uid"), "uid", "left_anti")
         cells = cells.unionByName(_cells(source, nodes.join(missing, "uid", "left_semi"), f"{folder}/second", width))
-        for turn in range(LEADER_ROUNDS):
-            met = materialise(_likeliest(_leaders(apart, turn), nodes, k, least), "met")
-            with arrow_rows(spark, BATCH_ROWS):
-                labels = _merged(labels, materialise(similar(met, cells, threshold), "links"))
-            apart = materialise(_apart(apart.drop("label"), labels), "apart")
-        labels = _by_rare_shingles(apart.select("uid", "task", "label").distinct(), cells, labels, threshold)
+        labels = _merged(labels, materialise(similar(met, cells, threshold), "links"))
+        left = materialise(_apart(large.drop("label", "n"), labels).select("uid", "label").distinct(), "left")
+        if left.limit(1).count():
+            labels = _by_rare_shingles(left, cells, labels, threshold)
 
     label = copies.join(labels.select("uid", "label"), "uid", "left").select("copy", F.coalesce("label", "uid").alias("label"))
     rows_of = spread_join(signed.select("doc_id", "part", "pos", "uid", "copy", task.alias("task")), label, "copy", "task").drop("copy")
-    rows_of = materialise(rows_of, "labelled")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    classes = rows_of.groupBy("label").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return spread_join(rows_of, classes, "label", "task").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "part", "pos")
+    return materialise(rows_of, "labelled")
 
 
 def _bytes(binaries: pa.Array, width: int) -> np.ndarray:
@@ -243,8 +248,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
 
 
-def _likeliest(pairs: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
-    """Of each b the pair (a, b) whose signatures agree most, in ``least`` coordinates at least."""
+def _rated(pairs: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in ``least`` coordinates at least, and in how many."""
 
     @F.arrow_udf("int")
     def agreeing(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -252,11 +257,22 @@ def _likeliest(pairs: DataFrame, nodes: DataFrame, k: int, least: float) -> Data
 
     sig = lambda name, column: nodes.select(F.col("uid").alias(name), F.col("sig").alias(column))
     rated = spread_join(pairs.distinct().join(sig("b", "sig_b"), "b").withColumn("task", F.shiftright("b", 33)), sig("a", "sig_a"), "a", "task")
-    rated = rated.select("a", "b", agreeing("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= least)
-    best = rated.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("low"))).alias("best"))
+    return rated.select("a", "b", agreeing("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= least)
+
+
+def _likeliest(pairs: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
+    """Of each b the pair (a, b) whose signatures agree most, in ``least`` coordinates at least."""
+    best = _rated(pairs, nodes, k, least).groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("low"))).alias("best"))
     return best.select((-F.col("best.low")).alias("a"), "b")
 
 
+def _small_pairs(apart: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components of the small buckets, SMALL / 2 of a member at most."""
+    groups = apart.where(F.col("n") <= SMALL).groupBy("band").agg(F.collect_list(F.struct("uid", "label")).alias("group"))
+    pairs = F.flatten(F.transform("group", lambda x: F.transform(F.filter("group", lambda y: (x["uid"] < y["uid"]) & (x["label"] != y["label"])), lambda y: F.struct(x["uid"].alias("a"), y["uid"].alias("b")))))
+    return groups.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b").distinct()
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (uid, task, label: a uid of the component) after more links (a, b) between its uids."""
     own = lambda name: labels.select(F.col("uid").alias(name), F.col("label").alias(f"label_{name}"))
@@ -267,15 +283,15 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of the rows (uid, task, band) those of buckets that hold several components, with their label."""
+    """Of the rows (uid, task, band) those of buckets that hold several components, with their label and the bucket's size n."""
     own = members.join(labels.select("uid", "label"), "uid")
-    split = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    return spread_join(own, split, "band", "task").select("uid", "task", "band", "label")
+    split = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("band", "n")
+    return spread_join(own, split, "band", "task").select("uid", "task", "band", "label", "n")
 
 
-def _leaders(apart: DataFrame, turn: int) -> DataFrame:
+def _leaders(apart: DataFrame) -> DataFrame:
     """Pairs (a, b): each member b of a bucket and that of two members drawn by hash that is of another component, the first of them if both are."""
-    drawn = F.struct(F.xxhash64("uid", F.lit(turn)).alias("order"), "uid", "label")
+    drawn = F.struct(F.xxhash64("uid").alias("order"), "uid", "label")
     leaders = apart.groupBy("band").agg(F.min(drawn).alias("first"), F.max(drawn).alias("last"))
     met = spread_join(apart, leaders, "band", "task")
     other = F.when(F.col("label") != F.col("first.label"), F.col("first.uid")).when(F.col("label") != F.col("last.label"), F.col("last.uid"))
@@ -285,7 +301,7 @@ def _leaders(apart: DataFrame, turn: int) -> DataFrame:
 def _by_rare_shingles(apart: DataFrame, cells: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """``labels`` after every similar pair of different components among ``apart`` (uid, label) has been linked.
 
-    Shingles are ordered: first those of one component alone, then by how many of these texts hold them. Two similar texts of sizes n and m share at least t/(1+t) (n+m)
+    Shingles are ordered: first those of one component alone, then by how many chunks of these texts hold them. Two similar texts of sizes n and m share at least t/(1+t) (n+m)
     shingles, so the first that they share, at places i and j of theirs, leaves as many behind it in both: i <= (1-t) n, and
     min(n-i, m-j) reaches that bound.
     """
@@ -343,13 +359,15 @@ def _entries(apart: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
                 order = np.lexsort((owner, flat))
                 flat, owner = flat[order], owner[order]
                 start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-                end = np.append(start[1:], len(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(flat[start]), pa.array(np.full(len(start), row["chunk"])), pa.array(owner[start]), pa.array(owner[end - 1]), pa.array(end - start)], ["token", "chunk", "low", "high", "n"])
+                low, high = owner[start], owner[np.append(start[1:], len(flat)) - 1]
+                several = low != high  # these give two rows
+                token, label = np.concatenate([flat[start], flat[start][several]]), np.concatenate([low, high[several]])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), row["chunk"])), pa.array(label)], ["token", "chunk", "label"])
 
     with arrow_rows(spark, 1):  # a row is a chunk
-        chunks.mapInArrow(held, "token long, chunk long, low long, high long, n long").write.parquet(f"{folder}/held")
-    each = stored(spark, f"{folder}/held", "token long, chunk long, low long, high long, n long")
-    common = each.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high").select("token", "n")
+        chunks.mapInArrow(held, "token long, chunk long, label long").write.parquet(f"{folder}/held")
+    each = stored(spark, f"{folder}/held", "token long, chunk long, label long")
+    common = each.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("token", "n")
     table = SideTable(f"{folder}/common").write(each.select("token", "chunk").join(common, "token").select(F.col("chunk").alias("key"), F.col("token").alias("item"), F.col("n").alias("value")))
 
     @lean

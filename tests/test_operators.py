@@ -405,3 +405,96 @@ def test_pipelines(spark):
     assert len(sound) == 80 * (7 + 7) + 2 * 1600 and max(sound) == 32767
     timed = scorers.scored(rows.limit(1).select("stream_id", F.array("value").alias("samples")), scorers.EnergyVad(), timed=True)
     assert scorers.real_time_factor(timed).first().rtf > 0
+
+
+def test_matching_of_odd_rows(spark):
+    """Nulls, empty and ragged vectors, repeated ids, and names that tie."""
+    registry = spark.createDataFrame([(10, None), (11, [1.0, 0.0]), (12, [0.0, 1.0, 0.0]), (13, []), (14, [None, 1.0]), (15, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.1]), (1, [0.0, 2.0, 0.1]), (2, None), (3, [1.0]), (4, [2.0, 0.0]), (4, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query"], r.match_id) for r in match.nearest(queries, registry, 0.4).collect())
+    assert got == [(1, 11), (1, 12), (2, -1), (3, -1), (4, 11), (4, 11)]
+    last = sorted((r["query"], r.match_id) for r in match.last_match(queries, registry.withColumnsRenamed({"vec_id": "id", "embedding": "emb"}), 0.4).collect())
+    assert last == [(1, 12), (1, 15), (2, -1), (3, -1), (4, 15), (4, 15)]
+    lists = sorted((r["query"], r["rank"], r.match_id) for r in match.top_k(queries, registry, 2).collect())
+    assert lists == [(1, 1, 11), (1, 1, 12), (1, 2, 15), (4, 1, 11), (4, 2, 15)]
+    named = registry.select(F.concat(F.lit("n"), (20 - F.col("vec_id")).cast("string")).alias("name"), F.col("embedding").alias("emb"))
+    found = sorted((r["query"], r["name"], round(r.sim, 3)) for r in match.best_named(queries, named).collect())
+    assert found == [(1, "n5", 0.995), (1, "n8", 0.999), (2, "Nobody", 0.0), (3, "Nobody", 0.0), (4, "n5", 1.0), (4, "n5", 1.0)]
+    assert match.nearest(queries, registry.limit(0), 0.4).where("match_id >= 0").count() == 0
+    assert match.nearest(queries.where("vec_id = 2"), registry.where("vec_id = 10"), 0.4).collect()[0].match_id == -1
+
+
+def test_shapes_are_checked(spark):
+    from wavemill.operators import arrays
+
+    rows = spark.createDataFrame([([[1.0, 2.0]], [[3.0]], None)], "a array<array<double>>, b array<array<double>>, c array<array<double>>")
+    for bad in (arrays.concatenated(F.col("a"), F.col("b")), arrays.concatenated(F.col("a"), F.concat("b", "b"), dim=1), arrays.stacked(F.get("a", F.lit(0)), F.get("b", F.lit(0)))):
+        with pytest.raises(Exception, match="differ"):
+            rows.select(bad).collect()
+    assert rows.select(arrays.concatenated(F.col("a"), F.col("b"), dim=1).alias("x"), arrays.concatenated(F.col("a"), F.col("c")).alias("y"), arrays.tail_padded(F.col("c")).alias("z")).first() == ([[1.0, 2.0, 3.0]], None, None)
+
+
+def test_options_from_a_named_file_and_their_checks(tmp_path):
+    import dataclasses
+
+    from wavemill.sources import tables
+
+    @dataclasses.dataclass
+    class Options:
+        rate: int = dataclasses.field(default=16000, metadata={"unsigned": True})
+        share: float = 0.5
+        model: str = ""
+
+    (tmp_path / "o.conf").write_text("--rate=8000 # low\n--share=2\n")
+    found = tables.read_options(Options(), [], ["--share=0.25", f"--config={tmp_path}/o.conf"])
+    assert (found.rate, found.share) == (8000, 0.25)
+    with pytest.raises(ValueError, match="negative"):
+        tables.read_options(Options(), [], ["--rate=-1"])
+    checks = {"rate": tables.POSITIVE, "share": tables.SHARE, "model": tables.EXISTING_FILE}
+    assert tables.problems(found, checks) == ["model: there is no such file"]
+    assert tables.problems(dataclasses.replace(found, share=2.0, model=str(tmp_path / "o.conf")), checks) == ["share: must lie in 0 to 1"]
+
+
+class Adder:
+    """A session of a model with two inputs, a constant, a state and two outputs."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def run(self, names, fed):
+        total = fed["h"] + fed["x"].sum() + fed["sr"]
+        found = {"prob": total[:, 0], "hn": total, "twice": fed["x"] * 2}
+        return [found[n] for n in names]
+
+    def get_modelmeta(self):
+        return type("Meta", (), {"custom_metadata_map": {"model_type": "adder"}})
+
+
+def test_models_of_many_inputs_and_states(spark):
+    from wavemill.plans import scorers
+
+    model = scorers.OnnxModel("m", {"x": "samples", "sr": np.float32(1)}, {"prob": ("prob", "double"), "twice": ("twice", "array<array<double>>")}, {"h": ("hn", (1, 1))}, {"x": (2, 2)}, Adder)
+    rows = spark.createDataFrame([(s, i, [float(i)] * 4) for s in ("a", "b") for i in range(5)], "stream_id string, idx long, samples array<double>")
+    got = scorers.scored_in_order(rows, model, "stream_id", "idx").collect()
+    assert len(got) == 10
+    for r in got:
+        assert r.prob == sum(4 * i + 1 for i in range(r.idx + 1)) and r.twice == [[2.0 * r.idx] * 2] * 2
+    assert scorers.recogniser(model, {"adder": lambda m: m}) is model and scorers.recogniser(model, {"x": lambda m: 1, "adder": lambda m: 2}, "x") == 1
+    with pytest.raises(ValueError, match="adder"):
+        scorers.recogniser(model, {"other": lambda m: m})
+
+
+def test_prompted_decoding(spark):
+    """Language by the best logit or by the row, the end symbol, half the context, and null frames."""
+    from wavemill import queries as own
+
+    frames = np.array([[0, 0, 0, 0, 0, 1, 2, 3], [9, 0, 0, 0, 0, 0, 0, 0], [9, 0, 0, 0, 0, 0, 0, 0], [0, 0, 5, 0, 0, 0, 0, 0], [0, 0, 0, 0, 6, 0, 0, 0]], float).tolist()
+    rows = spark.createDataFrame([(1, frames, None), (2, frames, 5), (3, None, 5), (4, [*frames, frames[1]], None)], "utt long, frames array<array<double>>, lang int")
+    got = {r.utt: (r.language, r.tokens) for r in decoding.prompted(rows, own.Table(), 0, 1, 2, 3, [5, 6, 7], 16, "lang").collect()}
+    assert got == {1: (7, [2, 4, 4, 4]), 2: (5, [2, 4, 4, 4]), 3: (None, None), 4: (7, [2, 4])}
+
+
+def test_cleared_streams(spark):
+    rows = spark.range(10).select((F.col("id") % 2).alias("stream_id"), F.col("id").alias("idx"))
+    marks = spark.createDataFrame([(0, 4)], "stream_id long, cleared_to long")
+    assert sorted(r.idx for r in windows.cleared(rows, marks).collect()) == [1, 3, 5, 6, 7, 8, 9]

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,3 +192,8 @@ def missing_phonemes(phonemes, ids: dict[str, list[int]]) -> Column:
 def without_language_flags(phonemes: Column) -> Column:
     """``(xx)`` marks of a language switch removed from a phoneme string."""
     return F.regexp_replace(phonemes, r"\([^)]*\)", "")
+
+
+def missing_phoneme_counts(rows: DataFrame, phonemes: str, ids: dict[str, list[int]]) -> DataFrame:
+    """phoneme, n: how often each phoneme without an id occurs. Survey id A17."""
+    return rows.select(F.explode(missing_phonemes(F.col(phonemes), ids)).alias("phoneme")).groupBy("phoneme").agg(F.count(F.lit(1)).alias("n"))

@@ -69,6 +69,33 @@ def autoregressive(start: list[int], scorer: Joiner, memory: np.ndarray, end_id:
     return out
 
 
+def prompted(utterances: DataFrame, scorer: Joiner, end_id: int, start_id: int, task_id: int, no_times_id: int, language_ids: list[int], context: int = 448, language: str | None = None, key: str = "utt", frames: str = "frames") -> DataFrame:
+    """utt, language, tokens: greedy decoding after the prompt (start, language, task, no timestamps), until the end symbol or half the context. Survey id D7.
+
+    ``scorer`` maps frames and the tokens so far to logits. The language is the column ``language`` of ids, or, where that is null or not named, the best of ``language_ids`` after the start symbol
+    (ties to the first listed). Null frames give a null result. Rows go through in Arrow batches; each is decoded for itself.
+    """
+    own = [key, frames, *([language] if language else [])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple[int | None, list[int] | None]] = []
+            for n, rows in enumerate(pdf[frames]):
+                if rows is None:
+                    out.append((None, None))
+                    continue
+                memory = np.array([np.asarray(r, np.float64) for r in rows])
+                asked = pdf[language].iloc[n] if language else None
+                if asked is None or pd.isna(asked):
+                    asked = language_ids[int(np.argmax(np.asarray(scorer(memory, (start_id,)))[language_ids]))]
+                prompt = [start_id, int(asked), task_id, no_times_id]
+                out.append((int(asked), autoregressive(prompt, scorer, memory, end_id, context // 2 - len(prompt))))
+            yield pd.DataFrame({key: pdf[key], "language": pd.array([x for x, _ in out], "Int32"), "tokens": [x for _, x in out]})
+
+    slim = utterances.select(*own)
+    return slim.mapInPandas(run, f"{key} {slim.schema[key].dataType.simpleString()}, language int, tokens array<int>")
+
+
 def best_language(logits, language_ids: list[int]) -> Column:
     """The language id with the largest logit (ties to the first listed)."""
     pairs = F.array(*[F.struct(F.get(logits, F.lit(i)).alias("score"), F.lit(-k).alias("order"), F.lit(i).alias("id")) for k, i in enumerate(language_ids)])

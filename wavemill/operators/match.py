@@ -21,14 +21,18 @@ from wavemill.functions import vectors as V
 MATCH, BLOCK = 0.4, 1024
 
 
+def _tagged(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, vector and tag, a hash of the vector: rows that share a key are told apart by it, and equal rows share their result."""
+    own = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    return own.withColumn("tag", F.xxhash64("vector"))
+
+
 def _packed(rows: DataFrame, key: str, vector: str, side: str) -> DataFrame:
+    """Blocks of about BLOCK rows of one dimension. Rows without a key, and vectors that are null, empty or hold a null, take no part."""
     blocks = max(1, -(-rows.count() // BLOCK))
-    return (
-        rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-        .groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"))
-        .agg(F.collect_list("key").alias(f"{side}_keys"), F.flatten(F.collect_list("vector")).alias(f"{side}_vectors"))
-        .drop("block")
-    )
+    own = _tagged(rows, key, vector).where("key is not null and size(vector) > 0 and not exists(vector, x -> x is null)")
+    items = own.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.size("vector").alias(f"{side}_dim")).agg(F.collect_list(F.struct("key", "tag", "vector")).alias("items"))
+    return items.select(f"{side}_dim", F.col("items.key").alias(f"{side}_keys"), F.col("items.tag").alias(f"{side}_tags"), F.flatten("items.vector").alias(f"{side}_vectors"))
 
 
 def _matrix(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
@@ -40,16 +44,26 @@ def _pairs(queries: DataFrame, registry: DataFrame, key: str, vector: str, regis
     return _packed(queries, key, vector, "q").crossJoin(_packed(registry, registry_key, registry_vector, "r"))
 
 
+def _alike(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Pairs of blocks whose vectors have one dimension; others have no product."""
+    for k in range(batch.num_rows):
+        if batch.column("q_dim")[k].as_py() == batch.column("r_dim")[k].as_py():
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _cosines(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return q @ r.T / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1), V.FLOAT_EPSILON)
 
 
 def nearest(queries: DataFrame, registry: DataFrame, threshold: float = MATCH, key: str = "vec_id", vector: str = "embedding", registry_key: str = "vec_id", registry_vector: str = "embedding", exclude_same: bool = False) -> DataFrame:
-    """Of each query the most similar registry key above the threshold (strictly; ties to the lowest key): query, match_id (-1: none), sim."""
+    """Of each query the most similar registry key above the threshold (strictly; ties to the lowest key): query, match_id (-1: none), sim.
+
+    One row per query row. Null, empty and null-holding vectors match nothing, and vectors only match vectors of their own dimension.
+    """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _alike(batch):
                 (qk, q), (rk, r) = _matrix(row, "q"), _matrix(row, "r")
                 order = np.argsort(rk)
                 rk, sim = rk[order], _cosines(q, r[order])
@@ -58,21 +72,22 @@ def nearest(queries: DataFrame, registry: DataFrame, threshold: float = MATCH, k
                 at = sim.argmax(axis=1)
                 top = sim[np.arange(len(qk)), at]
                 hit = top > threshold
-                yield pa.RecordBatch.from_arrays([pa.array(qk[hit]), pa.array(rk[at[hit]]), pa.array(top[hit])], ["query", "match_id", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(qk[hit]), pa.array(np.array(row["q_tags"], np.int64)[hit]), pa.array(rk[at[hit]]), pa.array(top[hit])], ["query", "tag", "match_id", "sim"])
 
-    found = _pairs(queries, registry, key, vector, registry_key, registry_vector).mapInArrow(best, "query long, match_id long, sim double")
-    top = found.groupBy("query").agg(F.max(F.struct("sim", (-F.col("match_id")).alias("low"))).alias("top"))
-    hits = top.select("query", (-F.col("top.low")).alias("match_id"), F.col("top.sim").alias("sim"))
-    return queries.select(F.col(key).cast("long").alias("query")).join(hits, "query", "left").fillna({"match_id": -1})
+    found = _pairs(queries, registry, key, vector, registry_key, registry_vector).mapInArrow(best, "query long, tag long, match_id long, sim double")
+    top = found.groupBy("query", "tag").agg(F.max(F.struct("sim", (-F.col("match_id")).alias("low"))).alias("top"))
+    hits = top.select("query", "tag", (-F.col("top.low")).alias("match_id"), F.col("top.sim").alias("sim"))
+    every = _tagged(queries, key, vector).select(F.col("key").alias("query"), "tag")
+    return every.join(hits, ["query", "tag"], "left").drop("tag").fillna({"match_id": -1})
 
 
 def top_k(queries: DataFrame, registry: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exclude_same: bool = True) -> DataFrame:
-    """The k most similar registry keys of each query: query, rank, match_id, sim."""
+    """The k most similar registry keys of each query: query, rank, match_id, sim. Rows that share a key but not the vector have a list each; equal rows share one."""
     from pyspark.sql import Window
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _alike(batch):
                 (qk, q), (rk, r) = _matrix(row, "q"), _matrix(row, "r")
                 order = np.argsort(rk)
                 rk, sim = rk[order], _cosines(q, r[order])
@@ -81,17 +96,24 @@ def top_k(queries: DataFrame, registry: DataFrame, k: int, key: str = "vec_id",
                 at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
                 top = np.take_along_axis(sim, at, axis=1)
                 ok = np.isfinite(top)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qk, ok.sum(axis=1))), pa.array(rk[at][ok]), pa.array(top[ok])], ["query", "match_id", "sim"])
+                times = ok.sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qk, times)), pa.array(np.repeat(np.array(row["q_tags"], np.int64), times)), pa.array(rk[at][ok]), pa.array(top[ok])], ["query", "tag", "match_id", "sim"])
 
-    found = _pairs(queries, registry, key, vector, key, vector).mapInArrow(best, "query long, match_id long, sim double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "match_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k)
+    distinct = _tagged(queries, key, vector).dropDuplicates(["key", "tag"]).select(F.col("key").alias(key), F.col("vector").alias(vector))
+    found = _pairs(distinct, registry, key, vector, key, vector).mapInArrow(best, "query long, tag long, match_id long, sim double")
+    place = F.row_number().over(Window.partitionBy("query", "tag").orderBy(F.desc("sim"), "match_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).drop("tag")
 
 
 def best_named(queries: DataFrame, enrolled: DataFrame, nobody: str = "Nobody", key: str = "vec_id", vector: str = "embedding", name: str = "name", named_vector: str = "emb") -> DataFrame:
-    """The name with the best score over all its vectors, if above 0: query, name, sim. enrolled: name, emb, one row per vector."""
-    distinct = enrolled.select(name).distinct()
-    ids = distinct.select(name, F.xxhash64(name).alias("name_id"))
+    """The name with the best score over all its vectors, if above 0 (else ``nobody`` with 0): query, name, sim; ties to the first name in order.
+
+    enrolled: name, emb, one row per vector. The names, without their vectors, are numbered in one task: a registry of people, not a corpus.
+    """
+    from pyspark.sql import Window
+
+    distinct = enrolled.where(F.col(name).isNotNull()).select(name).distinct()
+    ids = distinct.select(name, F.row_number().over(Window.orderBy(name)).cast("long").alias("name_id"))
     hits = nearest(queries, enrolled.join(ids, name), 0.0, key, vector, "name_id", named_vector)
     return hits.join(ids, hits["match_id"] == ids["name_id"], "left").select("query", F.coalesce(name, F.lit(nobody)).alias("name"), F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
@@ -101,13 +123,15 @@ def last_match(queries: DataFrame, registry: DataFrame, threshold: float = MATCH
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _alike(batch):
                 (qk, q), (rk, r) = _matrix(row, "q"), _matrix(row, "r")
                 ids = np.where(_cosines(q, r) > threshold, rk, np.iinfo(np.int64).min).max(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(qk), pa.array(ids, mask=ids == np.iinfo(np.int64).min)], ["query", "match_id"])
+                hit = ids > np.iinfo(np.int64).min
+                yield pa.RecordBatch.from_arrays([pa.array(qk[hit]), pa.array(np.array(row["q_tags"], np.int64)[hit]), pa.array(ids[hit])], ["query", "tag", "match_id"])
 
-    found = _pairs(queries, registry, key, vector, registry_key, registry_vector).mapInArrow(hits, "query long, match_id long")
-    return found.groupBy("query").agg(F.coalesce(F.max("match_id"), F.lit(-1)).alias("match_id"))
+    found = _pairs(queries, registry, key, vector, registry_key, registry_vector).mapInArrow(hits, "query long, tag long, match_id long")
+    every = _tagged(queries, key, vector).select(F.col("key").alias("query"), "tag")
+    return every.join(found.groupBy("query", "tag").agg(F.max("match_id").alias("match_id")), ["query", "tag"], "left").drop("tag").fillna({"match_id": -1})
 
 
 def pair_distances(rows: DataFrame, within: float | None = None, cosine: bool = False, key: str = "vec_id", vector: str = "embedding", other: DataFrame | None = None) -> DataFrame:
@@ -117,7 +141,7 @@ def pair_distances(rows: DataFrame, within: float | None = None, cosine: bool =
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _alike(batch):
                 (qk, q), (rk, r) = _matrix(row, "q"), _matrix(row, "r")
                 d = 1 - _cosines(q, r) if cosine else np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (r**2).sum(1) - 2 * q @ r.T))
                 ok = np.ones(d.shape, bool) if two_sets else qk[:, None] < rk

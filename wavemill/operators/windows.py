@@ -93,3 +93,31 @@ def speaking_gate(rows: DataFrame, stream: str, index: str, code: str, size: int
     """Of each block of ``size`` VAD codes, whether at least ``least`` are a start (2) or speech (4)."""
     blocks = rows.groupBy(stream, F.floor(F.col(index) / size).alias("block"))
     return blocks.agg(F.count_if(F.col(code).isin(2, 4)).alias("speech")).withColumn("speaking", F.col("speech") >= least)
+
+
+def sliding_chunks(samples: DataFrame, size: int, hop: int, stream: str = "stream_id", idx: str = "idx", value: str = "value") -> DataFrame:
+    """stream, chunk, filled, samples (array of ``size``), tail: windows of a whole stream, a hop apart, as long as they are full, and then one window padded with zeros if samples are left.
+
+    Survey id T9. A stream shorter than a window is one padded chunk. A sample goes to size / hop chunks.
+    """
+    n = samples.groupBy(stream).agg((F.max(idx) + 1).alias("n"))
+    whole = F.when(F.col("n") >= size, F.expr(f"(n - {size}) div {hop} + 1")).otherwise(0)
+    last = F.when((F.col("n") < size) | ((F.col("n") - size) % hop > 0), whole).otherwise(whole - 1)
+    own = samples.join(n.select(stream, whole.alias("whole"), last.alias("last")), stream)
+    first = F.greatest(F.lit(0), F.ceil((F.col(idx) - size + 1) / hop)).cast("long")
+    to = F.least(F.floor(F.col(idx) / hop).cast("long"), F.col("last"))
+    placed = own.withColumn("chunk", F.explode(F.when(first <= to, F.sequence(first, to))))
+    items = placed.groupBy(stream, "chunk").agg(F.array_sort(F.collect_list(F.struct(idx, value))).alias("items"), F.max(F.col("chunk") >= F.col("whole")).alias("tail"))
+    filled = F.transform("items", lambda x: x[value])
+    return items.select(stream, "chunk", F.size("items").cast("long").alias("filled"), F.concat(filled, F.array_repeat(F.lit(0).cast("double"), F.lit(size) - F.size("items"))).alias("samples"), "tail")
+
+
+def unread(samples: DataFrame, size: int, hop: int = 0, stream: str = "stream_id") -> DataFrame:
+    """stream, unread: samples that no window has consumed yet; each full window moves the cursor by ``hop`` (0: by itself). Survey id T2."""
+    step, n = hop or size, F.count(F.lit(1))
+    return samples.groupBy(stream).agg(n.alias("n")).select(stream, (F.col("n") - F.when(F.col("n") >= size, F.expr(f"((n - {size}) div {step} + 1) * {step}")).otherwise(0)).alias("unread"))
+
+
+def cleared(samples: DataFrame, marks: DataFrame, stream: str = "stream_id", idx: str = "idx", mark: str = "cleared_to") -> DataFrame:
+    """What is left after each stream was cleared up to a place (that sample included); streams without a mark keep all. Survey id T2."""
+    return samples.join(marks.select(stream, mark), stream, "left").where(F.col(mark).isNull() | (F.col(idx) > F.col(mark))).drop(mark)

@@ -47,6 +47,62 @@ class OnnxScorer:
         return pd.DataFrame({self.output_column: [o.ravel() for o in out]})
 
 
+class OnnxModel:
+    """A model file with any number of inputs, outputs and states.
+
+    ``inputs`` maps the model's input names to columns (arrays, with shapes in ``shapes`` if they have more dimensions than one, a batch dimension of 1 is put in front) or to
+    constants; ``outputs`` maps its output names to columns, each (name, DDL type), whose arrays are flattened into the type's nesting. ``state`` maps an input name to (output
+    name, shape): it starts as zeros for every value of ``stream`` and then is what the row before has left, so rows of a stream must come in order (see ``scored_in_order``).
+    A recurrent activity model, a transducer's encoder, decoder and joiner, or a decoder with its cache are each one of these.
+    """
+
+    def __init__(self, model: str, inputs: dict[str, object], outputs: dict[str, tuple[str, str]], state: dict[str, tuple[str, tuple[int, ...]]] | None = None, shapes: dict[str, tuple[int, ...]] | None = None, open_session: Callable[[str], object] | None = None):
+        self.model, self.inputs, self.outputs, self.state, self.shapes, self.open_session = model, inputs, outputs, state or {}, shapes or {}, open_session
+        self.output = ", ".join(f"{name} {ddl}" for name, ddl in outputs.values())
+        self._session = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_session": None}
+
+    def _open(self):
+        if self._session is None:
+            if self.open_session:
+                self._session = self.open_session(self.model)
+            else:
+                import onnxruntime
+
+                self._session = onnxruntime.InferenceSession(self.model, providers=["CPUExecutionProvider"])
+        return self._session
+
+    def metadata(self) -> dict[str, str]:
+        """The model's own key-value notes, such as its type."""
+        return dict(self._open().get_modelmeta().custom_metadata_map)
+
+    def _fed(self, row: pd.Series, name: str, source: object) -> np.ndarray:
+        value = np.asarray(row[source] if isinstance(source, str) else source)
+        value = value.astype(np.int64 if value.dtype.kind in "iub" else np.float32)
+        if not isinstance(source, str):
+            return value
+        return value.reshape(1, *self.shapes[name]) if name in self.shapes else value[None]
+
+    def score(self, rows: pd.DataFrame, state: dict[str, np.ndarray] | None = None) -> pd.DataFrame:
+        """Outputs of the rows, in their order. ``state`` is read and left as it is after the last row; without one it begins as zeros."""
+        session, own = self._open(), {} if state is None else state
+        for name, (_, shape) in self.state.items():
+            own.setdefault(name, np.zeros(shape, np.float32))
+        wanted = [*self.outputs, *(out for out, _ in self.state.values())]
+        found: dict[str, list] = {name: [] for name, _ in self.outputs.values()}
+        for _, row in rows.iterrows():
+            fed = {name: self._fed(row, name, source) for name, source in self.inputs.items()}
+            results = dict(zip(wanted, session.run(wanted, fed | own), strict=True))
+            own.update({name: results[out] for name, (out, _) in self.state.items()})
+            for out, (name, ddl) in self.outputs.items():
+                value = np.asarray(results[out])
+                depth = ddl.count("array<")
+                found[name].append(value.reshape(value.shape[value.ndim - depth :] if value.ndim > depth and value.size == np.prod(value.shape[value.ndim - depth :]) else value.shape).tolist() if depth else value.ravel()[0].item())
+        return pd.DataFrame(found, index=rows.index)
+
+
 class EnergyVad:
     """A stand-in for a voice activity model: the share of a window's energy over a floor."""
 
@@ -113,6 +169,29 @@ def scored(rows: DataFrame, scorer: Scorer, timed: bool = False) -> DataFrame:
     return rows.mapInPandas(run, own)
 
 
+def scored_in_order(rows: DataFrame, scorer: OnnxModel, stream: str, order: str) -> DataFrame:
+    """``scored`` for models with state: each stream's rows in order, in one task, batch after batch with the state carried on; no stream is held as a whole."""
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {scorer.output}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, {}
+        for batch in batches:
+            for name, part in batch.groupby(stream, sort=False, dropna=False):
+                if name != last:
+                    last, state = name, {}
+                yield pd.concat([part, scorer.score(part, state)], axis=1)
+
+    return rows.repartition(stream).sortWithinPartitions(stream, order).mapInPandas(run, own)
+
+
+def recogniser(model: OnnxModel, makers: dict[str, Callable[[OnnxModel], Scorer]], kind: str | None = None, key: str = "model_type") -> Scorer:
+    """The recogniser of a model: by the type that is asked for, or else by the model's own metadata. Survey id D9."""
+    kind = kind or model.metadata().get(key)
+    if kind not in makers:
+        raise ValueError(f"no recogniser for models of type {kind!r}; there are {', '.join(sorted(makers))}")
+    return makers[kind](model)
+
+
 def real_time_factor(rows: DataFrame, rate: int = 16000, seconds: str = "seconds", samples: str = "samples"):
     """Elapsed seconds over audio seconds."""
     from pyspark.sql import functions as F

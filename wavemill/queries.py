@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import text as X
 from wavemill.functions import vectors as V
-from wavemill.operators import clustering, decoding, match, timeline, tracking, vad, windows
+from wavemill.operators import arrays, clustering, decoding, match, timeline, tracking, vad, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -53,6 +53,8 @@ def arrays6(c) -> Column:
 # --- embeddings: vectors ---------------------------------------------------------------------------------------------
 
 EMB = "select vec_id, label, embedding::double[] as v from embeddings"
+CENTRES = """cx as (select label, pos, avg(x) as x from (select label, unnest(v) as x, unnest(generate_series(0, len(v) - 1)) as pos from e) group by label, pos),
+cen as (select label, list(x order by pos) as v from cx group by label)"""
 THRESHOLD, GROUPS = 0.3, 10
 
 
@@ -73,33 +75,33 @@ def nearest_above_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("cosine_topk", f"""
 with e as ({EMB}), p as (
-  select a.vec_id, b.vec_id as match_id, list_cosine_similarity(a.v, b.v) as sim from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 7 = 0
+  select a.vec_id, b.vec_id as match_id, list_cosine_similarity(a.v, b.v) as sim from e a join e b on a.vec_id <> b.vec_id
 ), best as (select *, row_number() over (partition by vec_id order by sim desc, match_id) as rank from p)
 select vec_id, rank, match_id, round(sim, 6) as sim from best where rank <= 5""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return match.top_k(e.where("vec_id % 7 = 0"), e, 5).select(F.col("query").alias("vec_id"), F.col("rank").cast("long").alias("rank"), "match_id", r6("sim").alias("sim"))
+    return match.top_k(e, e, 5).select(F.col("query").alias("vec_id"), F.col("rank").cast("long").alias("rank"), "match_id", r6("sim").alias("sim"))
 
 
 @register("last_match", f"""
-with e as ({EMB}), reg as (select label::bigint as id, v from e where vec_id % 5 = 0)
+with e as ({EMB}), {CENTRES}, reg as (select label::bigint as id, v from cen)
 select e.vec_id, coalesce(max(reg.id) filter (where list_cosine_similarity(e.v, reg.v) > {THRESHOLD}), -1) as match_id
 from e cross join reg group by e.vec_id""")
 def last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    registry = e.where("vec_id % 5 = 0").select(F.col("label").cast("long").alias("id"), F.col("embedding").alias("emb"))
+    registry = match.centroids(e, "label").select(F.col("label").cast("long").alias("id"), F.col("centroid").alias("emb"))
     return match.last_match(e, registry, THRESHOLD).select(F.col("query").alias("vec_id"), "match_id")
 
 
 @register("best_named", f"""
-with e as ({EMB}), reg as (select 'speaker ' || label as name, v from e where vec_id % 5 = 0), p as (
-  select e.vec_id, reg.name, list_cosine_similarity(e.v, reg.v) as sim from e cross join reg
-), best as (select vec_id, max(sim) as sim from p group by vec_id)
-select vec_id, round(sim, 6) as sim from best where sim > 0""")
+with e as ({EMB}), {CENTRES}, p as (
+  select e.vec_id, 'speaker ' || cen.label as name, list_cosine_similarity(e.v, cen.v) as sim from e cross join cen
+), best as (select vec_id, name, sim, row_number() over (partition by vec_id order by sim desc, name) as rn from p)
+select vec_id, case when sim > 0 then name else 'Nobody' end as name, case when sim > 0 then round(sim, 6) else 0 end as sim from best where rn = 1""")
 def best_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    enrolled = e.where("vec_id % 5 = 0").select(F.concat(F.lit("speaker "), F.col("label").cast("string")).alias("name"), F.col("embedding").alias("emb"))
-    return match.best_named(e, enrolled).where("sim > 0").select(F.col("query").alias("vec_id"), r6("sim").alias("sim"))
+    enrolled = match.centroids(e, "label").select(F.concat(F.lit("speaker "), F.col("label").cast("string")).alias("name"), F.col("centroid").alias("emb"))
+    return match.best_named(e, enrolled).select(F.col("query").alias("vec_id"), "name", r6("sim").alias("sim"))
 
 
 @register("wake_word", f"""
@@ -201,11 +203,13 @@ _vector_query("floor_normalised", lambda v: V.floor_normalised(V.scaled(v, 20.0)
 _vector_query("peak_int16", V.peak_int16, "list_transform(v, lambda x: trunc(greatest(-32767.0::double, least(32767.0::double, x * (32767.0::double / greatest(0.01::double, list_max(list_transform(v, lambda y: abs(y)))))))))")
 _vector_query("log_mel_normalised", lambda v: V.log_mel_normalised(F.transform(v, lambda x: x * x)), "list_transform(v, lambda x: (greatest(log10(greatest(x * x, 1e-10::double)), list_max(list_transform(v, lambda y: log10(greatest(y * y, 1e-10::double)))) - 8) + 4) / 4)")
 _vector_query("standardised", V.standardised, f"list_transform(v, lambda x: (x - {_MEAN}) / (sqrt(list_sum(list_transform(v, lambda y: (y - {_MEAN}) * (y - {_MEAN}))) / len(v)) + 1e-5::double))")
-_vector_query("cmvn", lambda v: V.cmvn(v, F.transform(v, lambda x: -x / 2), F.transform(v, lambda x: F.lit(2.0))), "list_transform(v, lambda x: (x - x / 2) * 2)")
-_vector_query("cropped", lambda v: V.cropped(v, F.lit(-3), 10), "list_transform(generate_series(-3, 6), lambda i: case when i >= 0 then v[i + 1] else 0.0 end)")
+_vector_query("cmvn", lambda v: V.cmvn(v, F.transform(v, lambda x, i: -i / 100.0), F.transform(v, lambda x, i: 1 + i / 10.0)), "list_transform(v, lambda x, i: (x - (i - 1) / 100.0::double) * (1 + (i - 1) / 10.0::double))")
+_vector_query("cropped", lambda v: V.cropped(v, F.lit(-3), 70), "list_transform(generate_series(-3, 66), lambda i: case when i >= 0 and i < len(v) then v[i + 1] else 0.0 end)")
 _vector_query("compacted", lambda v: V.compacted(v, F.transform(v, lambda x: x > 0)), "list_concat(list_filter(v, lambda x: x > 0), list_transform(generate_series(1, len(v) - len(list_filter(v, lambda x: x > 0))), lambda i: 0.0::double))")
-_vector_query("padded", lambda v: V.padded(F.slice(v, 1, 4), 6, -23.0258), "list_concat(v[1:4], [-23.0258::double, -23.0258::double])")
-_vector_query("upsampled_mask", lambda v: F.transform(V.upsampled_mask(F.slice(v, 1, 10), 25, 0.0), lambda b: b.cast("int")), "list_transform(generate_series(0, 24), lambda j: (v[1 + (j * 10) // 25] > 0)::int)")
+_vector_query("padded", lambda v: V.padded(v, 66, -23.0258), "list_concat(v, [-23.0258::double, -23.0258::double])")
+_vector_query("upsampled_mask", lambda v: F.transform(V.upsampled_mask(v, 150, 0.0), lambda b: b.cast("int")), "list_transform(generate_series(0, 149), lambda j: (v[1 + (j * len(v)) // 150] > 0)::int)")
+_vector_query("mel_forward", lambda v: F.transform(v, lambda x: V.mel(F.abs(x) * 4000)), "list_transform(v, lambda x: 1127.0::double * ln(1 + abs(x) * 4000 / 700.0::double))")
+_vector_query("mel_backward", lambda v: F.transform(v, lambda x: V.mel_inverse(F.abs(x) * 2000)), "list_transform(v, lambda x: 700.0::double * (exp(abs(x) * 2000 / 1127.0::double) - 1))")
 _vector_query("top_indices", lambda v: V.top_indices(v, 3), "list_transform(list_grade_up(list_transform(v, lambda x: -x))[1:3], lambda i: i - 1)")
 _vector_query("mel_scale", lambda v: F.transform(v, lambda x: V.mel_inverse(V.mel(F.abs(x) * 4000))), "list_transform(v, lambda x: 700.0::double * (exp(1127.0::double * ln(1 + abs(x) * 4000 / 700.0::double) / 1127.0::double) - 1))")
 
@@ -221,15 +225,14 @@ def cosine_distance_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("enrolment", f"""
-with e as ({EMB}), seg as (select 'speaker ' || label as name, v from e where vec_id % 3 = 0),
-x as (select name, unnest(v) as x, unnest(generate_series(0, len(v) - 1)) as pos from seg)
-select name, 'segment' as kind, round(v[1], 6) as first from seg
-union all select name, 'mean', round(avg(x), 6) + 0.0 from x where pos = 0 group by name
-union all select 'speaker ' || label, 'whole', round(v[1], 6) from e where vec_id % 50 = 0""")
+with e as ({EMB}), seg as (select 'speaker ' || label as name, v from e), one as (select 'speaker ' || label as name, min_by(v, vec_id) as v from e group by label),
+flat as (select name, 'segment' as kind, unnest(v) as x, unnest(generate_series(0, len(v) - 1)) as pos from seg union all select name, 'whole', unnest(v), unnest(generate_series(0, len(v) - 1)) from one)
+select name, kind, pos, round(x, 6) + 0.0 as x from flat
+union all select name, 'mean', pos, round(avg(x), 6) + 0.0 from flat where kind = 'segment' group by name, pos""")
 def enrolment(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir).withColumn("name", F.concat(F.lit("speaker "), F.col("label").cast("string"))).withColumnRenamed("embedding", "emb")
-    out = match.enrolment(e.where("vec_id % 3 = 0"), e.where("vec_id % 50 = 0"))
-    return out.select("name", "kind", r6(F.element_at("emb", 1)).alias("first"))
+    out = match.enrolment(e, e.groupBy("name").agg(F.min_by("emb", "vec_id").alias("emb")))
+    return out.select("name", "kind", F.posexplode("emb").alias("pos", "x")).select("name", "kind", F.col("pos").cast("long").alias("pos"), r6("x").alias("x"))
 
 
 # --- events: streams, windows, timelines ------------------------------------------------------------------------------
@@ -422,12 +425,12 @@ def mean_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("change_points", f"""
 with m as (select chunk, "class", avg(score) as activity from ({FRAME_SCORES}) group by chunk, "class"),
-t as (select chunk, arg_max("class", activity) as "class", max(activity) as activity, chunk // 50 as stream from m group by chunk),
+t as (select chunk, arg_max("class", (activity, -"class")) as "class", max(activity) as activity, chunk // 50 as stream from m group by chunk),
 h as (select *, coalesce(lag("class") over (partition by stream order by chunk), 0) as before from t where activity > 0.3)
 select stream, chunk, "class", round(activity, 6) as activity from h where "class" <> before""")
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = timeline.mean_activity(frame_scores(spark, sf_dir), 0)
-    top = means.groupBy("chunk").agg(F.max_by("class", "activity").alias("class"), F.max("activity").alias("activity")).withColumn("stream", F.expr("chunk div 50"))
+    top = means.groupBy("chunk").agg(F.max_by("class", F.struct("activity", -F.col("class"))).alias("class"), F.max("activity").alias("activity")).withColumn("stream", F.expr("chunk div 50"))
     return timeline.change_points(top, "stream", "chunk", 0.3).select("stream", "chunk", "class", r6("activity").alias("activity"))
 
 
@@ -539,10 +542,68 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@register("result_json", """select event_id, '{"text":"' || event_type || '","timestamps":[' || (round(value, 2))::varchar || '],"tokens":["' || event_type || '"]}' as json from events where round(value, 2) <> round(value) and round(value, 2) * 10 <> round(round(value, 2) * 10)""")
+@register("result_json", """select event_id, '{"text":"' || event_type || '","timestamps":[' || (round(value, 2))::varchar || '],"tokens":["' || event_type || '"]}' as json from events""")
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("round(value, 2) <> round(value) and round(value, 2) * 10 <> round(round(value, 2) * 10)")
-    return e.select("event_id", X.result_json(F.col("event_type"), F.array("value"), F.array("event_type")).alias("json"))
+    return table(spark, sf_dir, "events").select("event_id", X.result_json(F.col("event_type"), F.array("value"), F.array("event_type")).alias("json"))
+
+
+# --- arrays of arrays ----------------------------------------------------------------------------------------------------
+
+_ROWS = "list_transform(generate_series(0, 7), lambda i: v[i * 8 + 1 : i * 8 + 8])"
+
+
+def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding as eight rows of eight."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    return embeddings(spark, sf_dir).select("vec_id", "label", rows.alias("m"))
+
+
+def _matrix_query(name: str, transform: Callable[[Column], Column], sql: str) -> None:
+    """A query that maps the matrix m of each embedding to another, listed by row and column."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = matrices(spark, sf_dir).select("vec_id", F.posexplode(transform(F.col("m"))).alias("row", "r")).select("vec_id", "row", F.posexplode("r").alias("col", "x"))
+        return rows.select("vec_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), r6("x").alias("x"))
+
+    run.__name__ = name
+    register(name, f"""
+with e as ({EMB}), m as (select vec_id, {_ROWS} as m from e), o as (select vec_id, {sql} as o from m),
+r as (select vec_id, unnest(o) as r, unnest(generate_series(0, len(o) - 1)) as "row" from o)
+select vec_id, "row", col, round(x, 6) + 0.0 as x from (select vec_id, "row", unnest(r) as x, unnest(generate_series(0, len(r) - 1)) as col from r)""")(run)
+
+
+_matrix_query("concat_rows", lambda m: arrays.concatenated(m, m, dim=0), "list_concat(m, m)")
+_matrix_query("concat_columns", lambda m: arrays.concatenated(m, F.reverse(m), dim=1), "list_transform(m, lambda r, i: list_concat(r, m[9 - i]))")
+_matrix_query("stack", lambda m: arrays.stacked(F.get(m, F.lit(0)), F.get(m, F.lit(3)), F.get(m, F.lit(7))), "[m[1], m[4], m[8]]")
+_matrix_query("index_select", lambda m: arrays.index_selected(m, F.array(*map(F.lit, (7, 0, 0, 3)))), "[m[8], m[1], m[1], m[4]]")
+_matrix_query("frame_slice", lambda m: F.array(arrays.frame_at(m, F.lit(2))), "[m[3]]")
+_matrix_query("repeat_rows", lambda m: arrays.repeated(m, F.array(*map(F.lit, (0, 2, 2, 3, 4, 6, 6, 7, 10)))), "[m[1], m[1], m[3], m[4], m[5], m[5], m[7], m[8], m[8], m[8]]")
+_matrix_query("whisper_frames", lambda m: arrays.tail_padded(m, most=10, least_padding=3, padding=4), "list_concat(m[1:7], [[0.0::double, 0, 0, 0, 0, 0, 0, 0], [0.0::double, 0, 0, 0, 0, 0, 0, 0], [0.0::double, 0, 0, 0, 0, 0, 0, 0]])")
+
+
+@register("unbind", f"""
+with e as ({EMB}), m as (select vec_id, {_ROWS} as m from e), r as (select vec_id, unnest(m) as r, unnest(generate_series(0, 7)) as part from m)
+select vec_id, part, col, round(x, 6) + 0.0 as x from (select vec_id, part, unnest(r) as x, unnest(generate_series(0, len(r) - 1)) as col from r)""")
+def unbind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = arrays.unbound(matrices(spark, sf_dir), "m").select("vec_id", F.col("part").cast("long").alias("part"), F.posexplode(F.get("slice", F.lit(0))).alias("col", "x"))
+    return parts.select("vec_id", "part", F.col("col").cast("long").alias("col"), r6("x").alias("x"))
+
+
+@register("sliding_chunks", f"""
+with s as ({SCORES}), n as (select user_id, count(*) as n from s group by user_id), g as (
+  select user_id, n, case when n >= 5 then (n - 5) // 2 + 1 else 0 end as whole from n
+), c as (select user_id, unnest(generate_series(0, whole - (case when n < 5 or (n - 5) % 2 > 0 then 0 else 1 end))) as chunk, whole from g)
+select c.user_id, chunk, count(*) as filled, 5 as size, round(sum(prob), 6) as total, chunk >= whole as tail
+from c join s on s.user_id = c.user_id and idx >= chunk * 2 and idx < chunk * 2 + 5 group by c.user_id, chunk, whole""")
+def sliding_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scores(spark, sf_dir).select("user_id", "idx", F.col("prob").alias("value"))
+    found = windows.sliding_chunks(rows, 5, 2, stream="user_id")
+    return found.select("user_id", "chunk", "filled", F.size("samples").alias("size"), r6(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)).alias("total"), "tail")
+
+
+@register("unread_length", f"with s as ({SCORES}) select user_id, count(*) - (case when count(*) >= 7 then ((count(*) - 7) // 3 + 1) * 3 else 0 end) as unread from s group by user_id")
+def unread_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.unread(scores(spark, sf_dir).select("user_id", "idx"), 7, 3, stream="user_id")
 
 
 # --- text ----------------------------------------------------------------------------------------------------------------
@@ -609,11 +670,19 @@ def hotword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("phoneme_ids", f"""
 with c as (select item_id, list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z ,.]', '', 'g')), ''), lambda c: c <> 'g') as chars from benchmark)
-select item_id, len(chars) * 2 + 3 as n, list_sum(list_transform(chars, lambda c: strpos('{X.PHONEMES.replace("'", "''")}', c) - 1))::bigint + 1 + 2 as total from c""")
+select item_id, list_concat([1, 0], list_concat(flatten(list_transform(chars, lambda c: [strpos('{X.PHONEMES.replace("'", "''")}', c) - 1, 0])), [2]))::bigint[] as ids from c""")
 def phoneme_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^A-Za-z ,.]", "").alias("text"))
     ids = X.phoneme_ids(F.split(F.lower("text"), ""), X.default_phoneme_map())
-    return clean.select("item_id", ids.alias("ids")).select("item_id", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    return clean.select("item_id", ids.alias("ids"))
+
+
+@register("missing_phonemes", """
+with c as (select item_id, unnest(string_split(text, '')) as c from benchmark)
+select c as phoneme, count(*) as n from c where not regexp_matches(c, '[a-fh-z ,.!?''():;-]') and c not in ('"') group by c""")
+def missing_phonemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = {c: [0] for c in "abcdefhijklmnopqrstuvwxyz ,.!?'():;-" + '"'}
+    return X.missing_phoneme_counts(table(spark, sf_dir, "benchmark").select(F.split("text", "").alias("phonemes")), "phonemes", ids)
 
 
 @register("integers_and_reals", """
@@ -647,6 +716,24 @@ def online_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.tracked(_vector_stream(spark, sf_dir), "stream_id", "vec_id", threshold=0.2)
 
 
+class Table:
+    """A decoder whose logits are the frame of the number of tokens so far, so that its answer can be told from the frames."""
+
+    def __call__(self, memory, tokens):
+        return memory[min(len(tokens), len(memory)) - 1]
+
+
+@register("prompted_greedy", f"""
+with e as ({EMB}), m as (select vec_id, list_transform(generate_series(0, 7), lambda i: v[i * 8 + 1 : i * 8 + 8]) as m from e),
+s as (select vec_id, case when m[1][7] > m[1][6] and m[1][7] >= m[1][8] then 6 when m[1][8] > m[1][6] then 7 else 5 end as lang, m from m),
+b as (select vec_id, lang, list_transform(generate_series(4, 7), lambda i: list_position(m[i], list_max(m[i])) - 1) as best from s),
+c as (select vec_id, lang, best, list_position(best, 0) as stop from b)
+select vec_id, lang as language, case when stop is null or stop = 0 then best else best[1 : stop - 1] end::bigint[] as tokens from c""")
+def prompted_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decoding.prompted(matrices(spark, sf_dir), Table(), end_id=0, start_id=1, task_id=2, no_times_id=3, language_ids=[5, 6, 7], context=16, key="vec_id", frames="m")
+    return found.select("vec_id", "language", F.col("tokens").cast("array<long>").alias("tokens"))
+
+
 @register("change_detector")
 def change_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.changes(_vector_stream(spark, sf_dir), "stream_id", "vec_id", threshold=0.2)

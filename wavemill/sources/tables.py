@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,10 +49,10 @@ def encode_hot_words(phrases: DataFrame, symbols: DataFrame, phrase: str = "valu
 
 
 VOICE_SCHEMA = """
-    audio struct<sample_rate: int>, espeak struct<voice: string>, phoneme_type: string, num_symbols int, num_speakers int,
+    audio struct<sample_rate: int>, espeak struct<voice: string>, phoneme_type string, num_symbols int, num_speakers int,
     phoneme_id_map map<string, array<bigint>>, phoneme_map map<string, array<string>>, speaker_id_map map<string, bigint>,
     inference struct<noise_scale: double, length_scale: double, noise_w: double>
-""".replace("phoneme_type: string", "phoneme_type string")
+"""
 
 
 def read_voice(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +63,13 @@ def read_voice(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_options(defaults: Any, config_lines: list[str], arguments: list[str]) -> Any:
-    """A dataclass of options with the values of a config file and then of ``--name=value`` arguments. Names are matched in lower case with ``-`` for ``_``; ``#`` begins a comment."""
+    """A dataclass of options with the values of a config file and then of ``--name=value`` arguments. Names are matched in lower case with ``-`` for ``_``; ``#`` begins a comment.
+
+    ``--config=file`` among the arguments names a further file, which is read before any argument, so that arguments override it wherever they stand. A field whose metadata has
+    ``unsigned`` takes no negative number.
+    """
+    files = [a.partition("=")[2].strip() for a in arguments if a.strip().partition("=")[0].lower() == "--config"]
+    config_lines = [*config_lines, *(line for f in files for line in Path(f).read_text(encoding="utf-8").splitlines())]
     fields = {f.name.lower().replace("_", "-"): f for f in dataclasses.fields(defaults)}
     out: dict[str, Any] = {}
     for line in [*config_lines, *arguments]:
@@ -83,9 +91,22 @@ def read_options(defaults: Any, config_lines: list[str], arguments: list[str]) -
             out[fields[name].name] = value != "false"
         else:
             out[fields[name].name] = kind(value)
+            if fields[name].metadata.get("unsigned") and out[fields[name].name] < 0:
+                raise ValueError(f"--{name} takes no negative number")
     return dataclasses.replace(defaults, **out)
 
 
+def problems(options: Any, checks: dict[str, tuple[Callable[[Any], bool], str]]) -> list[str]:
+    """What is wrong with a dataclass of options: of each field that fails its predicate, the message. Survey id P14."""
+    return [f"{name}: {message}" for name, (ok, message) in checks.items() if not ok(getattr(options, name))]
+
+
+#: Predicates of common options, for ``problems``.
+POSITIVE = (lambda x: x > 0, "must be above 0")
+SHARE = (lambda x: 0 <= x <= 1, "must lie in 0 to 1")
+EXISTING_FILE = (lambda x: Path(x).is_file(), "there is no such file")
+
+
 def segment_line(start: Column, end: Column, text: Column) -> Column:
     return F.format_string("Time: [%.2fs ~ %.2fs], Text: %s", start.cast("double"), end.cast("double"), text)
 

@@ -31,8 +31,25 @@ def test_word_cache_is_exact(words, text):
     assert words.by_word and words.encode(text) == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXTS, max_size=12))
+def test_texts_together_are_exact(words, texts):
+    ids, sizes = words.encode_many(texts)
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from([chr(c) for c in range(1, 256)]), max_size=40), max_size=6))
+def test_latin_texts_together_are_exact(words, texts):
+    ids, sizes = words.encode_many(texts)
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_other_vocabularies_are_used_whole():
     own = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert own.encode_many(["a b", "", "c"])[1].tolist() == [len(own.tokenizer.encode(t).ids) for t in ("a b", "", "c")]
     assert not own.by_word and np.frombuffer(own.encode("Hello, world"), own.dtype).tolist() == own.tokenizer.encode("Hello, world", add_special_tokens=False).ids
 
 

@@ -30,7 +30,7 @@ _PLAIN = bytes([9, 10, 11, 12, 13, *(c for c in range(32, 127) if c != 39), *ran
 _WORDS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[!-&(-@\\[-`{-~]+")
 _RUNS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: Characters of texts that are cut together; a longer text is taken alone.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 19
 #: Of the Latin-1 signs: lower case, and whether it is white space (0), a letter (1) or another sign (2).
 _LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
 _KIND = np.array([0 if chr(c) in " \t\n\r\x0b\x0c" else 1 if chr(c) in LETTERS else 2 for c in range(256)], np.uint8)
@@ -56,7 +56,7 @@ def _plain(text: str) -> bool:
 class Encoder:
     """ids of a text as little-endian bytes, ``dtype`` wide: two bytes where the vocabulary allows it, else four."""
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,7 +46,8 @@ def drop_dir(spark: SparkSession, uri: str) -> None:
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """pyarrow's view of a shared folder: file, hdfs, s3 and gs addresses alike."""
+    """pyarrow's view of a shared folder: file, hdfs, s3 (s3a and s3n are Spark's names for it) and gs addresses alike."""
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 

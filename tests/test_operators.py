@@ -498,3 +498,13 @@ def test_cleared_streams(spark):
     rows = spark.range(10).select((F.col("id") % 2).alias("stream_id"), F.col("id").alias("idx"))
     marks = spark.createDataFrame([(0, 4)], "stream_id long, cleared_to long")
     assert sorted(r.idx for r in windows.cleared(rows, marks).collect()) == [1, 3, 5, 6, 7, 8, 9]
+
+
+def test_a_replayed_batch_is_kept_once(spark, tmp_path):
+    from wavemill.streaming import stateful
+
+    rows = lambda n: spark.createDataFrame([("s", i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(n, n + 4)], "stream_id string, start long, embedding array<double>")
+    for batch_id, batch in ((0, rows(0)), (1, rows(4)), (1, rows(4))):
+        got = stateful.relabelled(batch, batch_id, f"{tmp_path}/history").collect()
+    assert sorted(r.start for r in got) == list(range(8)) and {r.stream_id for r in got} == {"s"}
+    assert len({r.speaker for r in got if r.start % 2}) == 1

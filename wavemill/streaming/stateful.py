@@ -181,12 +181,12 @@ def sessions(events: DataFrame, gap: str, delay: str, time: str = "ts", by: str
     return typed.groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
-def relabelled(batch: DataFrame, history: str, stream: str = "stream_id") -> DataFrame:
-    """For ``foreachBatch``: append a batch of segments (stream_id, start, embedding, ...) to the history, and return the streams that it touches with all labels anew.
+def relabelled(batch: DataFrame, batch_id: int, history: str, stream: str = "stream_id") -> DataFrame:
+    """For ``foreachBatch``: keep a batch of segments (stream_id, start, embedding, ...) in the history, and return the streams that it touches with all labels anew.
 
-    A new speaker can change old labels, so the output of these streams is complete and replaces what was there.
+    A new speaker can change old labels, so the output of these streams is complete and replaces what was there. A batch lies in a folder of its id, which a replay overwrites.
     """
-    batch.write.mode("append").parquet(history)
+    batch.write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
     touched = batch.select(stream).distinct()
     own = batch.sparkSession.read.schema(batch.schema).parquet(history).join(touched, stream, "left_semi")
     return own.join(tracking.diarised(own, stream, "start"), [stream, "start"])

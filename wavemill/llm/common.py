@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 PART_ROWS = 1 << 20
 #: Folders of a side table at most; there are no more of them than keys.
 SLOTS = 4096
+#: Bytes of an Arrow batch of wide rows, whatever their number.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -134,14 +136,16 @@ def lean(function):
 
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows of an Arrow batch, for the jobs that an operator runs itself on wide rows: what a Python worker holds at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """Rows and BATCH_BYTES of an Arrow batch, for the jobs that an operator runs itself on wide rows: what a Python worker holds at once. A row is never cut."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {key: spark.conf.get(key) for key in keys}
+    for key, value in keys.items():
+        spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def text_of(df: DataFrame, column: str = "text"):

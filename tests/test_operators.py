@@ -1,6 +1,7 @@
 """Clustering, tracking, decoding, signal features, files and text against brute force and stated properties."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -508,3 +509,16 @@ def test_a_replayed_batch_is_kept_once(spark, tmp_path):
         got = stateful.relabelled(batch, batch_id, f"{tmp_path}/history").collect()
     assert sorted(r.start for r in got) == list(range(8)) and {r.stream_id for r in got} == {"s"}
     assert len({r.speaker for r in got if r.start % 2}) == 1
+
+
+def test_phrase_hits_equals_brute_force(spark):
+    """Short and long phrases, a shared opening, repeated keys, nulls, empty sides, and a gram that only occurs across two words."""
+    rnd = random.Random(5)
+    text = lambda n: [rnd.choice("abc") for _ in range(n)]
+    texts = [(i % 37, text(rnd.randrange(0, 30))) for i in range(40)] + [(100, None), (None, ["a"]), (101, ["ab", "c"]), (102, [])]
+    phrases = [(i, text(1 + i % 8)) for i in range(30)] + [(7, ["a", "b", "c", "a"]), (50, []), (51, None), (None, ["a"]), (52, ["b", "c"]), (53, ["a", "b", "c", "zz"])]
+    t, p = spark.createDataFrame(texts, "t long, words array<string>"), spark.createDataFrame(phrases, "p long, words array<string>")
+    holds = lambda w, x: any(w[i : i + len(x)] == x for i in range(len(w)))
+    want = [(a, b) for a, w in texts for b, x in phrases if a is not None and b is not None and w and x and holds(w, x)]
+    assert sorted(map(tuple, match.phrase_hits(t, p, "t", "p").collect())) == sorted(want)
+    assert match.phrase_hits(t.limit(0), p, "t", "p").count() == match.phrase_hits(t, p.limit(0), "t", "p").count() == 0

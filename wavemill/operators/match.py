@@ -208,3 +208,23 @@ def enrolment(segments: DataFrame, whole: DataFrame, name: str = "name", vector:
     mean = centroids(segments, name, vector).select(name, F.lit("mean").alias("kind"), F.col("centroid").alias(vector))
     part = lambda rows, kind: rows.select(name, F.lit(kind).alias("kind"), F.col(vector).cast("array<double>").alias(vector))
     return part(segments, "segment").unionByName(mean).unionByName(part(whole, "whole"))
+
+
+def phrase_hits(texts: DataFrame, phrases: DataFrame, text_key: str, phrase_key: str) -> DataFrame:
+    """The texts that hold a phrase as a run of whole words: text_key, phrase_key. Both sides have an array of words, ``words``.
+
+    A phrase is met by its first words, three at most, through an equi-join of slim rows; the texts are then joined to their candidates alone, and the whole phrase is looked for.
+    Phrases without words, rows without a key and null arrays have no hits. Of rows that repeat a key each counts for itself.
+    """
+    phrases = phrases.where(F.size("words") > 0).select(F.col(phrase_key), "words")
+    met = []
+    for n in (1, 2, 3):
+        of = F.size("words") == n if n < 3 else F.size("words") >= n
+        starts = phrases.where(of).select(F.array_join(F.slice("words", 1, n), " ").alias("gram"), phrase_key)
+        grams = F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))  # noqa: B023
+        found = texts.where(F.size("words") >= n).select(text_key, F.explode(F.array_distinct(grams)).alias("gram"))
+        met.append(found.join(starts, "gram").select(text_key, phrase_key))
+    near = met[0].union(met[1]).union(met[2]).distinct()
+    line = lambda name: F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias(name)
+    both = near.join(phrases.select(phrase_key, line("phrase")), phrase_key).join(texts.select(text_key, line("line")), text_key)
+    return both.where(F.contains("line", "phrase")).select(text_key, phrase_key)

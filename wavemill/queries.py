@@ -642,8 +642,12 @@ select word, (row_number() over (order by word) - 1)::bigint as id from (select
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select(F.explode(X.split_blanks(F.col("text"))).alias("word")).distinct()
-    return words.withColumn("id", (F.row_number().over(Window.orderBy("word")) - 1).cast("long"))
+    """Words numbered in order: within their first three characters, plus the words of all smaller beginnings, so that no task sorts all words."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(X.split_blanks(F.col("text"))).alias("word")).distinct().withColumn("head", F.substring("word", 1, 3))
+    heads = words.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    bases = heads.select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("base"))
+    place = F.row_number().over(Window.partitionBy("head").orderBy("word")) - 1
+    return words.join(bases, "head").select("word", (F.col("base") + place).cast("long").alias("id"))
 
 
 @register("vocab_lookup", rf"""
@@ -656,16 +660,13 @@ def vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("hotword_hits", r"""
-with p as (select item_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')[1:3], ' ') as phrase from benchmark),
+with p as (select item_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> ''), ' ') as phrase from benchmark),
 d as (select doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> ''), ' ') || ' ' as line from documents)
-select doc_id, item_id from d join p on contains(line, ' ' || phrase || ' ')""")
+select doc_id, item_id from d join p on phrase <> '' and contains(line, ' ' || phrase || ' ')""")
 def hotword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases of three words in documents: trigrams of the texts meet the phrases by an equi-join, so no text is compared with every phrase."""
-    words = lambda name, key: table(spark, sf_dir, name).select(key, X.split_blanks(F.col("text")).alias("w"))
-    phrases = words("benchmark", "item_id").select("item_id", F.array_join(F.slice("w", 1, 3), " ").alias("phrase"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))
-    texts = words("documents", "doc_id").where(F.size("w") >= 3).select("doc_id", F.explode(F.array_distinct(grams)).alias("phrase"))
-    return texts.join(phrases, "phrase").select("doc_id", "item_id")
+    texts = table(spark, sf_dir, "documents").select("doc_id", X.split_blanks(F.col("text")).alias("words"))
+    phrases = table(spark, sf_dir, "benchmark").select("item_id", X.split_blanks(F.col("text")).alias("words"))
+    return match.phrase_hits(texts, phrases, "doc_id", "item_id")
 
 
 @register("phoneme_ids", f"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import ann, counts, exact_dedup, langid, lm, mixing, near_dedup, packing, token_store, urls
+from wavemill.llm import ann, counts, exact_dedup, langid, lm, mixing, near_dedup, packing, point_in_time, spelling, token_store, toxicity, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -135,6 +135,86 @@ from (select *, unnest(generate_series(1, n)) as mix_copy from counted where n >
 """
 
 
+#: crc32 of an ASCII or UTF-8 text x, in DuckDB: a list of the 256 table entries and a fold over the bytes.
+CRC_TABLE = "select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc_table"
+
+
+def crc_sql(text: str) -> str:
+    digits = f"hex(encode({text}))"
+    step = f"xor(c >> 8, crc_table[(xor(c, ('0x' || substr({digits}, 2 * i + 1, 2))::bigint) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, range(strlen({text}))), lambda c, i: {step}), 4294967295)"
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = f"""
+with recursive runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents
+), each as (
+  select doc_id, run, count(*) as n from runs group by doc_id, run
+), tab as ({CRC_TABLE}), hashed as (
+  select run, n, coalesce({crc_sql("doc_id::varchar || ':' || run")}, 1) as h from each, tab
+), changed as (
+  select case when h % 199 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, n from hashed
+), words as materialized (
+  select word, sum(n)::bigint as n from changed where length(word) >= 6 group by word having sum(n) >= 5
+), cut as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from words)
+), near as materialized (
+  select distinct a.word, b.word as other, b.n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word != b.word
+  union select c.word, w.word, w.n from cut c join words w on w.word = c.rest
+  union select w.word, c.word, c.n from cut c join words w on w.word = c.rest
+), best as (
+  select word, count(*) as n_near, arg_min(other, (-n, other)) as other, max(n) as other_n from near group by word
+), forms as materialized (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * w.n then other end as form, case when other_n >= 5 * w.n then other_n end as form_n from words w left join best b on b.word = w.word
+), chain as (
+  select word, word as root, 0 as step from forms union all select c.word, f.form, step + 1 from chain c join forms f on f.word = c.root where f.form is not null
+), roots as (select word, arg_max(root, step) as root from chain group by word)
+select f.word, form, root, n, n_near, form_n from forms f join roots r on r.word = f.word
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = _table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 4, 2)
+    machine = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~out)
+    return toxicity.toxicity(docs.select("doc_id", out.alias("held_out"), "text"), machine, ["doc_id", "held_out"])
+
+
+def op13_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = _table(spark, sf_dir, "sales")
+    delay = F.crc32(sales["sale_id"].cast("string")) % 259200
+    return point_in_time.features(_table(spark, sf_dir, "clicks"), sales, _table(spark, sf_dir, "sale_lines"), delay, windows=(2, 14), lag_minutes=240, horizon_days=7)
+
+
+OP13_SQL = f"""
+with tab as ({CRC_TABLE}), clean as (
+  select row_number() over () as row, sale_id, client_id, sold_at, arrived_at + interval 240 minutes as known, coalesce(floor(100 * total + 0.5)::bigint, 0) as cents,
+    sold_at + to_seconds(coalesce({crc_sql("sale_id::varchar")} % 259200, 0)) as t
+  from sales, tab where client_id is not null and sold_at is not null
+), seen as (
+  select client_id, click_id, ts, arrived_at + interval 240 minutes as known, kind, coalesce(floor(100 * value + 0.5)::bigint, 0) as cents from (select distinct * from clicks)
+), probes as (select row, sale_id, client_id, t, d from clean, (values (2), (14)) as windows(d)),
+from_clicks as (
+  select row, d, count(*) as n_clicks, count(*) filter (where kind = 'purchase') as n_purchases, sum(cents) as click_cents, first(click_id order by ts desc, click_id desc nulls last) as last_click_id
+  from probes p join seen c on c.client_id = p.client_id and c.ts <= t and c.ts > t - to_days(d) and c.known <= t group by row, d
+), known_sales as (
+  select p.row, d, p.t, s.sale_id, s.cents from probes p join clean s on s.client_id = p.client_id and s.sold_at <= p.t and s.sold_at > p.t - to_days(d) and s.known <= p.t
+), from_sales as (select row, d, count(*) as n_sales, sum(cents) as sale_cents from known_sales group by row, d),
+from_lines as (
+  select row, d, count(*) as n_lines, count(distinct item_id) as n_items, sum(coalesce(floor(100 * amount + 0.5)::bigint, 0)) as line_cents
+  from known_sales k join sale_lines l on l.sale_id = k.sale_id and l.shipped_at <= t group by row, d
+), labels as (select distinct p.row from clean p join clean s on s.client_id = p.client_id and s.sold_at > p.t and s.sold_at <= p.t + interval 7 days)
+select sale_id, p.d, epoch_us(t) as t_us, l.row is not null as label, coalesce(n_clicks, 0)::bigint as n_clicks, coalesce(n_purchases, 0)::bigint as n_purchases, coalesce(click_cents, 0)::bigint as click_cents,
+  last_click_id, coalesce(n_sales, 0)::bigint as n_sales, coalesce(sale_cents, 0)::bigint as sale_cents, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_items, 0)::bigint as n_items,
+  coalesce(line_cents, 0)::bigint as line_cents
+from probes p left join from_clicks c on c.row = p.row and c.d = p.d left join from_sales s on s.row = p.row and s.d = p.d left join from_lines i on i.row = p.row and i.d = p.d left join labels l on l.row = p.row
+"""
+
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -153,9 +233,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_near_dedup": op9_near_dedup,
         "op10_mixing": op10_mixing,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_toxicity": op12_toxicity,
+        "op13_point_in_time": op13_point_in_time,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_mixing": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op13_point_in_time": OP13_SQL}

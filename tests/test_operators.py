@@ -55,10 +55,47 @@ def test_clustering_ignores_order_and_merges_small():
     assert clustering.cluster(points[:1]).tolist() == [0] and clustering.cluster(np.eye(3), 0.1, min_large=2).tolist() == [0, 0, 0]
 
 
-def test_group_size_is_bounded(spark):
-    rows = spark.createDataFrame([(1, i, [float(i), 1.0]) for i in range(5)], "g int, i int, embedding array<double>")
-    with pytest.raises(Exception, match="max_points"):
-        clustering.clustered(rows, "g", "i", max_points=3).collect()
+def test_linkage_with_ties_and_equal_points():
+    def by_place(points):
+        c, size, name, out = {i: p for i, p in enumerate(points)}, dict.fromkeys(range(len(points)), 1), {i: i for i in range(len(points))}, []
+        for k in range(len(points) - 1):
+            d, x, y = min((np.sqrt(((c[j] - c[i]) ** 2).sum()), i, j) for i in c for j in c if i < j)
+            c[y] = np.where(c[x] == c[y], c[x], (size[x] * c[x] + size[y] * c[y]) / (size[x] + size[y]))
+            size[y] += size[x]
+            out.append((min(name[x], name[y]), max(name[x], name[y]), d, size[y]))
+            name[y] = len(points) + k
+            del c[x]
+        return np.array(out).reshape(-1, 4)
+
+    rng = np.random.default_rng(2)
+    for trial in range(60):
+        points = rng.integers(0, 2 + trial % 4, (rng.integers(0, 25), 1 + trial % 3)).astype(float)
+        assert np.allclose(clustering.linkage(points), by_place(points), atol=0)
+    assert clustering.linkage(np.ones((3000, 4)))[:, 2].max() == 0
+
+
+def test_linkage_takes_no_square():
+    import tracemalloc
+
+    points = np.random.default_rng(0).normal(size=(3000, 8))
+    tracemalloc.start()
+    merges = clustering.linkage(points)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(merges) == 2999 and peak < 3000 * 3000 * 8 / 10
+
+
+def test_clusters_of_odd_rows(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([(1, i, [float(i % 2), 1.0, 0.0]) for i in range(6)] + [(1, 6, None), (1, 7, []), (1, 8, [None, 1.0, 1.0]), (1, 9, [nan, 1.0, 1.0]), (2, 1, None), (3, 1, [1.0, 2.0, 3.0])], "g int, i int, embedding array<double>").withColumns({"cluster": F.lit(1), "step": F.lit(2)})
+    found = {(r["g"], r["i"]): r["cluster"] for r in clustering.clustered(rows, "g", "i", cutoff=0.3).collect()}
+    assert found == {(1, i): i % 2 for i in range(6)} | {(3, 1): 0}
+    steps = clustering.dendrogram(rows, "g", "i").collect()
+    assert [(r["g"], r["size"]) for r in steps] == [(1, 2), (1, 2), (1, 3), (1, 3), (1, 6)] and clustering.dendrogram(rows.limit(0), "g", "i").count() == 0
+    with pytest.raises(Exception, match="fixed number"):
+        clustering.clustered(rows, "g", "i", count=2).collect()
+    with pytest.raises(Exception, match="at least 4 and at most 2"):
+        clustering.clustered(rows.where("g = 1"), "g", "i", least=4, most=2).collect()
 
 
 def test_tracker_last_match_and_first():

@@ -1,7 +1,7 @@
 """Agglomerative clustering of embeddings by centroid linkage. SURVEY ids: C1-C9, A4, A5, A14, J4, J5, O10, P15.
 
-Clustering is per group (a recording, a stream); groups run in parallel and each needs memory for the square of its size, which ``max_points`` bounds
-with an error. What follows the linkage (sizes, reassignment, renumbering) is cheap and stays with it.
+Clustering is per group (a recording, a stream); groups run in parallel. Merges are sequential by nature, but a group takes memory for its vectors only, and time for the
+square of their number. What follows the linkage (sizes, reassignment, renumbering) is cheap and stays with it.
 """
 
 from __future__ import annotations
@@ -12,56 +12,122 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-CUTOFF, MERGE_DISTANCE, MIN_LARGE, MAX_POINTS = 0.8853814381597874, 0.7, 1, 8192
+CUTOFF, MERGE_DISTANCE, MIN_LARGE = 0.8853814381597874, 0.7, 1
+
+
+class _Centroids:
+    """What is left to merge: centroids with their squared lengths, in order of place. Merged places are dropped once they are half of the rows."""
+
+    def __init__(self, points: np.ndarray):
+        self.c, self.place = points.copy(), np.arange(len(points))
+        self.at = np.arange(len(points))
+        self.alive = np.ones(len(points), bool)
+        self.square = (points**2).sum(axis=1)
+        self.slack = 1e-11 * (1 + float(self.square.max(initial=0)))
+
+    def drop(self, place: int) -> None:
+        self.alive[self.at[place]] = False
+        if 2 * int(self.alive.sum()) < len(self.alive):
+            keep = self.alive
+            self.c, self.place, self.square, self.alive = self.c[keep], self.place[keep], self.square[keep], self.alive[keep]
+            self.at[self.place] = np.arange(len(self.place))
+
+    def move(self, place: int, v: np.ndarray) -> None:
+        k = self.at[place]
+        self.c[k], self.square[k] = v, v @ v
+
+    def rough(self, place: int) -> np.ndarray:
+        """Squared distances to all rows, with the rounding of a product; infinite for merged rows and the place itself."""
+        k = self.at[place]
+        d = np.maximum(0, self.square + self.square[k] - 2 * (self.c @ self.c[k]))
+        d[~self.alive] = np.inf
+        d[k] = np.inf
+        return d
+
+    def exact(self, place: int, rows: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.c[rows] - self.c[self.at[place]]) ** 2).sum(axis=1))
+
+    def nearest(self, place: int, rough: np.ndarray | None = None) -> tuple[float, int]:
+        """The distance and place of the nearest row of a higher place, the lowest one if several are; (inf, -1) if there is none."""
+        k = self.at[place]
+        later = (self.rough(place) if rough is None else rough)[k + 1 :]
+        low = later.min(initial=np.inf)
+        if not np.isfinite(low):
+            return np.inf, -1
+        rows = np.flatnonzero(later <= low + self.slack) + k + 1
+        d = self.exact(place, rows)
+        best = int(d.argmin())
+        return float(d[best]), int(self.place[rows[best]])
 
 
 def linkage(points: np.ndarray) -> np.ndarray:
-    """n-1 merges (low id, high id, distance, size); merge k makes the cluster n+k, in the place of the second. Ties go to the lowest pair of places."""
+    """n-1 merges (low id, high id, distance, size); merge k makes the cluster n+k, in the place of the second. Ties go to the lowest pair of places.
+
+    Memory is linear in the points: distances are computed from the centroids when they are needed. A place keeps its nearest later place, or, once that one has moved away, its old distance as
+    a lower bound that is made good when it comes up. Equal points are merged first, without distances.
+    """
     n = len(points)
-    square = (points**2).sum(axis=1)
-    d = np.sqrt(np.maximum(0, square[:, None] + square - 2 * points @ points.T))
-    np.fill_diagonal(d, np.inf)
-    for i in range(n):  # exact for equal points, whatever the rounding of the product
-        d[i, (points == points[i]).all(axis=1)] = 0
-    np.fill_diagonal(d, np.inf)
-    size, name, alive, out = np.ones(n), np.arange(n), np.ones(n, bool), np.zeros((max(0, n - 1), 4))
-    near, near_at = np.full(n, -1), np.full(n, np.inf)
-
-    def nearest(i: int) -> tuple[float, int]:
-        row = np.where(alive[i + 1 :], d[i, i + 1 :], np.inf)
-        j = int(row.argmin()) + i + 1 if len(row) else -1
-        return (float(d[i, j]), j) if j >= 0 and alive[j] else (np.inf, -1)
-
-    heap, version = [], np.zeros(n, np.int64)
-
-    def push(i: int) -> None:
-        distance, near[i] = nearest(i)
-        near_at[i] = distance
+    points = np.asarray(points, np.float64)
+    size, name, out, done = np.ones(n), np.arange(n), np.zeros((max(0, n - 1), 4)), 0
+    left = _Centroids(points)
+
+    def merge(x: int, y: int, distance: float) -> None:
+        nonlocal done
+        total = size[x] + size[y]
+        out[done] = [min(name[x], name[y]), max(name[x], name[y]), distance, total]
+        size[y], name[y] = total, n + done
+        done += 1
+
+    if n:
+        _, equal = np.unique(points + 0.0, axis=0, return_inverse=True)
+        members = [list(g) for g in np.split(np.argsort(equal.ravel(), kind="stable"), np.cumsum(np.bincount(equal.ravel()))[:-1])]
+        groups = [(int(g[0]), 0, g) for g in members if len(g) > 1]
+        heapq.heapify(groups)
+        while groups:
+            x, at, g = heapq.heappop(groups)
+            y = int(g[at + 1])
+            merge(x, y, 0.0)
+            left.drop(x)
+            if at + 2 < len(g):
+                heapq.heappush(groups, (y, at + 1, g))
+
+    near, near_at, stale, version = np.full(n, -1), np.full(n, np.inf), np.zeros(n, bool), np.zeros(n, np.int64)
+    heap: list[tuple[float, int, int]] = []
+
+    def keep(i: int, distance: float, j: int) -> None:
+        near[i], near_at[i], stale[i] = j, distance, False
         version[i] += 1
-        if near[i] >= 0:
+        if j >= 0:
             heapq.heappush(heap, (distance, i, int(version[i])))
 
-    for i in range(n - 1):
-        push(i)
-    for k in range(n - 1):
-        while True:
-            distance, x, v = heapq.heappop(heap)
-            if alive[x] and v == version[x]:
-                break
+    for i in left.place[left.alive].tolist():
+        keep(i, *left.nearest(i))
+    while done < n - 1:
+        distance, x, v = heapq.heappop(heap)
+        if v != version[x]:
+            continue
+        if stale[x]:
+            keep(x, *left.nearest(x))
+            continue
         y = int(near[x])
-        nx, ny = size[x], size[y]
-        out[k] = [min(name[x], name[y]), max(name[x], name[y]), distance, nx + ny]
-        merged = np.sqrt(np.maximum(0, (nx * d[x] ** 2 + ny * d[y] ** 2 - nx * ny * distance**2 / (nx + ny)) / (nx + ny)))
-        alive[x] = False
-        merged[~alive] = merged[y] = np.inf
-        d[y], d[:, y] = merged, merged
-        size[y], name[y] = nx + ny, n + k
-        for i in np.flatnonzero(alive[:y] & np.isin(near[:y], (x, y))):
-            push(int(i))
-        for i in np.flatnonzero(alive[:y] & (merged[:y] < near_at[:y])):
-            push(int(i))
-        if y < n - 1:
-            push(y)
+        a, b = left.c[left.at[x]], left.c[left.at[y]]
+        middle = np.where(a == b, a, (size[x] * a + size[y] * b) / (size[x] + size[y]))
+        merge(x, y, distance)
+        version[x] += 1
+        left.move(y, middle)
+        left.drop(x)
+        rough = left.rough(y)
+        stop = left.at[y]
+        before = left.place[:stop]
+        close = np.flatnonzero(left.alive[:stop] & (rough[:stop] <= near_at[before] ** 2 + left.slack))
+        d = left.exact(y, close)
+        i = left.place[close]
+        nearer = (d < near_at[i]) | ((d == near_at[i]) & ~stale[i] & (y < near[i]))
+        moved = before[left.alive[:stop] & ((near[before] == x) | (near[before] == y))]
+        stale[moved] = True
+        for k in np.flatnonzero(nearer).tolist():
+            keep(int(i[k]), float(d[k]), y)
+        keep(y, *left.nearest(y, rough))
     return out
 
 
@@ -123,15 +189,26 @@ def check_bounds(n: int, count: int | None = None, least: int | None = None, mos
     return low, high
 
 
-def clustered(rows: DataFrame, group: str, order: str, vector: str = "embedding", cutoff: float = CUTOFF, min_large: int = MIN_LARGE, merge_distance: float = MERGE_DISTANCE, max_points: int = MAX_POINTS) -> DataFrame:
-    """group, order, cluster. Rows without a vector, or with NaN in its first element, take no part."""
+def _vectors(pdf: pd.DataFrame, order: str, vector: str) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows that have a vector of finite numbers, in order, and these."""
+    whole = [v is not None and len(v) > 0 and not any(x is None for x in v) and bool(np.isfinite(np.asarray(v, np.float64)).all()) for v in pdf[vector]]
+    pdf = pdf[whole].sort_values(order, kind="stable")
+    return pdf, np.array(pdf[vector].tolist(), np.float64).reshape(len(pdf), len(pdf[vector].iloc[0]) if len(pdf) else 0)
+
+
+def clustered(
+    rows: DataFrame, group: str, order: str, vector: str = "embedding", cutoff: float = CUTOFF, min_large: int = MIN_LARGE, merge_distance: float = MERGE_DISTANCE,
+    count: int | None = None, least: int | None = None, most: int | None = None,
+) -> DataFrame:
+    """group, order, cluster. Rows whose vector is null or empty, or holds a null, NaN or infinite element, take no part; vectors of different sizes in a group are an error.
+
+    The wanted numbers of clusters (C5) are checked for each group, as the specification does, and don't change the cut.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[[v is not None and len(v) > 0 and not np.isnan(v[0]) for v in pdf[vector]]].sort_values(order)
-        if len(pdf) > max_points:
-            raise ValueError(f"group {pdf[group].iloc[0]!r} has {len(pdf)} points; linkage needs memory for their square, and max_points is {max_points}")
-        labels = cluster(np.array(pdf[vector].tolist(), np.float64).reshape(len(pdf), -1), cutoff, min_large, merge_distance)
-        return pdf[[group, order]].assign(cluster=labels)
+        pdf, points = _vectors(pdf, order, vector)
+        check_bounds(len(points), count, least, most)
+        return pdf[[group, order]].assign(cluster=cluster(points, cutoff, min_large, merge_distance))
 
     slim = rows.select(group, order, vector)
     kind = lambda c: slim.schema[c].dataType.simpleString()
@@ -139,13 +216,14 @@ def clustered(rows: DataFrame, group: str, order: str, vector: str = "embedding"
 
 
 def dendrogram(rows: DataFrame, group: str, order: str, vector: str = "embedding") -> DataFrame:
-    """group, step, low, high, distance, size."""
+    """group, step, low, high, distance, size. Rows without a whole vector take no part, as in ``clustered``."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out = pd.DataFrame(linkage(np.array(pdf[vector].tolist(), np.float64)), columns=["low", "high", "distance", "size"])
+        name = pdf[group].iloc[0]
+        _, points = _vectors(pdf, order, vector)
+        out = pd.DataFrame(linkage(points), columns=["low", "high", "distance", "size"])
         out.insert(0, "step", range(len(out)))
-        out.insert(0, group, pdf[group].iloc[0])
+        out.insert(0, group, name)
         return out.astype({"low": "int64", "high": "int64", "size": "int64"})
 
     slim = rows.select(group, order, vector)

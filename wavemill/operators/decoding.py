@@ -204,13 +204,20 @@ def beam(frames: np.ndarray, joiner: Joiner = frame_is_logits, graph: PhraseGrap
 
 
 def decoded(utterances: DataFrame, method: str = "greedy", phrases: list[list[int]] | None = None, bonus: float = 1.5, joiner: Joiner = frame_is_logits, key: str = "utt", frames: str = "frames") -> DataFrame:
-    """utt, tokens, times (frames), score of each utterance (frames: array of arrays of logits). Phrase boosting acts in beam search only."""
+    """utt, tokens, times (frames), score of each utterance (frames: array of arrays of logits). Phrase boosting acts in beam search only.
+
+    Null frames, and frames that hold a null or NaN, give nulls; no frames give no tokens. ``operators.batched`` does the same for whole batches at once.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph = PhraseGraph(phrases, bonus) if phrases else None
         for pdf in batches:
             out = []
             for rows in pdf[frames]:
-                matrix = np.array([np.asarray(r, np.float64) for r in rows])
+                matrix = None if rows is None or any(r is None for r in rows) else np.array([np.asarray(r, np.float64) for r in rows])
+                if matrix is None or np.isnan(matrix).any():
+                    out.append((None, None, None))
+                    continue
                 if method == "greedy":
                     tokens, at = greedy(matrix, joiner)
                     out.append((tokens, at, None))

@@ -28,9 +28,9 @@ def _tagged(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _packed(rows: DataFrame, key: str, vector: str, side: str) -> DataFrame:
-    """Blocks of about BLOCK rows of one dimension. Rows without a key, and vectors that are null, empty or hold a null, take no part."""
+    """Blocks of about BLOCK rows of one dimension. Rows without a key, and vectors that are null, empty or hold a null, NaN or infinite element, take no part."""
     blocks = max(1, -(-rows.count() // BLOCK))
-    own = _tagged(rows, key, vector).where("key is not null and size(vector) > 0 and not exists(vector, x -> x is null)")
+    own = _tagged(rows, key, vector).where("key is not null and size(vector) > 0 and forall(vector, x -> x is not null and abs(x) < double('infinity'))")
     items = own.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.size("vector").alias(f"{side}_dim")).agg(F.collect_list(F.struct("key", "tag", "vector")).alias("items"))
     return items.select(f"{side}_dim", F.col("items.key").alias(f"{side}_keys"), F.col("items.tag").alias(f"{side}_tags"), F.flatten("items.vector").alias(f"{side}_vectors"))
 
@@ -55,10 +55,10 @@ def _cosines(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return q @ r.T / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1), V.FLOAT_EPSILON)
 
 
-def nearest(queries: DataFrame, registry: DataFrame, threshold: float = MATCH, key: str = "vec_id", vector: str = "embedding", registry_key: str = "vec_id", registry_vector: str = "embedding", exclude_same: bool = False) -> DataFrame:
-    """Of each query the most similar registry key above the threshold (strictly; ties to the lowest key): query, match_id (-1: none), sim.
+def nearest(queries: DataFrame, registry: DataFrame, threshold: float = MATCH, key: str = "vec_id", vector: str = "embedding", registry_key: str = "vec_id", registry_vector: str = "embedding", exclude_same: bool = False, keep_vector: bool = False) -> DataFrame:
+    """Of each query the most similar registry key above the threshold (strictly; ties to the lowest key): query, match_id (-1: none), sim, and the query's own ``vector`` if asked for.
 
-    One row per query row. Null, empty and null-holding vectors match nothing, and vectors only match vectors of their own dimension.
+    One row per query row. Null and empty vectors, and those that hold a null, NaN or infinite element, match nothing, and vectors only match vectors of their own dimension.
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +77,7 @@ def nearest(queries: DataFrame, registry: DataFrame, threshold: float = MATCH, k
     found = _pairs(queries, registry, key, vector, registry_key, registry_vector).mapInArrow(best, "query long, tag long, match_id long, sim double")
     top = found.groupBy("query", "tag").agg(F.max(F.struct("sim", (-F.col("match_id")).alias("low"))).alias("top"))
     hits = top.select("query", "tag", (-F.col("top.low")).alias("match_id"), F.col("top.sim").alias("sim"))
-    every = _tagged(queries, key, vector).select(F.col("key").alias("query"), "tag")
+    every = _tagged(queries, key, vector).select(F.col("key").alias("query"), "tag", *(["vector"] if keep_vector else []))
     return every.join(hits, ["query", "tag"], "left").drop("tag").fillna({"match_id": -1})
 
 
@@ -105,17 +105,20 @@ def top_k(queries: DataFrame, registry: DataFrame, k: int, key: str = "vec_id",
     return found.withColumn("rank", place).where(F.col("rank") <= k).drop("tag")
 
 
-def best_named(queries: DataFrame, enrolled: DataFrame, nobody: str = "Nobody", key: str = "vec_id", vector: str = "embedding", name: str = "name", named_vector: str = "emb") -> DataFrame:
-    """The name with the best score over all its vectors, if above 0 (else ``nobody`` with 0): query, name, sim; ties to the first name in order.
+def best_named(queries: DataFrame, enrolled: DataFrame, nobody: str = "Nobody", key: str = "vec_id", vector: str = "embedding", name: str = "name", named_vector: str = "emb", threshold: float = 0.0, keep_vector: bool = False) -> DataFrame:
+    """The name with the best score over all its vectors, if above ``threshold`` (else ``nobody`` with 0): query, name, sim, and the query's own ``vector`` if asked for; ties to the first name in order.
 
-    enrolled: name, emb, one row per vector. The names, without their vectors, are numbered in one task: a registry of people, not a corpus.
+    enrolled: name, emb, one row per vector. The names, without their vectors, are numbered within their first three characters, after all names of smaller beginnings.
     """
     from pyspark.sql import Window
 
-    distinct = enrolled.where(F.col(name).isNotNull()).select(name).distinct()
-    ids = distinct.select(name, F.row_number().over(Window.orderBy(name)).cast("long").alias("name_id"))
-    hits = nearest(queries, enrolled.join(ids, name), 0.0, key, vector, "name_id", named_vector)
-    return hits.join(ids, hits["match_id"] == ids["name_id"], "left").select("query", F.coalesce(name, F.lit(nobody)).alias("name"), F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    distinct = enrolled.where(F.col(name).isNotNull()).select(name).distinct().withColumn("head", F.substring(name, 1, 3))
+    heads = distinct.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    bases = heads.select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("base"))
+    place = F.row_number().over(Window.partitionBy("head").orderBy(name))
+    ids = distinct.join(bases, "head").select(name, (F.col("base") + place).cast("long").alias("name_id"))
+    hits = nearest(queries, enrolled.join(ids, name), threshold, key, vector, "name_id", named_vector, keep_vector=keep_vector)
+    return hits.join(ids, hits["match_id"] == ids["name_id"], "left").select("query", F.coalesce(name, F.lit(nobody)).alias("name"), F.coalesce("sim", F.lit(0.0)).alias("sim"), *(["vector"] if keep_vector else []))
 
 
 def last_match(queries: DataFrame, registry: DataFrame, threshold: float = MATCH, key: str = "vec_id", vector: str = "embedding", registry_key: str = "id", registry_vector: str = "emb") -> DataFrame:

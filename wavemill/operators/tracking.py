@@ -1,10 +1,11 @@
 """Online identities: tracking, change detection, diarisation. SURVEY ids: T6, T7, T8, T10, J3, A8, A15, O9, W2, W8, X16.
 
-Pure steps over the ordered rows of a stream, as in ``operators.vad``; streams run in parallel.
+Pure steps over the ordered rows of a stream, batch by batch as in ``operators.vad``; streams run in parallel. A relabelling (``diarised``) needs its stream's segments as a whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from wavemill.operators.clustering import by_first_appearance, cluster
+from wavemill.operators.folds import chunks_in_order
 
 MATCH, RECENT, PRUNE_EVERY, PRUNE_LEAST, PRUNE_SHARE = 0.4, 20, 121, 3, 0.2
 
@@ -127,22 +129,20 @@ class Diarist:
 
 def tracked(rows: DataFrame, stream: str, order: str, vector: str = "embedding", speaking: str | None = None, **options) -> DataFrame:
     """stream, order, ident, is_first, ratio."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, own = pdf.sort_values(order), Tracker(**options)
+    def take(own: Tracker, pdf: pd.DataFrame) -> pd.DataFrame:
         flags = pdf[speaking] if speaking else [True] * len(pdf)
         out = [own.step(bool(f), v) for f, v in zip(flags, pdf[vector], strict=True)]
         return pdf[[stream, order]].assign(ident=[x[0] for x in out], is_first=[x[1] for x in out], ratio=[x[2] for x in out])
 
-    return _folded(rows, fold, stream, order, vector, speaking, "ident long, is_first boolean, ratio double")
+    return _chunked(rows, lambda: Tracker(**options), take, stream, order, vector, speaking, "ident long, is_first boolean, ratio double")
 
 
 def changes(rows: DataFrame, stream: str, order: str, vector: str = "embedding", **options) -> DataFrame:
     """stream, order, change."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, own = pdf.sort_values(order), ChangeDetector(Tracker(**({"cap": 5} | options)))
+    def take(own: ChangeDetector, pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[[stream, order]].assign(change=[own.step(v) for v in pdf[vector]])
 
-    return _folded(rows, fold, stream, order, vector, None, "change boolean")
+    return _chunked(rows, lambda: ChangeDetector(Tracker(**({"cap": 5} | options))), take, stream, order, vector, None, "change boolean")
 
 
 def diarised(segments: DataFrame, stream: str, order: str, vector: str = "embedding", threshold: float = MATCH) -> DataFrame:
@@ -158,17 +158,35 @@ def diarised(segments: DataFrame, stream: str, order: str, vector: str = "embedd
 
 def wake_then_listen(rows: DataFrame, stream: str, order: str, hit: str, windows: int) -> DataFrame:
     """Rows during which a stream is listened to: the ``windows`` rows after a wake word; wake words within them don't count."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, left, out = pdf.sort_values(order), 0, []
+    def take(left: list[int], pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for h in pdf[hit]:
-            out.append(left > 0)
-            left = windows if left == 0 and h else max(0, left - 1)
+            out.append(left[0] > 0)
+            left[0] = windows if left[0] == 0 and h else max(0, left[0] - 1)
         return pdf[[stream, order]].assign(listening=out)
 
-    return _folded(rows, fold, stream, order, hit, None, "listening boolean")
+    return _chunked(rows, lambda: [0], take, stream, order, hit, None, "listening boolean")
 
 
-def _folded(rows: DataFrame, fold, stream: str, order: str, value: str, flag: str | None, schema: str) -> DataFrame:
+def _slim(rows: DataFrame, stream: str, order: str, value: str, flag: str | None, schema: str) -> tuple[DataFrame, str]:
     slim = rows.select(*dict.fromkeys(c for c in (stream, order, value, flag) if c))
     kind = lambda c: slim.schema[c].dataType.simpleString()
-    return slim.groupBy(stream).applyInPandas(fold, f"{stream} {kind(stream)}, {order} {kind(order)}, {schema}")
+    return slim, f"{stream} {kind(stream)}, {order} {kind(order)}, {schema}"
+
+
+def _chunked(rows: DataFrame, begin: Callable[[], object], take: Callable[[object, pd.DataFrame], pd.DataFrame], stream: str, order: str, value: str, flag: str | None, schema: str) -> DataFrame:
+    """A fold that gives rows as it goes: batch by batch, with what ``begin`` returns carried on."""
+
+    def run(pieces: Iterator[tuple[object, bool, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        own = None
+        for _, first, pdf in pieces:
+            own = begin() if first else own
+            yield take(own, pdf)
+
+    slim, schema = _slim(rows, stream, order, value, flag, schema)
+    return chunks_in_order(slim, stream, order, run, schema)
+
+
+def _folded(rows: DataFrame, fold, stream: str, order: str, value: str, flag: str | None, schema: str) -> DataFrame:
+    slim, schema = _slim(rows, stream, order, value, flag, schema)
+    return slim.groupBy(stream).applyInPandas(fold, schema)

@@ -1,7 +1,7 @@
 """Voice activity: hysteresis state machines over window scores, and segments. SURVEY ids: T3, T4, T5, T11, F18, N1 (score side).
 
 Each machine is one pure step, (state, score) -> (state, code). The batch form folds it over the ordered rows of a
-stream (parallel over streams), the streaming form keeps the state between micro-batches (``wavemill.streaming.vad``). Both use the same step.
+stream, batch by batch (parallel over streams; rows without a stream take no part), the streaming form keeps the state between micro-batches (``wavemill.streaming.vad``). Both use the same step.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dataclasses import asdict, dataclass, replace
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from wavemill.operators.folds import chunks_in_order
+
 SILENCE, START, END, SPEAKING, UNDECIDED = 1, 2, 3, 4, 0
 #: How far below the threshold a score still counts as going on.
 MARGIN = 0.15
@@ -128,33 +130,45 @@ def dump(state) -> dict:
 def gate_codes(rows: DataFrame, config: GateConfig, stream: str = "stream_id", order: str = "idx", score: str = "prob") -> DataFrame:
     """stream, order, code, and on codes START and END the marked sample."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, out = pdf.sort_values(order), GateState(), []
-        for p in pdf[score]:
-            state, code = gate_step(state, p, config)
-            out.append((code, state.start if code == START else state.end if code == END else -1))
-        codes = pd.DataFrame(out, columns=["code", "sample"], index=pdf.index)
-        return pd.concat([pdf[[stream, order]], codes], axis=1)
+    def run(pieces: Iterator[tuple[object, bool, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        state = GateState()
+        for _, first, pdf in pieces:
+            state, out = GateState() if first else state, []
+            for p in pdf[score]:
+                state, code = gate_step(state, p, config)
+                out.append((code, state.start if code == START else state.end if code == END else -1))
+            codes = pd.DataFrame(out, columns=["code", "sample"], index=pdf.index)
+            yield pd.concat([pdf[[stream, order]], codes], axis=1)
 
     slim = rows.select(stream, order, score)
     schema = f"{stream} {slim.schema[stream].dataType.simpleString()}, {order} long, code int, sample long"
-    return slim.groupBy(stream).applyInPandas(fold, schema)
+    return chunks_in_order(slim, stream, order, run, schema)
 
 
 def speech_segments(rows: DataFrame, config: SpeechConfig, stream: str = "stream_id", order: str = "idx", score: str = "prob", flush: bool = False) -> DataFrame:
     """Segments of each stream: stream, start, end (samples). One row is one window and one call. A segment still open at the end is left out, unless ``flush``."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = SegmentState(), []
-        for p in pdf.sort_values(order)[score]:
-            state, pieces = segment_step(state, [p], config)
-            out += pieces
-        if flush and state.start >= 0:
-            out += [(a, min(a + config.max_segment, state.tail)) for a in range(state.start, state.tail, config.max_segment)]
-        return pd.DataFrame({stream: pdf[stream].iloc[0], "start": [a for a, _ in out], "end": [b for _, b in out]})
+    def rest(state: SegmentState) -> list[tuple[int, int]]:
+        return [(a, min(a + config.max_segment, state.tail)) for a in range(state.start, state.tail, config.max_segment)] if flush and state.start >= 0 else []
+
+    def framed(name: object, out: list[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame({stream: name, "start": [a for a, _ in out], "end": [b for _, b in out]})
+
+    def run(pieces: Iterator[tuple[object, bool, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        state, last = SegmentState(), None
+        for name, first, pdf in pieces:
+            if first:
+                yield framed(last, rest(state))
+                state, last = SegmentState(), name
+            out = []
+            for p in pdf[score]:
+                state, done = segment_step(state, [p], config)
+                out += done
+            yield framed(name, out)
+        yield framed(last, rest(state))
 
     slim = rows.select(stream, order, score)
-    return slim.groupBy(stream).applyInPandas(fold, f"{stream} {slim.schema[stream].dataType.simpleString()}, start long, end long")
+    return chunks_in_order(slim, stream, order, run, f"{stream} {slim.schema[stream].dataType.simpleString()}, start long, end long")
 
 
 def marked_slices(codes: DataFrame, pre_roll: int = 8000, stream: str = "stream_id", order: str = "idx") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import text as X
 from wavemill.functions import vectors as V
-from wavemill.operators import arrays, clustering, decoding, match, timeline, tracking, vad, windows
+from wavemill.operators import arrays, batched, clustering, decoding, folds, match, timeline, tracking, vad, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -787,6 +787,76 @@ def best_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings(spark, sf_dir).select("vec_id", decoding.best_language(F.col("embedding"), [3, 9, 17, 33]).alias("language"))
 
 
+def loud(window) -> bool:
+    return int((window > 50).sum()) >= 4
+
+
+def quiet_count(window) -> str:
+    return f"{int((window < 5).sum())} of {len(window)}"
+
+
+@register("wake_then_text", f"""
+with recursive s as ({SCORES}), w as (
+  select user_id, idx, sum((value > 50)::int) over next6 >= 4 as wakes, count(*) over next6 = 6 as full6, sum((value < 5)::int) over next10 as quiet, count(*) over next10 = 10 as full10 from s
+  window next6 as (partition by user_id order by idx rows between current row and 5 following), next10 as (partition by user_id order by idx rows between current row and 9 following)
+), walk as (
+  select distinct user_id, 0::bigint as pos, false as listening from s
+  union all
+  select w.user_id, pos + case when listening then 9 when wakes then 6 else 2 end, not listening and wakes from walk join w on w.user_id = walk.user_id and w.idx = pos where case when listening then full10 else full6 end
+)
+select w.user_id, case when listening then 'text' else 'wake' end as kind, pos as start, pos + case when listening then 10 else 6 end as "end", case when listening then quiet || ' of 10' end as text
+from walk join w on w.user_id = walk.user_id and w.idx = pos where case when listening then full10 else full6 and wakes end""")
+def wake_then_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    program = folds.WakeThenText(loud, quiet_count, wake_window=6, wake_hop=2, text_window=10, text_hop=9)
+    return folds.folded(scores(spark, sf_dir), program, "user_id")
+
+
+def thirds(windows_of_samples):
+    """A segmentation whose frames are samples: class k is active where the whole part of a sample leaves k, divided by 3."""
+    return (windows_of_samples.astype("int64")[:, :, None] % 3 == [0, 1, 2]).astype(float)
+
+
+@register("speaker_change", f"""
+with s as ({SCORES}), k as (select user_id, floor(value)::bigint % 3 as class, unnest(range(greatest(0, (idx - 9) // 3), idx // 3 + 1)) as w, idx from s),
+n as (select user_id, max(idx) + 1 as n from s group by user_id),
+c as (select user_id, w, class, count(*) as c from k join n using (user_id) where idx >= w * 3 + 2 and idx < w * 3 + 12 and w * 3 + 12 <= n group by user_id, w, class),
+best as (select user_id, w, class, c / 10 as activity, row_number() over (partition by user_id, w order by c desc, class) as place from c),
+heard as (select user_id, w, class, activity, coalesce(lag(class) over (partition by user_id order by w), 0) as before from best where place = 1 and activity > 0.35)
+select user_id, w * 3 as start, class::int as class, round(activity, 6) as activity from heard where class <> before""")
+def speaker_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    program = folds.SpeakerChange(thirds, window=12, hop=3, skip=2, least=0.35)
+    return folds.folded(scores(spark, sf_dir), program, "user_id").withColumn("activity", r6("activity"))
+
+
+@register("bounded_buffer", f"""
+with recursive s as ({SCORES}), n as (select user_id, count(*) as n from s group by user_id),
+walk as (
+  select user_id, 0::bigint as written, 0::bigint as kept, 0::bigint as lost, 0::bigint as pos, false as was_read, n from n
+  union all
+  select user_id, written + 4, kept + lost_now + case when read_now then 3 else 0 end, lost_now, kept, read_now, n
+  from (select *, written + 4 - (kept + lost_now) >= 6 as read_now from (select user_id, written, kept, n, greatest(0, written + 4 - kept - 12) as lost_now from walk where written + 4 <= n))
+), rows as (
+  select user_id, 'overrun' as kind, pos as start, lost as n from walk where lost > 0
+  union all select user_id, 'window', pos + lost, 6 from walk where was_read
+  union all select user_id, 'rest', kept, n - kept from walk where written + 4 > n and n > kept
+)
+select r.user_id, kind, start, n, case when kind <> 'overrun' then round(sum(value), 6) end as total
+from rows r join s on s.user_id = r.user_id and s.idx >= start and s.idx < start + n group by r.user_id, kind, start, n""")
+def bounded_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    program = folds.BoundedBuffer(capacity=12, block=4, window=6, hop=3)
+    found = folds.folded(scores(spark, sf_dir), program, "user_id")
+    return found.select("user_id", "kind", "start", "n", r6(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@register("beam_search_in_batches")
+def beam_search_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Utterances of one to eight frames, each boosted by a list for all and by its label's own phrases."""
+    own = F.array(F.array(F.col("label") % 8, (F.col("label") + 1) % 8), F.array((F.col("label") + 3) % 8))
+    frames = F.transform(F.sequence(F.lit(0), (F.col("vec_id") % 8).cast("int")), lambda t: F.slice("embedding", t * 8 + 1, F.lit(8)))
+    utterances = embeddings(spark, sf_dir).select(F.col("vec_id").alias("utt"), frames.alias("frames"), own.alias("own"))
+    return batched.decoded(utterances, phrases=[[1, 2], [3, 4, 5], [4, 5]], own_phrases="own")
+
+
 @register("beam_search")
 def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.decoded(_lattice(spark, sf_dir), "modified_beam_search", phrases=[[1, 2], [3, 4, 5], [4, 5]])

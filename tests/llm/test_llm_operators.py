@@ -608,7 +608,7 @@ def planted(seed=0, n=60):
 @pytest.mark.parametrize(("seed", "small", "leaders"), [(0, 1, False), (1, 1, True), (1, near_dedup.SMALL, True)])
 def test_near_dedup_equals_brute_force(spark, seed, small, leaders, monkeypatch):
     """With no small buckets and without leaders all is left to the exact join, here with lists longer than its first windows."""
-    for name, value in (("SMALL", small), ("CHUNK_CELLS", 2000), ("WINDOW", 2), ("WINDOW_GROWTH", 4)):
+    for name, value in (("SMALL", small), ("CHUNK_CELLS", 2000), ("WINDOW", 2), ("DENSE", small % 2), ("GROUP", 3)):
         monkeypatch.setattr(near_dedup, name, value)
     if not leaders:
         monkeypatch.setattr(near_dedup, "_leaders", lambda apart: apart.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0))

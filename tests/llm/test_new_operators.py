@@ -234,3 +234,43 @@ def test_features_of_empty_and_repeated_tables(spark):
     twice = spark.createDataFrame([(1, 1, "x", 2.5, day, day, 1)] * 2, SALES)
     rows = point_in_time.features(clicks.limit(0), twice, spark.createDataFrame([(1, 1, 9, 1, 1, 1.0, 0.0, "k", day)], LINES), F.lit(86400), windows=[2]).collect()
     assert [(r["n_sales"], r["sale_cents"], r["n_lines"], r["n_items"]) for r in rows] == [(2, 500, 2, 1)] * 2
+
+
+# near-duplicates whose texts are all a little too unlike
+
+
+def test_families_of_blocks(spark, tmp_path, monkeypatch):
+    """Each text has 17 of 20 shared blocks of words: most pairs are just below the threshold. Blocks of lists and groups of sets are small here, and every link is found."""
+    from wavemill.llm import near_dedup
+
+    for name, value in (("WINDOW", 8), ("GROUP", 16), ("DENSE", 0), ("COLUMNS", 64), ("HEAVY", 330)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(7)
+    blocks = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(20)]
+    rows = [(i, " ".join(blocks[k] for k in sorted(rng.sample(range(20), 17)))) for i in range(90)]
+    sets = [near_dedup.regions(near_dedup.words_of(t)) for _, t in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if near_dedup.overlap(sets[i], sets[j], 0.8)]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(spark.read.parquet(path)).collect()}
+    assert got == dict(enumerate(root)) and 1 < len(set(root)) < len(rows)
+
+
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_pairs_are_verified_alike(spark, dense, monkeypatch):
+    import numpy as np
+
+    from wavemill.llm import near_dedup
+
+    for name, value in (("DENSE", dense), ("GROUP", 4), ("COLUMNS", 8), ("HEAVY", 45)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = np.random.default_rng(1)
+    sets = {i: np.unique(rng.choice(np.arange(60), rng.integers(1, 59), replace=False)).astype(np.uint64) for i in range(30)}
+    cells = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "uid long, cells binary")
+    every = list(itertools.combinations(range(30), 2))
+    got = near_dedup._verified(spark.createDataFrame(every, "a long, b long"), cells, 0.5).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [p for p in every if near_dedup.overlap(sets[p[0]], sets[p[1]], 0.5)]

@@ -36,8 +36,9 @@ WORDS, THRESHOLD, BANDS, BAND_ROWS = 5, 0.8, 24, 5
 SIGNATURES = "doc_id long, part long, pos long, uid long, copy string, size long, bands array<long>, sig binary"
 #: Members of an unresolved bucket that are compared pair by pair; larger buckets are left to leaders and the exact join.
 SMALL = 16
-#: Shingles of a chunk of texts in the exact join; entries of a list that are compared with each other at first, and the factor from round to round.
-CHUNK_CELLS, WINDOW, WINDOW_GROWTH = 1 << 17, 256, 16
+#: Shingles of a chunk of texts in the exact join; entries of a list in a block; texts of a group that are compared as a matrix, shingles of a text that has a group of its own, columns of a matrix, and
+#: pairs a text from which groups are worth it.
+CHUNK_CELLS, WINDOW, GROUP, HEAVY, COLUMNS, DENSE = 1 << 17, 256, 128, 1 << 14, 2048, 8
 CHUNKS = "uids binary, labels binary, sizes binary, cells binary"
 ENTRIES = "token long, uid long, size long, pos long"
 #: Texts or pairs of shingle sets that a Python worker holds at once.
@@ -233,7 +234,7 @@ def _labelled(source: DataFrame, threshold: float, width: int, bands: int, rows:
         labels = _merged(labels, materialise(similar(met, cells, threshold), "links"))
         left = materialise(_apart(large.drop("label", "n"), labels).select("uid", "label").distinct(), "left")
         if left.limit(1).count():
-            labels = _by_rare_shingles(left, cells, labels, threshold)
+            labels = _by_rare_shingles(left, cells, labels, nodes, k, least, threshold)
 
     label = copies.join(labels.select("uid", "label"), "uid", "left").select("copy", F.coalesce("label", "uid").alias("label"))
     rows_of = spread_join(signed.select("doc_id", "part", "pos", "uid", "copy", task.alias("task")), label, "copy", "task").drop("copy")
@@ -298,27 +299,106 @@ def _leaders(apart: DataFrame) -> DataFrame:
     return met.select(other.alias("a"), F.col("uid").alias("b")).where("a is not null")
 
 
-def _by_rare_shingles(apart: DataFrame, cells: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+def _by_rare_shingles(apart: DataFrame, cells: DataFrame, labels: DataFrame, nodes: DataFrame, k: int, least: float, threshold: float) -> DataFrame:
     """``labels`` after every similar pair of different components among ``apart`` (uid, label) has been linked.
 
     Shingles are ordered: first those of one component alone, then by how many chunks of these texts hold them. Two similar texts of sizes n and m share at least t/(1+t) (n+m)
     shingles, so the first that they share, at places i and j of theirs, leaves as many behind it in both: i <= (1-t) n, and
     min(n-i, m-j) reaches that bound.
+
+    First the entries of a list that stand less than WINDOW places apart are compared. Longer lists, with the labels as they are then, are cut into blocks, and a task compares two blocks, unless both
+    hold one and the same component. Candidates are thinned by signature before their shingle sets are fetched.
     """
     entries = _entries(apart, cells, threshold)
-    longest = entries.groupBy("token").count().agg(F.max("count")).first()[0] or 0
-    line = entries.repartitionByRange("token", "size", "uid").sortWithinPartitions("token", "size", "uid").withColumn("id", F.monotonically_increasing_id())
+    spark = apart.sparkSession
+    lengths = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    labels = _linked(_candidates(_line(entries, "token", "size", "uid"), labels, threshold), labels, cells, nodes, k, least, threshold)
+    long = materialise(lengths.where(F.col("n") > WINDOW).select("token"), "long")
+    if not long.limit(1).count():
+        return labels
+    own = entries.join(long, "token").join(labels.select("uid", "label"), "uid")
+    line = materialise(_line(own, "token", "label", "size", "uid").withColumn("block", F.expr(f"place div {WINDOW}")), "blocks")
+    with arrow_rows(spark, 20 * BATCH_ROWS):
+        return _linked(_between_blocks(line, threshold), labels, cells, nodes, k, least, threshold)
+
+
+def _line(entries: DataFrame, *order: str) -> DataFrame:
+    """The entries with their place in the given order of all, from 0."""
+    line = entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
     line = materialise(line, "line").withColumn("range", F.shiftright("id", 33))
     sizes = sorted((r["range"], r["count"]) for r in line.groupBy("range").count().collect())  # one row per partition
     bases = [(part, sum(n for _, n in sizes[:i]) - (part << 33)) for i, (part, _) in enumerate(sizes)]
-    line = line.join(F.broadcast(apart.sparkSession.createDataFrame(bases, "range long, base long")), "range").withColumn("place", F.col("id") + F.col("base"))
-    low, high = 1, WINDOW
-    while low < longest:
-        near = materialise(_candidates(line, labels, low, high, threshold).distinct(), "near")
-        with arrow_rows(apart.sparkSession, BATCH_ROWS):
-            labels = _merged(labels, materialise(similar(near, cells, threshold), "links"))
-        low, high = high, high * WINDOW_GROWTH
-    return labels
+    return line.join(F.broadcast(entries.sparkSession.createDataFrame(bases, "range long, base long")), "range").withColumn("place", F.col("id") + F.col("base"))
+
+
+def _linked(pairs: DataFrame, labels: DataFrame, cells: DataFrame, nodes: DataFrame, k: int, least: float, threshold: float) -> DataFrame:
+    """``labels`` after those of the candidate pairs have been linked that are similar: by signature first, then by their sets."""
+    likely = materialise(_rated(pairs, nodes, k, least).select("a", "b"), "likely")
+    with arrow_rows(pairs.sparkSession, BATCH_ROWS):
+        return _merged(labels, materialise(_verified(likely, cells, threshold), "links"))
+
+
+def _verified(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """``similar`` where texts may have very many pairs: they are dealt into groups, and the sets of two groups are compared as one product of matrices, so a set is sent once for a group of partners."""
+    ends = materialise(_ends(pairs), "ends")
+    texts, n = ends.count(), pairs.count()
+    if n < DENSE * texts:
+        return similar(pairs, cells, threshold)
+    size = F.octet_length("cells") / 8
+    slot = F.when(size > HEAVY, F.xxhash64("uid")).otherwise(F.pmod(F.xxhash64("uid"), F.lit(-(-texts // GROUP))))
+    slots = materialise(ends.join(cells, "uid").select("uid", slot.alias("slot")), "slots")
+    of = lambda end: slots.select(F.col("uid").alias(end), F.col("slot").alias(f"slot_{end}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("slot_a", "slot_b").alias("low"), F.greatest("slot_a", "slot_b").alias("high"))
+    met = materialise(met, "met")
+    of = lambda end: met.select(F.col(end).alias("uid"), F.col("low").alias("first"), F.col("high").alias("second"))
+    sets = of("a").union(of("b")).distinct().join(cells, "uid").select("first", "second", "uid", "cells")
+
+    def compared(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        uid = sets["uid"].to_numpy()
+        order = np.argsort(uid)
+        held = [np.frombuffer(c.as_buffer(), np.uint64) for c in sets["cells"]]
+        sizes = np.array([len(x) for x in held])
+        flat = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        at = np.argsort(flat, kind="stable")
+        new = np.concatenate([[True], flat[at][1:] != flat[at][:-1]])
+        column = np.cumsum(new) - 1
+        shared = (np.bincount(column) > 1)[column]  # a shingle of one text adds nothing
+        owner, column = np.repeat(np.arange(len(held)), sizes)[at][shared], column[shared]
+        _, column = np.unique(column, return_inverse=True)
+        common = np.zeros((len(held), len(held)), np.float32)
+        for lo in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+            rows = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+            some = np.zeros((len(held), COLUMNS), np.float32)
+            some[owner[rows], column[rows] - lo] = 1
+            common += some @ some.T
+        i, j = (order[np.searchsorted(uid[order], pairs[c].to_numpy())] for c in ("a", "b"))
+        both = common[i, j].astype(np.float64)
+        return pairs.select(["a", "b"]).filter(pa.array(both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9))
+
+    return sets.groupBy("first", "second").cogroup(met.groupBy("low", "high")).applyInArrow(compared, "a long, b long")
+
+
+def _between_blocks(line: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components in the lists of the rows (token, uid, size, pos, label, block) that may be similar by size and place; a task takes two blocks of a list."""
+    parts = materialise(line.groupBy("token", "block").agg(F.min("label").alias("least"), F.max("label").alias("most")), "parts")
+    low, high = (parts.select("token", F.col("block").alias(side), F.col("least").alias(f"least_{side}"), F.col("most").alias(f"most_{side}")) for side in ("low", "high"))
+    one = (F.col("least_low") == F.col("most_low")) & (F.col("least_high") == F.col("most_high")) & (F.col("least_low") == F.col("least_high"))
+    tasks = low.join(high, "token").where((F.col("low") <= F.col("high")) & ~one).select("token", "low", "high")
+    rows = tasks.select("*", F.explode(F.array_distinct(F.array("low", "high"))).alias("block")).join(line, ["token", "block"])
+
+    def pairs(rows: pa.Table) -> pa.Table:
+        uid, size, pos, label, block = (rows[c].to_numpy() for c in ("uid", "size", "pos", "label", "block"))
+        behind, need = size - pos, threshold / (1 + threshold)
+        one, other = (block == block.min()), (block == block.max())
+        x, y = np.flatnonzero(one), np.flatnonzero(other)
+        ok = label[x][:, None] != label[y]
+        ok &= np.minimum(behind[x][:, None], behind[y]) >= need * (size[x][:, None] + size[y]) - 1e-9
+        i, j = np.nonzero(ok)
+        a, b = uid[x[i]], uid[y[j]]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+
+    return rows.select("token", "low", "high", "uid", "size", "pos", "label", "block").groupBy("token", "low", "high").applyInArrow(pairs, "a long, b long")
 
 
 def _entries(apart: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
@@ -393,12 +473,12 @@ def _entries(apart: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     return stored(spark, f"{folder}/entries", ENTRIES)
 
 
-def _candidates(line: DataFrame, labels: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that stand ``low`` to ``high`` - 1 places apart in one list and may be similar by size and place.
+def _candidates(line: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that stand less than WINDOW places apart in one list and may be similar by size and place.
 
-    The line of all lists is cut every ``high`` places; an entry goes to its own block and, to be met by later entries, to the next one.
+    The line of all lists is cut every WINDOW places; an entry goes to its own block and, to be met by later entries, to the next one.
     """
-    own = line.join(labels.select("uid", "label"), "uid").withColumn("block", F.expr(f"place div {high}"))
+    own = line.join(labels.select("uid", "label"), "uid").withColumn("block", F.expr(f"place div {WINDOW}"))
     rows = own.withColumn("after", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("block", F.col("block") + F.col("after"))
 
     def pairs(rows: pa.Table) -> pa.Table:
@@ -406,16 +486,17 @@ def _candidates(line: DataFrame, labels: DataFrame, low: int, high: int, thresho
         token, uid, size, pos, label, place, after = (rows[c].to_numpy() for c in ("token", "uid", "size", "pos", "label", "place", "after"))
         found = [(uid[:0], uid[:0])]
         behind, need = size - pos, threshold / (1 + threshold)
-        for d in range(1, min(high, len(uid))):
+        for d in range(1, min(WINDOW, len(uid))):
             same = token[d:] == token[:-d]
             if not same.any():
                 break
             apart = place[d:] - place[:-d]  # no smaller than d: entries of other blocks are missing only at the ends
-            ok = same & (apart >= low) & (apart < high) & (after[d:] == 0) & (label[d:] != label[:-d])
+            ok = same & (apart < WINDOW) & (after[d:] == 0) & (label[d:] != label[:-d])
             ok &= np.minimum(behind[d:], behind[:-d]) >= need * (size[d:] + size[:-d]) - 1e-9
             at = np.flatnonzero(ok)
             found.append((np.minimum(uid[at], uid[at + d]), np.maximum(uid[at], uid[at + d])))
-        return pa.table({"a": pa.array(np.concatenate([x for x, _ in found]), pa.int64()), "b": pa.array(np.concatenate([y for _, y in found]), pa.int64())})
+        both = np.unique(np.stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])]), axis=1)
+        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
 
     return rows.select("block", "token", "uid", "size", "pos", "label", "place", "after").groupBy("block").applyInArrow(pairs, "a long, b long")
 

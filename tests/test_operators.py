@@ -169,33 +169,6 @@ def test_online_diarize_over_the_whole_table(spark, far_embeddings):
     assert {r.vec_id: r.speaker for r in got} == want and len(got) == len(want)
 
 
-def test_signals_of_the_whole_table(spark, far_embeddings):
-    folder, vectors = far_embeddings
-    tone = {k: np.sin(np.arange(3200) * (0.02 + 0.001 * (k % 50))) for k in vectors}
-
-    def found(name, column):
-        rows = queries.queries()[name](spark, folder).orderBy("vec_id", "pos").collect()
-        out = {}
-        for r in rows:
-            assert r.pos == len(out.setdefault(r.vec_id, []))
-            out[r.vec_id].append(r[column])
-        return out
-
-    energy, halved = found("mel_features", "energy"), found("resample", "sample")
-    assert energy.keys() == halved.keys() == vectors.keys()
-    for k in vectors:
-        assert np.allclose(energy[k], dsp.log_mel(tone[k]).mean(axis=0), atol=1e-4)
-        assert len(halved[k]) == 1600
-    cutoff, half = 0.99 * 4000, 6 / (2 * 0.99 * 4000)
-    for k in (0, 2590):
-        for n in (0, 99, 100, 800, 1599):
-            delta = np.arange(3200) / 16000 - n / 8000
-            weight = np.where(np.abs(delta) < half, 0.5 * (1 + np.cos(2 * np.pi * cutoff / 6 * delta)), 0) * 2 * cutoff * np.sinc(2 * cutoff * delta) / 16000
-            assert abs(halved[k][n] - tone[k] @ weight) < 2e-6
-    spoken = queries.queries()["speech_to_text_pipeline"](spark, folder).select("stream_id").distinct().collect()
-    assert {r.stream_id for r in spoken} == set(vectors)
-
-
 def test_phrase_boost():
     g = decoding.PhraseGraph([[1, 2], [1, 2, 3], [2, 3]], 1.0)
     state, total = g.root, 0.0

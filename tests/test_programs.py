@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavemill import queries
-from wavemill.operators import batched, decoding, folds, match, tracking, vad
+from wavemill.functions import dsp
+from wavemill.functions import text as X
+from wavemill.operators import batched, decoding, folds, match, signals, tracking, vad
+from wavemill.sources import audio, wav_sink
 from wavemill.streaming import programs
 
 ROWS = "stream_id long, idx long, value double, ts timestamp"
@@ -280,3 +283,175 @@ def test_folds_don_t_depend_on_arrow_batches(spark):
         left = 7 if left == 0 and r[2] > 0.9 else max(0, left - 1)
     got = tracking.wake_then_listen(df.withColumn("hit", F.col("prob") > 0.9), "stream_id", "idx", "hit", 7).where("stream_id = 1").orderBy("idx").collect()
     assert [r["listening"] for r in got] == heard
+
+
+# signals
+
+
+def naive_frames(values, bins, length, shift):
+    """Centred frames, one sample after another; a sample before or behind the signal is found by walking back from its end."""
+    out, n = [], len(values)
+    for t in range((n + shift // 2) // shift):
+        frame = []
+        for i in range(t * shift + shift // 2 - length // 2, t * shift + shift // 2 - length // 2 + length):
+            while not 0 <= i < n:
+                i = -i - 1 if i < 0 else 2 * n - 1 - i
+            frame.append(values[i])
+        x = np.array(frame) - np.mean(frame)
+        y = np.array([x[0] - 0.97 * x[0]] + [x[k] - 0.97 * x[k - 1] for k in range(1, length)]) * [0.54 - 0.46 * np.cos(2 * np.pi * k / (length - 1)) for k in range(length)]
+        points = 1 << (length - 1).bit_length()
+        power = [abs(sum(y[k] * np.exp(-2j * np.pi * f * k / points) for k in range(length))) ** 2 for f in range(points // 2)]
+        out.append(np.log(np.maximum(dsp.mel_bank(bins, 16000, points) @ power, dsp.EPSILON)))
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 16, 40, 101])
+@pytest.mark.parametrize("length,shift", [(16, 5), (10, 10), (8, 12)])
+def test_reflected_frames_in_any_pieces(n, length, shift):
+    import pandas as pd
+
+    rng = random.Random(n)
+    values = [rng.uniform(-1, 1) for _ in range(n)]
+    want = naive_frames(values, 5, length, shift)
+    for sizes in ([1], [2, 7], [1000]):
+        for program in (signals.MelFrames(5, length, shift), signals.MelFrames(5, length, shift, at_once=2)):
+            state, at, out = program.begin(), 0, []
+            while at < n:
+                step = rng.choice(sizes)
+                out += program.take(state, pd.DataFrame({"value": values[at : at + step]})).to_dict("records")
+                at += step
+                assert len(state["held"]) <= 2 * length + shift + max(sizes)
+            out += program.finish(state).to_dict("records")
+            assert [r["frame"] for r in out] == list(range(len(want)))
+            assert all(np.allclose(r["feat"], w, atol=1e-9) for r, w in zip(out, want, strict=True))
+
+
+def test_whole_frames_equal_the_features_of_the_whole(spark):
+    rows = signal(2, 90)
+    df = spark.createDataFrame(rows, ROWS)
+    got = {(r["stream_id"], r["frame"]): r["feat"] for r in folds.folded(df, signals.MelFrames(4, 16, 5, reflect=False)).collect()}
+    want = {(s, k): f for s in (0, 1) for k, f in enumerate(dsp.log_mel([r[2] for r in rows if r[0] == s], 4, length=16, shift=5))}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def user_values(spark, sf_dir):
+    out = {}
+    for r in queries.scores(spark, sf_dir).orderBy("user_id", "idx").collect():
+        out.setdefault(r["user_id"], []).append(r["value"])
+    return out
+
+
+def test_mel_features_of_the_whole_table(spark, sf_dir):
+    got = {(r["user_id"], r["frame"], r["bin"]): r["energy"] for r in queries.mel_features(spark, sf_dir).collect()}
+    want = {(u, t, k): x for u, v in user_values(spark, sf_dir).items() for t, f in enumerate(naive_frames(v, 4, 16, 5)) for k, x in enumerate(f)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_resampling_of_the_whole_table(spark, sf_dir):
+    got = {(r["user_id"], r["pos"]): r["sample"] for r in queries.resample(spark, sf_dir).collect()}
+    want, cutoff = {}, 0.99
+    half = 6 / (2 * cutoff)
+    for user, values in user_values(spark, sf_dir).items():
+        for k in range(-(-2 * len(values) // 3)):
+            total = 0.0
+            for i, x in enumerate(values):
+                d = i / 3 - k / 2
+                if abs(d) < half:
+                    total += x * 0.5 * (1 + np.cos(2 * np.pi * cutoff / 6 * d)) * 2 * cutoff * np.sinc(2 * cutoff * d) / 3
+            want[user, k] = total
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_speech_to_text_of_the_whole_table(spark, sf_dir):
+    config = vad.SpeechConfig(window=2, threshold=0.5, min_speech=2, min_silence=2)
+    want = []
+    for user, values in user_values(spark, sf_dir).items():
+        state = vad.SegmentState()
+        for w in range(len(values) // 2):
+            energy = np.mean([(x / 100) ** 2 for x in values[2 * w : 2 * w + 2]])
+            state, pieces = vad.segment_step(state, [energy / (energy + 0.2)], config)
+            want += [(user, float(a), float(b), f"{min(b, len(values)) - a} samples") for a, b in pieces]
+    got = [(r["stream_id"], r["start"], r["end"], r["text"]) for r in queries.speech_to_text_pipeline(spark, sf_dir).collect()]
+    assert len(want) > 10 and sorted(got) == sorted(want)
+
+
+# WAV files as a sink
+
+
+def wav_of(path):
+    with open(path, "rb") as f:
+        raw = f.read()
+    assert int.from_bytes(raw[4:8], "little") == len(raw) - 8
+    return audio.decode_wav(raw)[3].tolist()
+
+
+def test_wav_files_as_a_sink(spark, tmp_path):
+    wav_sink.register(spark)
+    rows = [(n, i, float(i * k - 40_000 * (i == 5))) for k, n in enumerate("abc", 1) for i in range(3000)] + [(None, 0, 1.0), ("a", 9000, None)]
+    df = spark.createDataFrame(rows, "name string, idx long, value double").repartition(7)
+    for _ in range(2):  # written anew, not appended
+        wav_sink.sorted_samples(df).write.format("wav_stream").option("path", str(tmp_path)).mode("append").save()
+        for k, n in enumerate("abc", 1):
+            assert wav_of(tmp_path / f"{n}.wav") == [max(-32768, i * k - 40_000 * (i == 5)) for i in range(3000)]
+    failing = wav_sink.sorted_samples(df).withColumn("value", F.when(F.col("value") > 8000, F.raise_error(F.lit("stop")).cast("double")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="stop"):
+        failing.write.format("wav_stream").option("path", str(tmp_path / "failed")).mode("append").save()
+    assert not list((tmp_path / "failed").glob("*.wav"))
+    with pytest.raises(Exception, match="no file can be named"):
+        wav_sink.sorted_samples(df.withColumn("name", F.lit("a/b"))).write.format("wav_stream").option("path", str(tmp_path / "failed")).mode("append").save()
+
+
+def test_wav_stream_and_replayed_commits(spark, tmp_path):
+    wav_sink.register(spark)
+    for k in range(3):
+        spark.createDataFrame([(n, i, float(i)) for n in "xy" for i in range(100 * k, 100 * k + 100)], "name string, idx long, value double").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    source = spark.readStream.schema("name string, idx long, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    out = wav_sink.sorted_samples(source).writeStream.format("wav_stream").option("path", f"{tmp_path}/wav").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    out.awaitTermination(120)
+    assert all(wav_of(f"{tmp_path}/wav/{n}.wav") == list(range(300)) for n in "xy")
+
+    files = wav_sink._Files({"path": f"{tmp_path}/own"})
+    part = lambda lo: [files.write(iter([{"name": "z", "value": float(i)} for i in range(lo, lo + 10)]))]
+    files.commit(part(0), 0)
+    files.commit(part(10), 1)
+    files.commit(part(10), 1)  # committed before: changes nothing
+    with open(f"{tmp_path}/own/z.wav", "ab") as f:
+        f.write(b"cut off")  # a commit that was interrupted while it appended
+    files.commit(part(20), 2)
+    assert wav_of(f"{tmp_path}/own/z.wav") == list(range(30)) and not list((tmp_path / "own/_parts").glob("*.raw"))
+    failed = part(30)
+    files.abort(failed)
+    assert wav_of(f"{tmp_path}/own/z.wav") == list(range(30)) and not list((tmp_path / "own/_parts").glob("*.raw"))
+
+
+# phoneme sentences
+
+
+def test_phoneme_sentences(spark):
+    def fold(text):
+        """Code point after code point: a clause is open until its sign, a sentence until one that ends it."""
+        done, sentence, clause = [], "", ""
+        for c in [*(text or ""), None]:
+            if c is not None and c not in ".?!,:;":
+                clause += c
+                continue
+            if clause.strip(" "):
+                spoken, flag = "", False
+                for x in clause.strip(" ").lower():
+                    if flag:
+                        flag = x != ")"
+                    elif x == "(":
+                        flag = True
+                    else:
+                        spoken += x
+                sentence += spoken + (c or "") + (" " if c in (",", ":", ";") else "")
+            clause = ""
+            if c is None or c in ".?!":
+                done += [sentence] if sentence else []
+                sentence = ""
+        return done
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("ab É(),.;:?! \n", k=rng.randrange(40))) for _ in range(300)] + [None, "", "...", "Hello, (en)World(de): yes; no? Well", "x" * 100_000 + ". " + "y, " * 20_000]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", X.phoneme_sentences(F.col("t")).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in got} == {k: fold(t) for k, t in enumerate(texts)}

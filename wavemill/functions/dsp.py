@@ -31,7 +31,12 @@ def mel_bank(bins: int, rate: int, points: int, low: float = 20.0) -> np.ndarray
 
 def log_mel(signal: np.ndarray, bins: int = 80, rate: int = 16000, length: int = 400, shift: int = 160, emphasis: float = 0.97, log: bool = True) -> np.ndarray:
     """Frames x bins: mean removed, pre-emphasised (the first sample scaled), Hamming window, power spectrum, mel bank, log of at least epsilon."""
-    frames = frames_of(np.asarray(signal, np.float64), length, shift)
+    return log_mel_frames(frames_of(np.asarray(signal, np.float64), length, shift), bins, rate, emphasis, log)
+
+
+def log_mel_frames(frames: np.ndarray, bins: int = 80, rate: int = 16000, emphasis: float = 0.97, log: bool = True) -> np.ndarray:
+    """``log_mel`` of frames that have been cut already: frames x bins."""
+    length = frames.shape[1]
     points = 1 << (length - 1).bit_length()
     frames = frames - frames.mean(axis=1, keepdims=True) if len(frames) else frames
     lagged = np.concatenate([frames[:, :1], frames[:, :-1]], axis=1)

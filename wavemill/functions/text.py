@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -197,3 +197,27 @@ def without_language_flags(phonemes: Column) -> Column:
 def missing_phoneme_counts(rows: DataFrame, phonemes: str, ids: dict[str, list[int]]) -> DataFrame:
     """phoneme, n: how often each phoneme without an id occurs. Survey id A17."""
     return rows.select(F.explode(missing_phonemes(F.col(phonemes), ids)).alias("phoneme")).groupBy("phoneme").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: What ends a clause, and which of these end a sentence too.
+CLAUSE_ENDS, SENTENCE_ENDS = ".?!,:;", ".?!"
+
+
+def phoneme_sentences(text: Column, speak: Callable[[Column], Column] = F.lower) -> Column:
+    """The sentences of a text as strings of phonemes, in an array. Survey id X13.
+
+    A text is cut into sentences after ``. ? !``, and these into clauses after ``, : ;`` as well. Each clause is spoken for itself: ``speak`` maps its words to phonemes (the step from letters to
+    phonemes is not part of the specification). Language flags ``(xx)`` go, an open one to the end of its clause; then the clause's own sign follows, with a space after ``, : ;``, and the end of the text
+    has none. A clause without words has no sign either, and a sentence without clauses is left out; null has no sentences. ``codepoints`` and ``mapped_phonemes`` go on from there.
+    """
+    sentences = F.regexp_extract_all(text, F.lit(f"[^{SENTENCE_ENDS}]*[{SENTENCE_ENDS}]?"), F.lit(0))
+
+    def clause(c: Column) -> Column:
+        words, sign = F.regexp_replace(c, f"[{CLAUSE_ENDS}]$", ""), F.regexp_extract(c, f"[{CLAUSE_ENDS}]$", 0)
+        spoken = F.regexp_replace(speak(F.trim(words)), r"\([^)]*(\)|$)", "")
+        return F.when(F.trim(words) == "", "").otherwise(F.concat(spoken, sign, F.when(sign.isin(*",:;"), " ").otherwise("")))
+
+    def sentence(s: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(f"[^{CLAUSE_ENDS}]*[{CLAUSE_ENDS}]?"), F.lit(0)), clause), "")
+
+    return F.filter(F.transform(F.coalesce(sentences, F.array().cast("array<string>")), sentence), lambda s: s != "")

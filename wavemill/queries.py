@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import text as X
 from wavemill.functions import vectors as V
-from wavemill.operators import arrays, batched, clustering, decoding, folds, match, timeline, tracking, vad, windows
+from wavemill.operators import arrays, batched, clustering, decoding, folds, match, signals, timeline, tracking, vad, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -862,37 +862,29 @@ def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.decoded(_lattice(spark, sf_dir), "modified_beam_search", phrases=[[1, 2], [3, 4, 5], [4, 5]])
 
 
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tones: one per embedding, 0.2 s at 16 kHz, computed in the JVM. A row takes 26 kB, so few of them go to Python at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    tone = F.transform(F.sequence(F.lit(0), F.lit(3199)), lambda i: F.sin(i * (0.02 + 0.001 * (F.col("vec_id") % 50))))
-    return table(spark, sf_dir, "embeddings").select("vec_id", tone.alias("samples"))
-
-
-def _per_signal(rows: DataFrame, function, column: str) -> DataFrame:
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            for key, samples in zip(pdf["vec_id"], pdf["samples"], strict=True):
-                out = function(samples)
-                yield pd.DataFrame({"vec_id": key, "pos": range(len(out)), column: out})
-
-    return rows.mapInPandas(run, f"vec_id long, pos long, {column} double")
-
-
 @register("mel_features")
 def mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wavemill.functions import dsp
-
-    return _per_signal(_signals(spark, sf_dir), lambda s: dsp.log_mel(s).mean(axis=0).round(4), "energy")
+    """Mel frames, mirrored at the ends, of the events' values as a signal for each user."""
+    frames = folds.folded(scores(spark, sf_dir), signals.MelFrames(bins=4, length=16, shift=5, reflect=True), "user_id")
+    return frames.select("user_id", "frame", F.posexplode("feat").alias("bin", "energy")).withColumn("energy", r6("energy"))
 
 
 @register("resample")
 def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wavemill.functions import dsp
+    """The events' values as a signal for each user, at two thirds of its rate."""
+    return folds.folded(scores(spark, sf_dir), signals.Resampled(3, 2), "user_id").withColumn("sample", r6("sample"))
+
 
-    return _per_signal(_signals(spark, sf_dir), lambda s: dsp.Resampler(16000, 8000)(s, flush=True).round(6), "sample")
+@register("phoneme_sentences", r"""
+with s as (select conv_id, turn, unnest(regexp_extract_all(text, '[^.?!]*[.?!]?')) as s, generate_subscripts(regexp_extract_all(text, '[^.?!]*[.?!]?'), 1) as place from conversations),
+c as (select conv_id, turn, place, unnest(regexp_extract_all(s, '[^.?!,:;]*[.?!,:;]?')) as c, generate_subscripts(regexp_extract_all(s, '[^.?!,:;]*[.?!,:;]?'), 1) as part from s),
+p as (select conv_id, turn, place, part, trim(regexp_replace(c, '[.?!,:;]$', '')) as words, regexp_extract(c, '[.?!,:;]$') as sign from c),
+j as (select conv_id, turn, place, string_agg(case when words = '' then '' else regexp_replace(lower(words), '\([^)]*(\)|$)', '', 'g') || sign || case when sign in (',', ':', ';') then ' ' else '' end end, '' order by part) as phonemes
+  from p group by conv_id, turn, place)
+select conv_id, turn, row_number() over (partition by conv_id, turn order by place) - 1 as sentence, phonemes from j where phonemes <> ''""")
+def phoneme_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(X.phoneme_sentences(F.col("text"))).alias("sentence", "phonemes"))
+    return said.withColumn("sentence", F.col("sentence").cast("long"))
 
 
 #: A longer phrase list is an error.
@@ -938,6 +930,5 @@ def annotate_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def speech_to_text_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavemill.plans import pipelines, scorers
 
-    samples = _signals(spark, sf_dir).select(F.col("vec_id").alias("stream_id"), F.posexplode("samples").alias("idx", "value")).withColumn("idx", F.col("idx").cast("long"))
-    loud = samples.withColumn("value", F.when(F.col("idx").between(800, 2300), F.col("value")).otherwise(0.0))
-    return pipelines.speech_to_text(loud, scorers.EnergyVad(), scorers.Spelled(), vad.SpeechConfig(window=160, threshold=0.5, min_speech=320, min_silence=160))
+    samples = scores(spark, sf_dir).select(F.col("user_id").alias("stream_id"), "idx", (F.col("value") / 100).alias("value"))
+    return pipelines.speech_to_text(samples, scorers.EnergyVad(0.2), scorers.Spelled(), vad.SpeechConfig(window=2, threshold=0.5, min_speech=2, min_silence=2), rate=1)

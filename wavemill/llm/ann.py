@@ -2,8 +2,9 @@
 
 A vector is coded in four bits for each pair of dimensions. Codes and codebooks minimise |r|^2 + (h - 1) (r . u)^2, where r is the residual and u the vector's
 direction: error along the vector, which changes large inner products, costs h times as much as error across it. A scan adds up table entries
-by code, two codes a byte; the best RERANK_SHARE of a block are scored again on the original vectors in double precision. So is every other row whose scan score
-plus its bound (the query's norm times the row's residual) reaches the k-th of these, so the cut loses no neighbour, however many vectors share a code.
+by code, two codes a byte; the best RERANK_SHARE of a block are scored again on the original vectors in double precision. What the codes leave is coded in four bits
+a pair again, and so is what that leaves (FINE_STAGES, by plain distance). Of the other rows, those whose scan score plus a bound (the query's norm times the row's residual) reaches the k-th of these get the finer
+stages added, and those that still reach it with the much smaller residual of all stages are scored exactly too. So the cut loses no neighbour, however many vectors share a code, and few rows but near ones are read as vectors.
 
 The index is a table of blocks in the shared folder: each task packs the rows that it reads, so nothing is shuffled to build it. A search task holds up to
 TASK_BLOCKS blocks, streams the query blocks past them and leaves the k best of each query over all its blocks; these are merged in two levels.
@@ -29,9 +30,10 @@ SAMPLE_ROWS = 8192
 #: The parallel weight is (d - 1) T^2 / (1 - T^2) for inner products of at least T (on unit vectors).
 SCORE_THRESHOLD = 0.2
 CODES, PAIR, BLOCK_ROWS, QUERY_ROWS = 16, 2, 16384, 512
+#: Finer stages of codes, which rows besides the reranked ones have to pass.
+FINE_STAGES = 2
 RERANK_SHARE, RERANK_LEAST = 0.03, 40
 TASK_BLOCKS = 16
-REACH_ROWS = 4096
 BLOCKS = "n long, ids binary, asks binary, ends binary, vectors binary, codes binary, errors binary"
 FOUND = "query_id long, rank int, vec_id long, score double"
 
@@ -44,11 +46,11 @@ def valid(vector: Column, dim: int | None = None) -> Column:
 
 
 class Codebooks:
-    """``books``: pairs of dimensions x 16 x 2. Odd dimensions are padded with a zero."""
+    """``books``: pairs of dimensions x 16 x 2. Odd dimensions are padded with a zero. ``finer`` are the books of what these leave, stage by stage."""
 
-    def __init__(self, sample: np.ndarray, rounds: int = 8, fine_rounds: int = 3, seed: int = 8):
+    def __init__(self, sample: np.ndarray, rounds: int = 8, fine_rounds: int = 3, seed: int = 8, finer: int = FINE_STAGES):
         self.dim = sample.shape[1]
-        self.weight = max(0.0, (self.dim - 1) * SCORE_THRESHOLD**2 / (1 - SCORE_THRESHOLD**2) - 1)
+        self.weight = max(0.0, (self.dim - 1) * SCORE_THRESHOLD**2 / (1 - SCORE_THRESHOLD**2) - 1) if finer else 0.0
         x, rng = self.pairs(sample), np.random.default_rng(seed)
         pick = rng.permutation(len(x))[:CODES]
         self.books = x[np.resize(pick, CODES)].transpose(1, 0, 2).copy() + rng.normal(0, 1e-4, (x.shape[1], CODES, PAIR))
@@ -59,8 +61,13 @@ class Codebooks:
                 for d in range(PAIR):
                     sums = np.bincount(code, weights=x[:, m, d], minlength=CODES)
                     self.books[m, :, d] = np.where(n > 0, sums / np.maximum(1, n), self.books[m, :, d])
-        for _ in range(fine_rounds):
+        for _ in range(fine_rounds if self.weight else 0):
             self._refit(x, self.assign(sample))
+        self.finer: list[Codebooks] = []
+        left = self.left(sample, self.assign(sample)) if finer else sample
+        for _ in range(finer):
+            self.finer.append(Codebooks(left, rounds, finer=0))
+            left = self.finer[-1].left(left, self.finer[-1].assign(left))
 
     def pairs(self, vectors: np.ndarray) -> np.ndarray:
         v = vectors.astype(np.float64)
@@ -107,21 +114,34 @@ class Codebooks:
             self.books[m][used] = np.linalg.solve(left[used], right[used][:, :, None])[:, :, 0]
             along = rest + ((xm - self.books[m][c]) * um).sum(axis=1)
 
-    def errors(self, vectors: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Norm of what each row's codes leave of it."""
+    def left(self, vectors: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """What each row's codes leave of it (with the padding)."""
         rest = self.pairs(vectors)
         for m in range(rest.shape[1]):
             rest[:, m] -= self.books[m][code[:, m]]
-        return np.sqrt((rest**2).sum(axis=(1, 2)))
+        return rest.reshape(len(rest), -1)
+
+    def encoded(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Packed codes of all stages, one below the other, and the norms of what the first one and all of them leave: 2 x rows."""
+        packed, norms, left = [], [], vectors
+        for books in (self, *self.finer):
+            code = books.assign(left)
+            left = books.left(left, code)
+            packed.append(books.pack(code))
+            norms.append(np.sqrt((left**2).sum(axis=1)))
+        return np.concatenate(packed), np.stack([norms[0], norms[-1]])
 
     def pack(self, code: np.ndarray) -> np.ndarray:
         """Two codes a byte, by byte: (pairs / 2) x rows."""
         return np.ascontiguousarray((code[:, 0::2] | (code[:, 1::2] << 4)).astype(np.uint8).T)
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """queries x bytes x 256: what each byte of codes adds to the inner product."""
-        entry = np.einsum("qmd,mkd->qmk", self.pairs(queries), self.books).astype(np.float32)
-        return (entry[:, 1::2, :, None] + entry[:, 0::2, None, :]).reshape(len(queries), entry.shape[1] // 2, CODES * CODES)
+        """queries x bytes x 256: what each byte of codes adds to the inner product, all stages one below the other."""
+        stages = []
+        for books in (self.books, *(f.books for f in self.finer)):
+            entry = np.einsum("qmd,mkd->qmk", self.pairs(queries), books).astype(np.float32)
+            stages.append((entry[:, 1::2, :, None] + entry[:, 0::2, None, :]).reshape(len(queries), entry.shape[1] // 2, CODES * CODES))
+        return np.concatenate(stages, axis=1)
 
 
 def fit(vectors: DataFrame, dim: int, sample_rows: int = SAMPLE_ROWS) -> Codebooks:
@@ -136,31 +156,31 @@ class Block:
         self.asks = np.unpackbits(np.frombuffer(row["asks"], np.uint8), count=len(self.ids)).astype(bool)
         self.vectors = np.frombuffer(row["vectors"], kind).reshape(-1, dim)
         self.codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, max(1, len(self.vectors)))
-        self.errors = np.frombuffer(row["errors"], np.float64)
+        self.first = len(self.codes) // (1 + FINE_STAGES)  # bytes of the first stage
+        self.errors = np.frombuffer(row["errors"], np.float64).reshape(2, -1)
         self.norm = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors, dtype=np.float64).max(initial=0.0))  # the largest
 
     def exact(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
         return (self.vectors[at].astype(np.float64) * query).sum(axis=1)
 
-    def within_reach(self, rough: np.ndarray, done: np.ndarray, bar: float, query: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Rows besides ``done`` that may score ``bar`` or more: first by scan score and residual, then by a product in the vectors' own precision.
+    def within_reach(self, rough: np.ndarray, done: np.ndarray, scores: np.ndarray, k: int, query: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Rows besides ``done``, whose scores are known, that may be among the k best: first by scan score and residual, then by all stages of codes and what they leave.
 
-        Both bounds are strict, with room for rounding; what isn't finite stays in.
+        The k best by all stages raise the bar for the others. Both bounds are strict, with room for rounding; what isn't finite stays in.
         """
+        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
         size, dim = float(np.sqrt((query**2).sum())), len(query)
-        info = np.finfo(self.vectors.dtype)
         room = (len(table) + 4) * np.finfo(np.float32).eps * float(np.abs(table).max(axis=1).sum()) + 4 * dim * np.finfo(np.float64).eps * size * self.norm
-        may = ~(rough + size * self.errors + room < bar) | ~np.isfinite(rough)
+        may = ~(rough + size * self.errors[0] + room < bar) | ~np.isfinite(rough)
         may[done] = False
         more = np.flatnonzero(may)
-        slack = 4 * dim * (info.eps * size * self.norm + info.tiny)
-        kept = [more[:0]]
-        with np.errstate(over="ignore", invalid="ignore"):
-            for lo in range(0, len(more), REACH_ROWS):
-                part = more[lo : lo + REACH_ROWS]
-                near = (self.vectors[part] @ query.astype(self.vectors.dtype)).astype(np.float64)
-                kept.append(part[~(near + slack < bar) | ~np.isfinite(near)])
-        return np.concatenate(kept)
+        both = rough[more].astype(np.float64)
+        for byte in range(self.first, len(self.codes)):
+            both += table[byte].take(self.codes[byte, more])
+        ahead = more[np.argpartition(both, len(both) - k)[len(both) - k :]] if len(both) > k else more
+        scores = np.concatenate([scores, self.exact(ahead, query)])
+        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
+        return more[~(both + size * self.errors[1, more] + room < bar) | ~np.isfinite(both)]
 
     def search(self, query: np.ndarray, own: int, table: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best ids and scores, without the row at place ``own`` (none: -1)."""
@@ -170,12 +190,12 @@ class Block:
         at = np.arange(n)
         if some < n:
             rough = table[0].take(self.codes[0])
-            for byte in range(1, len(self.codes)):
+            for byte in range(1, self.first):
                 rough += table[byte].take(self.codes[byte])
             at = np.argpartition(rough, n - some)[n - some :]
         exact = self.exact(at, query)
         if some < n:
-            more = self.within_reach(rough, at, exact[np.argpartition(exact, some - k_own)[some - k_own]], query, table)
+            more = self.within_reach(rough, at, exact, k_own, query, table)
             at, exact = np.concatenate([at, more]), np.concatenate([exact, self.exact(more, query)])
         if len(at) > k_own:
             bound = np.partition(exact, len(at) - k_own)[len(at) - k_own]
@@ -207,8 +227,8 @@ def build(vectors: DataFrame, books: Codebooks, kind: str, folder: str) -> DataF
             distinct = distinct.view(every.dtype).reshape(-1, books.dim)
             order = np.lexsort((vec_ids, at))
             ends = np.cumsum(np.bincount(at, minlength=len(distinct)))
-            codes = books.assign(distinct)
-            row = {"n": len(vec_ids), "ids": vec_ids[order].tobytes(), "asks": np.packbits(np.concatenate(asks)[order]).tobytes(), "ends": ends.astype(np.int64).tobytes(), "vectors": distinct.tobytes(), "codes": books.pack(codes).tobytes(), "errors": books.errors(distinct, codes).tobytes()}
+            codes, errors = books.encoded(distinct)
+            row = {"n": len(vec_ids), "ids": vec_ids[order].tobytes(), "asks": np.packbits(np.concatenate(asks)[order]).tobytes(), "ends": ends.astype(np.int64).tobytes(), "vectors": distinct.tobytes(), "codes": codes.tobytes(), "errors": errors.tobytes()}
             ids.clear(), asks.clear(), rows.clear()
             return pa.RecordBatch.from_pylist([row], pa.schema([("n", pa.int64()), *((c, pa.binary()) for c in ("ids", "asks", "ends", "vectors", "codes", "errors"))]))
 
@@ -268,7 +288,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, rerank_share: f
 
 def _search(own: DataFrame, dim: int, kind: str, folder: str, k: int, rerank_share: float, rerank_least: int) -> DataFrame:
     spark = own.sparkSession
-    books = spark.sparkContext.broadcast(fit(own, dim))  # 16 x dim doubles
+    books = spark.sparkContext.broadcast(fit(own, dim))  # 16 x dim doubles for each stage
     blocks = build(own, books.value, kind, folder)
     _query_blocks(blocks, dim, kind, folder)
     count = blocks.count()

@@ -272,5 +272,6 @@ def test_pairs_are_verified_alike(spark, dense, monkeypatch):
     sets = {i: np.unique(rng.choice(np.arange(60), rng.integers(1, 59), replace=False)).astype(np.uint64) for i in range(30)}
     cells = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "uid long, cells binary")
     every = list(itertools.combinations(range(30), 2))
-    got = near_dedup._verified(spark.createDataFrame(every, "a long, b long"), cells, 0.5).collect()
+    pairs = spark.createDataFrame([(a, b, len(sets[a]), len(sets[b])) for a, b in every], "a long, b long, size_a long, size_b long")
+    got = near_dedup._verified(pairs, len(every), cells, 0.5).collect()
     assert sorted((r["a"], r["b"]) for r in got) == [p for p in every if near_dedup.overlap(sets[p[0]], sets[p[1]], 0.5)]

@@ -215,7 +215,7 @@ def _labelled(source: DataFrame, threshold: float, width: int, bands: int, rows:
 
     task = F.shiftright("uid", 33)  # the task that has numbered the row: no hot key holds more of one task's rows than the task had
     copies = signed.groupBy("copy").agg(F.min("uid").alias("uid"))
-    nodes = materialise(signed.join(copies.select("uid"), "uid", "left_semi").where("size > 0").select("uid", "part", "pos", "bands", "sig"), "nodes")
+    nodes = materialise(signed.join(copies.select("uid"), "uid", "left_semi").where("size > 0").select("uid", "part", "pos", "size", "bands", "sig"), "nodes")
     members = nodes.select("uid", task.alias("task"), F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = materialise(spread_join(members, buckets, "band", "task"), "buckets")  # only buckets of two or more, so most bands are gone
@@ -250,15 +250,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _rated(pairs: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in ``least`` coordinates at least, and in how many."""
+    """The pairs (a, b) whose signatures agree in ``least`` coordinates at least, in how many, and the sizes of both."""
 
     @F.arrow_udf("int")
     def agreeing(left: pa.Array, right: pa.Array) -> pa.Array:
         return pa.array((_bytes(left, k) == _bytes(right, k)).sum(axis=1), pa.int32())
 
-    sig = lambda name, column: nodes.select(F.col("uid").alias(name), F.col("sig").alias(column))
-    rated = spread_join(pairs.distinct().join(sig("b", "sig_b"), "b").withColumn("task", F.shiftright("b", 33)), sig("a", "sig_a"), "a", "task")
-    return rated.select("a", "b", agreeing("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= least)
+    of = lambda end: nodes.select(F.col("uid").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("size").alias(f"size_{end}"))
+    rated = spread_join(pairs.distinct().join(of("b"), "b").withColumn("task", F.shiftright("b", 33)), of("a"), "a", "task")
+    return rated.select("a", "b", agreeing("sig_a", "sig_b").alias("agree"), "size_a", "size_b").where(F.col("agree") >= least)
 
 
 def _likeliest(pairs: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
@@ -333,23 +333,23 @@ def _line(entries: DataFrame, *order: str) -> DataFrame:
 
 def _linked(pairs: DataFrame, labels: DataFrame, cells: DataFrame, nodes: DataFrame, k: int, least: float, threshold: float) -> DataFrame:
     """``labels`` after those of the candidate pairs have been linked that are similar: by signature first, then by their sets."""
-    likely = materialise(_rated(pairs, nodes, k, least).select("a", "b"), "likely")
+    likely = materialise(_rated(pairs, nodes, k, least).drop("agree"), "likely")
+    n = likely.count()
+    if not n:
+        return labels
     with arrow_rows(pairs.sparkSession, BATCH_ROWS):
-        return _merged(labels, materialise(_verified(likely, cells, threshold), "links"))
+        return _merged(labels, materialise(_verified(likely, n, cells, threshold), "links"))
 
 
-def _verified(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """``similar`` where texts may have very many pairs: they are dealt into groups, and the sets of two groups are compared as one product of matrices, so a set is sent once for a group of partners."""
-    ends = materialise(_ends(pairs), "ends")
-    texts, n = ends.count(), pairs.count()
+def _verified(pairs: DataFrame, n: int, cells: DataFrame, threshold: float) -> DataFrame:
+    """``similar`` of the ``n`` pairs (a, b, size_a, size_b) where texts may have very many of them: they are dealt into groups, and the sets of two groups are compared as one product of matrices, so a set is
+    sent once for a group of partners."""
+    ends = pairs.agg(F.approx_count_distinct("a"), F.approx_count_distinct("b")).first()
+    texts = max(1, ends[0], ends[1])
     if n < DENSE * texts:
-        return similar(pairs, cells, threshold)
-    size = F.octet_length("cells") / 8
-    slot = F.when(size > HEAVY, F.xxhash64("uid")).otherwise(F.pmod(F.xxhash64("uid"), F.lit(-(-texts // GROUP))))
-    slots = materialise(ends.join(cells, "uid").select("uid", slot.alias("slot")), "slots")
-    of = lambda end: slots.select(F.col("uid").alias(end), F.col("slot").alias(f"slot_{end}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("slot_a", "slot_b").alias("low"), F.greatest("slot_a", "slot_b").alias("high"))
-    met = materialise(met, "met")
+        return similar(pairs.select("a", "b"), cells, threshold)
+    slot = lambda end: F.when(F.col(f"size_{end}") > HEAVY, F.xxhash64(end)).otherwise(F.pmod(F.xxhash64(end), F.lit(-(-texts // GROUP))))
+    met = pairs.select("a", "b", F.least(slot("a"), slot("b")).alias("low"), F.greatest(slot("a"), slot("b")).alias("high"))
     of = lambda end: met.select(F.col(end).alias("uid"), F.col("low").alias("first"), F.col("high").alias("second"))
     sets = of("a").union(of("b")).distinct().join(cells, "uid").select("first", "second", "uid", "cells")
 

@@ -120,7 +120,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "a
     """One row per page: ``key``, host, path, rule, verdict.
 
     A null, empty or scheme-less url has an empty host and path and fits no rule with a host: it gets the default
-    verdict. Keys may be null or repeat; every row is judged for itself. Other columns are not read.
+    verdict. Of equally long rules that fit, the last one in text order wins, and of a rule that is listed twice the last listing. Keys may be null or repeat; every row is judged for itself. Other columns are not read.
     """
     slim = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"))
 

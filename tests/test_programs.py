@@ -285,6 +285,78 @@ def test_folds_don_t_depend_on_arrow_batches(spark):
     assert [r["listening"] for r in got] == heard
 
 
+# speakers of a sliding window
+
+
+def speaker_rows(values, changes):
+    """The definition, window after window, with the activity machine and the vectors written out."""
+    out, triggered, quiet, now, known, recent, last, seen = [], False, 0, 0, {}, [], 0, 0
+    for at in range(0, len(values) - 11, 4):
+        window, heard = np.array(values[at : at + 12]), 0
+        for k in range(4):
+            p = min(1.0, max(0.0, window[3 * k : 3 * k + 3].mean() / 100))
+            now += 3
+            quiet = 0 if p >= 0.5 else quiet
+            if not triggered:
+                triggered = p >= 0.5
+                heard += triggered
+            elif p >= 0.35:
+                heard += 1
+            else:
+                quiet = quiet or now
+                if now - quiet >= 3:
+                    triggered, quiet = False, 0
+        ident, first, ratio, change = 0, False, 0.0, False
+        if heard >= 2:
+            parts = np.array([window[3 * k : 3 * k + 3].mean() for k in range(4)])
+            v = parts - parts.mean()
+            hits = [k for k, vs in known.items() if any(v @ x / max(np.linalg.norm(v) * np.linalg.norm(x), 1.1920929e-07) > 0.9 for x in vs)]
+            first = not hits
+            if first:
+                last += 1
+                change = changes and bool(known)
+                known = {} if change else known
+                ident = last
+                if not change:
+                    known[ident] = [v]
+            else:
+                ident = max(hits)
+                if len(known[ident]) < (5 if changes else 50):
+                    known[ident].append(v)
+            recent = [*recent, ident][-20:]
+            ratio = 0.0 if first else recent.count(ident) / len(recent)
+        seen += 1
+        if not changes and seen % 121 == 0:
+            known = {k: x for k, x in known.items() if len(x) >= 3 or recent.count(k) / len(recent) >= 0.2}
+        out.append((at, heard >= 2, ident, first, round(ratio, 6), change))
+    return out
+
+
+@pytest.mark.parametrize("changes", [False, True])
+def test_speakers_of_the_whole_table(spark, sf_dir, changes):
+    want = {(u, *r) for u, v in user_values(spark, sf_dir).items() for r in speaker_rows(v, changes)}
+    got = queries._speakers(spark, sf_dir, changes=changes).collect()
+    assert {(r["user_id"], r["start"], r["speaking"], r["ident"], r["is_first"], r["ratio"], r["change"]) for r in got} == want and len(got) == len(want)
+    assert sum(r["change"] for r in got) > 5 if changes else any(r["ident"] and not r["is_first"] for r in got)
+
+
+def test_speakers_in_any_pieces_and_pruned():
+    import json
+
+    import pandas as pd
+
+    values, rng = [r[2] for r in signal(1, 900, seed=5)], random.Random(2)
+    for changes in (False, True):
+        program = tracking.SpeakerTrack(queries.loudness, queries.shape, window=12, hop=4, gate=vad.GateConfig(window=3, threshold=0.5, min_silence=3), least=2, threshold=0.9, changes=changes)
+        state, at, out = program.begin(), 0, []
+        while at < len(values):
+            n = rng.choice([1, 5, 40])
+            out += program.take(state, pd.DataFrame({"value": values[at : at + n]})).to_dict("records")
+            state = json.loads(json.dumps({k: v for k, v in state.items() if k != "held"})) | {"held": state["held"]}  # as a checkpoint keeps it
+            at += n
+        assert [(r["start"], r["speaking"], r["ident"], r["is_first"], round(r["ratio"], 6), r["change"]) for r in out] == speaker_rows(values, changes)
+
+
 # signals
 
 

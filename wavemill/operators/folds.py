@@ -37,11 +37,13 @@ class Program:
         return pd.DataFrame(rows, columns=[c.split()[0] for c in self.output.split(", ")])
 
 
-def _fed(state: dict[str, Any], rows: pd.DataFrame) -> None:
+def fed(state: dict[str, Any], rows: pd.DataFrame) -> None:
+    """The values of some more rows go behind the samples that are held."""
     state["held"] = np.concatenate([state["held"], rows["value"].to_numpy(np.float64)])
 
 
-def _consumed(state: dict[str, Any], n: int) -> None:
+def consumed(state: dict[str, Any], n: int) -> None:
+    """The first n samples that are held are not needed any more."""
     n = min(n, len(state["held"]))
     state["start"] += n
     state["held"] = state["held"][n:].copy()
@@ -65,18 +67,18 @@ class BoundedBuffer(Program):
         return super().begin() | {"written": 0}
 
     def take(self, state: dict[str, Any], rows: pd.DataFrame) -> pd.DataFrame:
-        _fed(state, rows)
+        fed(state, rows)
         out = []
         while state["start"] + len(state["held"]) >= state["written"] + self.block:
             state["written"] += self.block
             lost = state["written"] - state["start"] - self.capacity
             if lost > 0:
                 out.append(("overrun", state["start"], lost, None))
-                _consumed(state, lost)
+                consumed(state, lost)
             for _ in range(self.reads):
                 if state["written"] - state["start"] >= self.window:
                     out.append(("window", state["start"], self.window, state["held"][: self.window].copy()))
-                    _consumed(state, self.hop)
+                    consumed(state, self.hop)
         return self.frame(out)
 
     def finish(self, state: dict[str, Any]) -> pd.DataFrame:
@@ -99,7 +101,7 @@ class WakeThenText(Program):
         return super().begin() | {"listening": False}
 
     def take(self, state: dict[str, Any], rows: pd.DataFrame) -> pd.DataFrame:
-        _fed(state, rows)
+        fed(state, rows)
         out = []
         while len(state["held"]) >= (size := self.sizes[state["listening"]]):
             window, start, hop = state["held"][:size], state["start"], self.hops[state["listening"]]
@@ -109,7 +111,7 @@ class WakeThenText(Program):
             elif self.wake(window):
                 out.append(("wake", start, start + size, None))
                 state["listening"], hop = True, size
-            _consumed(state, hop)
+            consumed(state, hop)
         return self.frame(out)
 
 
@@ -130,7 +132,7 @@ class SpeakerChange(Program):
         return super().begin() | {"reported": 0}
 
     def take(self, state: dict[str, Any], rows: pd.DataFrame) -> pd.DataFrame:
-        _fed(state, rows)
+        fed(state, rows)
         n = max(0, (len(state["held"]) - self.window) // self.hop + 1)
         out = []
         for lo in range(0, n, self.at_once):
@@ -145,7 +147,7 @@ class SpeakerChange(Program):
                 if activity > self.least and k != state["reported"]:
                     state["reported"] = k
                     out.append((state["start"] + first, k, activity))
-        _consumed(state, n * self.hop)
+        consumed(state, n * self.hop)
         return self.frame(out)
 
 

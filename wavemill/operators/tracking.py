@@ -6,16 +6,19 @@ Pure steps over the ordered rows of a stream, batch by batch as in ``operators.v
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from wavemill.operators import vad
 from wavemill.operators.clustering import by_first_appearance, cluster
-from wavemill.operators.folds import chunks_in_order
+from wavemill.operators.folds import RATE, Program, chunks_in_order, consumed, fed
 
 MATCH, RECENT, PRUNE_EVERY, PRUNE_LEAST, PRUNE_SHARE = 0.4, 20, 121, 3, 0.2
+CHANGE_OPTIONS = {"cap": 5, "prune_every": 0}
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -24,11 +27,12 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 @dataclass
 class Tracker:
-    """Ids with their vectors. ``best`` matches the best score instead of the highest id above the threshold."""
+    """Ids with their vectors. ``best`` matches the best score instead of the highest id above the threshold; every ``prune_every`` windows (0: never) rare ids are forgotten."""
 
     threshold: float = MATCH
     cap: int = 50
     best: bool = False
+    prune_every: int = PRUNE_EVERY
     vectors: dict[int, list[np.ndarray]] = field(default_factory=dict)
     last: int = 0
     recent: list[int] = field(default_factory=list)
@@ -60,16 +64,16 @@ class Tracker:
             self.recent = (self.recent + [ident])[-RECENT:]
             out = (ident, first, 0.0 if first else self.share(ident))
         self.windows += 1
-        if self.windows % PRUNE_EVERY == 0:
+        if self.prune_every and self.windows % self.prune_every == 0:
             self.vectors = {k: x for k, x in self.vectors.items() if len(x) >= PRUNE_LEAST or self.share(k) >= PRUNE_SHARE}
         return out
 
 
 @dataclass
 class ChangeDetector:
-    """A new id is a change, unless it is the very first; after a change the tracker starts anew, and ids go on counting."""
+    """A new id is a change, unless it is the very first; after a change the tracker starts anew, and ids go on counting. The specification's program never prunes."""
 
-    tracker: Tracker = field(default_factory=lambda: Tracker(cap=5))
+    tracker: Tracker = field(default_factory=lambda: Tracker(**CHANGE_OPTIONS))
 
     def step(self, vector) -> bool:
         _, first, _ = self.tracker.step(True, vector)
@@ -127,6 +131,53 @@ class Diarist:
         return [self.labels[k] for k in self.keys]
 
 
+class SpeakerTrack(Program):
+    """Who speaks in a sliding window (the specification's track_demo), or whether the speaker has changed (change_id_demo; ``changes``). Survey ids T1, T3, P9, N2, J3, T6, T8.
+
+    A window is cut into whole pieces of ``gate.window`` samples; ``probability`` maps them (n x samples) to scores, which the activity machine follows from window to window. If at least ``least`` pieces start
+    or go on with speech, ``embed`` maps the window to a vector (or None), and the tracker looks for it. Rows: start (sample), speaking, ident, is_first, ratio (0, false and 0 in silence),
+    change (false unless ``changes``).
+    """
+
+    output = "start long, speaking boolean, ident long, is_first boolean, ratio double, change boolean"
+
+    def __init__(self, probability: Callable[[np.ndarray], np.ndarray], embed: Callable[[np.ndarray], np.ndarray | None], window: int = 2 * RATE, hop: int = RATE // 2, gate: vad.GateConfig | None = None, least: int = 6, changes: bool = False, **options):
+        self.probability, self.embed, self.window, self.hop, self.least, self.changes = probability, embed, window, hop, least, changes
+        self.gate = gate or vad.GateConfig(threshold=0.85)
+        self.options = CHANGE_OPTIONS | options if changes else options
+
+    def begin(self) -> dict[str, Any]:
+        return super().begin() | {"gate": asdict(vad.GateState()), "tracker": None}
+
+    def take(self, state: dict[str, Any], rows: pd.DataFrame) -> pd.DataFrame:
+        fed(state, rows)
+        own, gate, out = Tracker(**self.options), vad.GateState(**state["gate"]), []
+        if saved := state["tracker"]:
+            own.vectors = {int(k): [np.array(v) for v in x] for k, x in saved["vectors"].items()}
+            own.last, own.recent, own.windows = saved["last"], saved["recent"], saved["windows"]
+        detector, at = ChangeDetector(own), 0
+        while at + self.window <= len(state["held"]):
+            window = state["held"][at : at + self.window]
+            heard = 0
+            for p in self.probability(window[: self.window // self.gate.window * self.gate.window].reshape(-1, self.gate.window)):
+                gate, code = vad.gate_step(gate, float(p), self.gate)
+                heard += code in (vad.START, vad.SPEAKING)
+            vector = self.embed(window) if heard >= self.least else None
+            last, change = (0, False, 0.0), False
+            if not self.changes:
+                last = own.step(vector is not None, vector)
+            elif vector is not None:
+                before = own.last
+                change = detector.step(vector)
+                last = (own.recent[-1], own.last > before, 0.0 if own.last > before else own.share(own.recent[-1]))
+            out.append((state["start"] + at, heard >= self.least, *last, change))
+            at += self.hop
+        consumed(state, at)
+        state["gate"] = asdict(gate)
+        state["tracker"] = {"vectors": {k: [v.tolist() for v in x] for k, x in own.vectors.items()}, "last": own.last, "recent": own.recent, "windows": own.windows}
+        return self.frame(out)
+
+
 def tracked(rows: DataFrame, stream: str, order: str, vector: str = "embedding", speaking: str | None = None, **options) -> DataFrame:
     """stream, order, ident, is_first, ratio."""
     def take(own: Tracker, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -142,7 +193,7 @@ def changes(rows: DataFrame, stream: str, order: str, vector: str = "embedding",
     def take(own: ChangeDetector, pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[[stream, order]].assign(change=[own.step(v) for v in pdf[vector]])
 
-    return _chunked(rows, lambda: ChangeDetector(Tracker(**({"cap": 5} | options))), take, stream, order, vector, None, "change boolean")
+    return _chunked(rows, lambda: ChangeDetector(Tracker(**(CHANGE_OPTIONS | options))), take, stream, order, vector, None, "change boolean")
 
 
 def diarised(segments: DataFrame, stream: str, order: str, vector: str = "embedding", threshold: float = MATCH) -> DataFrame:

@@ -828,6 +828,31 @@ def speaker_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.folded(scores(spark, sf_dir), program, "user_id").withColumn("activity", r6("activity"))
 
 
+def loudness(pieces):
+    return (pieces.mean(axis=1) / 100).clip(0, 1)
+
+
+def shape(window):
+    """Four means of a window less their mean, as if it were a speaker's embedding."""
+    parts = window.reshape(4, -1).mean(axis=1)
+    return parts - parts.mean()
+
+
+def _speakers(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    program = tracking.SpeakerTrack(loudness, shape, window=12, hop=4, gate=vad.GateConfig(window=3, threshold=0.5, min_silence=3), least=2, threshold=0.9, **options)
+    return folds.folded(scores(spark, sf_dir), program, "user_id").withColumn("ratio", r6("ratio"))
+
+
+@register("speaker_track")
+def speaker_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _speakers(spark, sf_dir)
+
+
+@register("speaker_change_by_identity")
+def speaker_change_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _speakers(spark, sf_dir, changes=True).where("change").select("user_id", "start", "ident")
+
+
 @register("bounded_buffer", f"""
 with recursive s as ({SCORES}), n as (select user_id, count(*) as n from s group by user_id),
 walk as (

@@ -66,7 +66,7 @@ def read_options(defaults: Any, config_lines: list[str], arguments: list[str]) -
     """A dataclass of options with the values of a config file and then of ``--name=value`` arguments. Names are matched in lower case with ``-`` for ``_``; ``#`` begins a comment.
 
     ``--config=file`` among the arguments names a further file, which is read before any argument, so that arguments override it wherever they stand. A field whose metadata has
-    ``unsigned`` takes no negative number.
+    ``unsigned`` takes no negative number. Files are read from the driver's own disk.
     """
     files = [a.partition("=")[2].strip() for a in arguments if a.strip().partition("=")[0].lower() == "--config"]
     config_lines = [*config_lines, *(line for f in files for line in Path(f).read_text(encoding="utf-8").splitlines())]

@@ -12,7 +12,8 @@ bucket's members: first each node meets the likeliest of its buckets' smallest n
 at most SMALL members are compared pair by pair, by signature and then by shingles; in larger ones each member meets one of two leaders drawn by hash, of another component. What is then still apart goes to an exact join by
 rare shingles. Overlap with another component is at most the number of shingles that other components hold too, so a text of which they hold less than
 the threshold's share is done: unlike texts with a common passage leave here, without being compared. The others are listed under the rarest of their shared shingles, as
-many as any similar pair must have one in common of, and entries of a list are compared by size and place, near ones first, in windows that grow until they cover the longest list.
+many as any similar pair must have one in common of, and entries of a list are compared by size, place and signature: first each entry proposes its likeliest partner, and then all candidates that are still apart are
+verified by their shingles.
 No pair that meets in a bucket goes untested unless it is in one component already or can't reach the threshold. Classes are the connected components of verified links.
 
 With 24 bands of 5, a pair at the threshold meets with probability 0.99993. The signature's filter lets pairs through down to five standard
@@ -41,6 +42,7 @@ SMALL = 16
 CHUNK_CELLS, WINDOW, GROUP, HEAVY, COLUMNS, DENSE = 1 << 17, 256, 128, 1 << 14, 2048, 8
 CHUNKS = "uids binary, labels binary, sizes binary, cells binary"
 ENTRIES = "token long, uid long, size long, pos long"
+PAIRS = "a long, b long, size_a long, size_b long"
 #: Texts or pairs of shingle sets that a Python worker holds at once.
 BATCH_ROWS = 1000
 _GAP = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
@@ -215,7 +217,7 @@ def _labelled(source: DataFrame, threshold: float, width: int, bands: int, rows:
 
     task = F.shiftright("uid", 33)  # the task that has numbered the row: no hot key holds more of one task's rows than the task had
     copies = signed.groupBy("copy").agg(F.min("uid").alias("uid"))
-    nodes = materialise(signed.join(copies.select("uid"), "uid", "left_semi").where("size > 0").select("uid", "part", "pos", "size", "bands", "sig"), "nodes")
+    nodes = materialise(signed.join(copies.select("uid"), "uid", "left_semi").where("size > 0").select("uid", "part", "pos", "bands", "sig"), "nodes")
     members = nodes.select("uid", task.alias("task"), F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = materialise(spread_join(members, buckets, "band", "task"), "buckets")  # only buckets of two or more, so most bands are gone
@@ -250,15 +252,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _rated(pairs: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in ``least`` coordinates at least, in how many, and the sizes of both."""
+    """The pairs (a, b) whose signatures agree in ``least`` coordinates at least, and in how many."""
 
     @F.arrow_udf("int")
     def agreeing(left: pa.Array, right: pa.Array) -> pa.Array:
         return pa.array((_bytes(left, k) == _bytes(right, k)).sum(axis=1), pa.int32())
 
-    of = lambda end: nodes.select(F.col("uid").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("size").alias(f"size_{end}"))
+    of = lambda end: nodes.select(F.col("uid").alias(end), F.col("sig").alias(f"sig_{end}"))
     rated = spread_join(pairs.distinct().join(of("b"), "b").withColumn("task", F.shiftright("b", 33)), of("a"), "a", "task")
-    return rated.select("a", "b", agreeing("sig_a", "sig_b").alias("agree"), "size_a", "size_b").where(F.col("agree") >= least)
+    return rated.select("a", "b", agreeing("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= least)
 
 
 def _likeliest(pairs: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
@@ -306,20 +308,22 @@ def _by_rare_shingles(apart: DataFrame, cells: DataFrame, labels: DataFrame, nod
     shingles, so the first that they share, at places i and j of theirs, leaves as many behind it in both: i <= (1-t) n, and
     min(n-i, m-j) reaches that bound.
 
-    First the entries of a list that stand less than WINDOW places apart are compared. Longer lists, with the labels as they are then, are cut into blocks, and a task compares two blocks, unless both
-    hold one and the same component. Candidates are thinned by signature before their shingle sets are fetched.
+    Candidates must agree in ``least`` coordinates of their signatures. First each entry of a block proposes one partner, the likeliest of another component, which joins most of what is similar in as many pairs as
+    there are entries. Then all candidates of components that are still apart are verified: those that stand less than WINDOW places apart in a list, and, of longer lists, block against block, unless
+    both hold one and the same component.
     """
     entries = _entries(apart, cells, threshold)
-    spark = apart.sparkSession
     lengths = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    labels = _linked(_candidates(_line(entries, "token", "size", "uid"), labels, threshold), labels, cells, nodes, k, least, threshold)
+    line = materialise(_line(entries, "token", "size", "uid").select("token", "uid", "size", "pos", "place"), "places")
+    known = lambda labels: labels.select("uid", "label").join(nodes.select("uid", "sig"), "uid")
+    labels = _linked(_candidates(line, known(labels), least, threshold, True), labels, cells, threshold)
+    pairs = _candidates(line, known(labels), least, threshold, False)
     long = materialise(lengths.where(F.col("n") > WINDOW).select("token"), "long")
-    if not long.limit(1).count():
-        return labels
-    own = entries.join(long, "token").join(labels.select("uid", "label"), "uid")
-    line = materialise(_line(own, "token", "label", "size", "uid").withColumn("block", F.expr(f"place div {WINDOW}")), "blocks")
-    with arrow_rows(spark, 20 * BATCH_ROWS):
-        return _linked(_between_blocks(line, threshold), labels, cells, nodes, k, least, threshold)
+    if long.limit(1).count():
+        own = entries.join(long, "token").join(known(labels), "uid")
+        blocks = materialise(_line(own, "token", "label", "size", "uid").withColumn("block", F.expr(f"place div {WINDOW}")), "blocks")
+        pairs = pairs.union(_between_blocks(blocks, least, threshold))
+    return _linked(pairs, labels, cells, threshold)
 
 
 def _line(entries: DataFrame, *order: str) -> DataFrame:
@@ -331,9 +335,9 @@ def _line(entries: DataFrame, *order: str) -> DataFrame:
     return line.join(F.broadcast(entries.sparkSession.createDataFrame(bases, "range long, base long")), "range").withColumn("place", F.col("id") + F.col("base"))
 
 
-def _linked(pairs: DataFrame, labels: DataFrame, cells: DataFrame, nodes: DataFrame, k: int, least: float, threshold: float) -> DataFrame:
-    """``labels`` after those of the candidate pairs have been linked that are similar: by signature first, then by their sets."""
-    likely = materialise(_rated(pairs, nodes, k, least).drop("agree"), "likely")
+def _linked(pairs: DataFrame, labels: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """``labels`` after those of the candidate pairs (PAIRS) have been linked that are similar."""
+    likely = materialise(pairs.distinct(), "likely")
     n = likely.count()
     if not n:
         return labels
@@ -341,6 +345,24 @@ def _linked(pairs: DataFrame, labels: DataFrame, cells: DataFrame, nodes: DataFr
         return _merged(labels, materialise(_verified(likely, n, cells, threshold), "links"))
 
 
+def _alike(rows: pa.Table, i: np.ndarray, j: np.ndarray, least: float, best: bool) -> pa.Table:
+    """PAIRS of the rows (uid, size, sig) at places i and j whose signatures agree in ``least`` coordinates at least; with ``best``, of each row's pairs only the one that agrees most (then of the smallest uid)."""
+    uid, size = rows["uid"].to_numpy(), rows["size"].to_numpy()
+    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(uid), -1)
+    agree = np.concatenate([np.zeros(0, np.int64), *((sig[i[lo : lo + 8192]] == sig[j[lo : lo + 8192]]).sum(axis=1) for lo in range(0, len(i), 8192))])
+    ok = agree >= least
+    i, j, agree = i[ok], j[ok], agree[ok]
+    if best:
+        one, other, both = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
+        order = np.lexsort((uid[other], -both, one))
+        first = order[np.append(True, one[order][1:] != one[order][:-1])] if len(order) else order
+        i, j = one[first], other[first]
+    swap = uid[i] > uid[j]
+    a, b = np.where(swap, j, i), np.where(swap, i, j)
+    found = np.unique(np.stack([uid[a], uid[b], size[a], size[b]]), axis=1) if len(a) else np.zeros((4, 0), np.int64)
+    return pa.table(dict(zip(("a", "b", "size_a", "size_b"), map(pa.array, found), strict=True)))
+
+
 def _verified(pairs: DataFrame, n: int, cells: DataFrame, threshold: float) -> DataFrame:
     """``similar`` of the ``n`` pairs (a, b, size_a, size_b) where texts may have very many of them: they are dealt into groups, and the sets of two groups are compared as one product of matrices, so a set is
     sent once for a group of partners."""
@@ -378,8 +400,8 @@ def _verified(pairs: DataFrame, n: int, cells: DataFrame, threshold: float) -> D
     return sets.groupBy("first", "second").cogroup(met.groupBy("low", "high")).applyInArrow(compared, "a long, b long")
 
 
-def _between_blocks(line: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components in the lists of the rows (token, uid, size, pos, label, block) that may be similar by size and place; a task takes two blocks of a list."""
+def _between_blocks(line: DataFrame, least: float, threshold: float) -> DataFrame:
+    """PAIRS of different components in the lists of the rows (token, uid, size, pos, label, sig, block) that may be similar by size, place and signature; a task takes two blocks of a list."""
     parts = materialise(line.groupBy("token", "block").agg(F.min("label").alias("least"), F.max("label").alias("most")), "parts")
     low, high = (parts.select("token", F.col("block").alias(side), F.col("least").alias(f"least_{side}"), F.col("most").alias(f"most_{side}")) for side in ("low", "high"))
     one = (F.col("least_low") == F.col("most_low")) & (F.col("least_high") == F.col("most_high")) & (F.col("least_low") == F.col("least_high"))
@@ -387,18 +409,15 @@ def _between_blocks(line: DataFrame, threshold: float) -> DataFrame:
     rows = tasks.select("*", F.explode(F.array_distinct(F.array("low", "high"))).alias("block")).join(line, ["token", "block"])
 
     def pairs(rows: pa.Table) -> pa.Table:
-        uid, size, pos, label, block = (rows[c].to_numpy() for c in ("uid", "size", "pos", "label", "block"))
+        size, pos, label, block = (rows[c].to_numpy() for c in ("size", "pos", "label", "block"))
         behind, need = size - pos, threshold / (1 + threshold)
-        one, other = (block == block.min()), (block == block.max())
-        x, y = np.flatnonzero(one), np.flatnonzero(other)
+        x, y = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         ok = label[x][:, None] != label[y]
         ok &= np.minimum(behind[x][:, None], behind[y]) >= need * (size[x][:, None] + size[y]) - 1e-9
         i, j = np.nonzero(ok)
-        a, b = uid[x[i]], uid[y[j]]
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+        return _alike(rows, x[i], y[j], least, False)
 
-    return rows.select("token", "low", "high", "uid", "size", "pos", "label", "block").groupBy("token", "low", "high").applyInArrow(pairs, "a long, b long")
+    return rows.select("token", "low", "high", "uid", "size", "pos", "label", "sig", "block").groupBy("token", "low", "high").applyInArrow(pairs, PAIRS)
 
 
 def _entries(apart: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
@@ -473,32 +492,31 @@ def _entries(apart: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     return stored(spark, f"{folder}/entries", ENTRIES)
 
 
-def _candidates(line: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that stand less than WINDOW places apart in one list and may be similar by size and place.
+def _candidates(line: DataFrame, known: DataFrame, least: float, threshold: float, best: bool) -> DataFrame:
+    """PAIRS of different components that stand less than WINDOW places apart in one list and may be similar by size, place and signature (with ``best`` as in ``_alike``). known: uid, label, sig.
 
     The line of all lists is cut every WINDOW places; an entry goes to its own block and, to be met by later entries, to the next one.
     """
-    own = line.join(labels.select("uid", "label"), "uid").withColumn("block", F.expr(f"place div {WINDOW}"))
+    own = line.join(known, "uid").withColumn("block", F.expr(f"place div {WINDOW}"))
     rows = own.withColumn("after", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("block", F.col("block") + F.col("after"))
 
     def pairs(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("place")
-        token, uid, size, pos, label, place, after = (rows[c].to_numpy() for c in ("token", "uid", "size", "pos", "label", "place", "after"))
-        found = [(uid[:0], uid[:0])]
+        token, size, pos, label, place, after = (rows[c].to_numpy() for c in ("token", "size", "pos", "label", "place", "after"))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         behind, need = size - pos, threshold / (1 + threshold)
-        for d in range(1, min(WINDOW, len(uid))):
+        for d in range(1, min(WINDOW, len(token))):
             same = token[d:] == token[:-d]
             if not same.any():
                 break
             apart = place[d:] - place[:-d]  # no smaller than d: entries of other blocks are missing only at the ends
             ok = same & (apart < WINDOW) & (after[d:] == 0) & (label[d:] != label[:-d])
             ok &= np.minimum(behind[d:], behind[:-d]) >= need * (size[d:] + size[:-d]) - 1e-9
-            at = np.flatnonzero(ok)
-            found.append((np.minimum(uid[at], uid[at + d]), np.maximum(uid[at], uid[at + d])))
-        both = np.unique(np.stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])]), axis=1)
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+            left.append(np.flatnonzero(ok))
+            right.append(left[-1] + d)
+        return _alike(rows, np.concatenate(left), np.concatenate(right), least, best)
 
-    return rows.select("block", "token", "uid", "size", "pos", "label", "place", "after").groupBy("block").applyInArrow(pairs, "a long, b long")
+    return rows.select("block", "token", "uid", "size", "pos", "label", "sig", "place", "after").groupBy("block").applyInArrow(pairs, PAIRS)
 
 
 def _cells(source: DataFrame, wanted: DataFrame, folder: str, width: int) -> DataFrame:

@@ -107,8 +107,25 @@ SHARE = (lambda x: 0 <= x <= 1, "must lie in 0 to 1")
 EXISTING_FILE = (lambda x: Path(x).is_file(), "there is no such file")
 
 
+def two_places(x: Column) -> Column:
+    """A double with two decimals, rounded by its exact binary value and half to even, as C and SQL print it. (``%.2f`` of the JVM rounds its shortest decimal half up: 0.125 to 0.13, 0.285 to 0.29.)
+
+    Whether a fraction is above the middle of two hundredths is the sign of fraction * 200 - (2 k + 1), which is exact when the fraction is cut into a float and the rest.
+    """
+    x = x.cast("double")
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole
+    head, k = part.cast("float").cast("double"), F.floor(part * 100)
+    above = (head * 200 - (2 * k + 1)) + (part - head) * 200
+    n = k + F.when((above > 0) | ((above == 0) & (k % 2 == 1)), 1).otherwise(0)
+    digits = F.concat((whole + F.floor(n / 100)).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    text = F.when(size < 2.0**63, digits).when(F.isnan(x), "nan").when(size == float("inf"), "inf").otherwise(F.format_string("%.2f", size))
+    return F.when(x.isNotNull(), F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), text))
+
+
 def segment_line(start: Column, end: Column, text: Column) -> Column:
-    return F.format_string("Time: [%.2fs ~ %.2fs], Text: %s", start.cast("double"), end.cast("double"), text)
+    return F.format_string("Time: [%ss ~ %ss], Text: %s", two_places(start), two_places(end), text)
 
 
 def append_segments(rows: DataFrame, path: str) -> None:
@@ -125,7 +142,7 @@ def write_diary(rows: DataFrame, path: str, by_speaker: bool = False) -> None:
 
 def status_line(ident: Column, first: Column, ratio: Column) -> Column:
     """``id/first/ratio``."""
-    return F.format_string("%d/%d/%.2f", ident.cast("long"), first.cast("int"), ratio.cast("double"))
+    return F.format_string("%d/%d/%s", ident.cast("long"), first.cast("int"), two_places(ratio))
 
 
 def latest_status(rows: DataFrame, stream: str, order: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Agglomerative clustering of embeddings by centroid linkage. SURVEY ids: C1-C9, A4, A5, A14, J4, J5, O10, P15.
 
 Clustering is per group (a recording, a stream); groups run in parallel. Merges are sequential by nature, but a group takes memory for its vectors only, and time for the
-square of their number. What follows the linkage (sizes, reassignment, renumbering) is cheap and stays with it.
+square of their number (rows are compared in blocks of BLOCK x 8 BLOCK). What follows the linkage (sizes, reassignment, renumbering) is cheap and stays with it.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 CUTOFF, MERGE_DISTANCE, MIN_LARGE = 0.8853814381597874, 0.7, 1
+BLOCK = 128
 
 
 class _Centroids:
@@ -28,9 +29,12 @@ class _Centroids:
     def drop(self, place: int) -> None:
         self.alive[self.at[place]] = False
         if 2 * int(self.alive.sum()) < len(self.alive):
-            keep = self.alive
-            self.c, self.place, self.square, self.alive = self.c[keep], self.place[keep], self.square[keep], self.alive[keep]
-            self.at[self.place] = np.arange(len(self.place))
+            self.compact()
+
+    def compact(self) -> None:
+        keep = self.alive
+        self.c, self.place, self.square, self.alive = self.c[keep], self.place[keep], self.square[keep], self.alive[keep]
+        self.at[self.place] = np.arange(len(self.place))
 
     def move(self, place: int, v: np.ndarray) -> None:
         k = self.at[place]
@@ -39,7 +43,11 @@ class _Centroids:
     def rough(self, place: int) -> np.ndarray:
         """Squared distances to all rows, with the rounding of a product; infinite for merged rows and the place itself."""
         k = self.at[place]
-        d = np.maximum(0, self.square + self.square[k] - 2 * (self.c @ self.c[k]))
+        d = self.c @ self.c[k]
+        d *= -2
+        d += self.square
+        d += self.square[k]
+        np.maximum(d, 0, out=d)
         d[~self.alive] = np.inf
         d[k] = np.inf
         return d
@@ -59,12 +67,34 @@ class _Centroids:
         best = int(d.argmin())
         return float(d[best]), int(self.place[rows[best]])
 
+    def all_nearest(self) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest`` of every row, block by block, after merged rows are dropped."""
+        self.compact()
+        n = len(self.place)
+        distance, near = np.full(n, np.inf), np.full(n, -1)
+        for lo in range(0, n, BLOCK):
+            own = np.arange(lo, min(n, lo + BLOCK))
+            for other in range(lo, n, 8 * BLOCK):
+                part = np.arange(other, min(n, other + 8 * BLOCK))
+                rough = np.maximum(0, self.square[own, None] + self.square[part] - 2 * (self.c[own] @ self.c[part].T))
+                rough[part <= own[:, None]] = np.inf
+                low = np.minimum(rough.min(axis=1), distance[own] ** 2) + self.slack
+                i, j = np.nonzero((rough <= low[:, None]) & np.isfinite(rough))
+                d = np.sqrt(((self.c[part[j]] - self.c[own[i]]) ** 2).sum(axis=1))
+                order = np.lexsort((j, d, i))
+                rows, first = np.unique(i[order], return_index=True)
+                d, j = d[order[first]], part[j[order[first]]]
+                nearer = d < distance[own[rows]]
+                distance[own[rows[nearer]]], near[own[rows[nearer]]] = d[nearer], self.place[j[nearer]]
+        return distance, near
+
 
 def linkage(points: np.ndarray) -> np.ndarray:
     """n-1 merges (low id, high id, distance, size); merge k makes the cluster n+k, in the place of the second. Ties go to the lowest pair of places.
 
     Memory is linear in the points: distances are computed from the centroids when they are needed. A place keeps its nearest later place, or, once that one has moved away, its old distance as
-    a lower bound that is made good when it comes up. Equal points are merged first, without distances.
+    a lower bound that is made good when it comes up; the next merge is looked for in the array of these, since a queue of all that was ever near grows with the square of the points.
+    Equal points are merged first, without distances.
     """
     n = len(points)
     points = np.asarray(points, np.float64)
@@ -91,21 +121,19 @@ def linkage(points: np.ndarray) -> np.ndarray:
             if at + 2 < len(g):
                 heapq.heappush(groups, (y, at + 1, g))
 
-    near, near_at, stale, version = np.full(n, -1), np.full(n, np.inf), np.zeros(n, bool), np.zeros(n, np.int64)
-    heap: list[tuple[float, int, int]] = []
+    near, near_at, stale = np.full(n, -1), np.full(n, np.inf), np.zeros(n, bool)
 
     def keep(i: int, distance: float, j: int) -> None:
         near[i], near_at[i], stale[i] = j, distance, False
-        version[i] += 1
-        if j >= 0:
-            heapq.heappush(heap, (distance, i, int(version[i])))
 
-    for i in left.place[left.alive].tolist():
-        keep(i, *left.nearest(i))
+    if done < n - 1:
+        distances, places = left.all_nearest()
+        near_at[left.place], near[left.place] = distances, places
     while done < n - 1:
-        distance, x, v = heapq.heappop(heap)
-        if v != version[x]:
-            continue
+        x = int(near_at.argmin())
+        distance = float(near_at[x])
+        if not np.isfinite(distance):
+            raise ValueError("the distances of the vectors are beyond the range of numbers")
         if stale[x]:
             keep(x, *left.nearest(x))
             continue
@@ -113,7 +141,7 @@ def linkage(points: np.ndarray) -> np.ndarray:
         a, b = left.c[left.at[x]], left.c[left.at[y]]
         middle = np.where(a == b, a, (size[x] * a + size[y] * b) / (size[x] + size[y]))
         merge(x, y, distance)
-        version[x] += 1
+        near_at[x] = np.inf
         left.move(y, middle)
         left.drop(x)
         rough = left.rough(y)
@@ -125,8 +153,7 @@ def linkage(points: np.ndarray) -> np.ndarray:
         nearer = (d < near_at[i]) | ((d == near_at[i]) & ~stale[i] & (y < near[i]))
         moved = before[left.alive[:stop] & ((near[before] == x) | (near[before] == y))]
         stale[moved] = True
-        for k in np.flatnonzero(nearer).tolist():
-            keep(int(i[k]), float(d[k]), y)
+        near[i[nearer]], near_at[i[nearer]], stale[i[nearer]] = y, d[nearer], False
         keep(y, *left.nearest(y, rough))
     return out
 
@@ -170,12 +197,14 @@ def cluster(points: np.ndarray, cutoff: float = CUTOFF, min_large: int = MIN_LAR
         return np.zeros(n, np.int64)
     small = np.flatnonzero((sizes > 0) & (sizes < min_large))
     if len(small):
-        mean = np.stack([points[labels == k].mean(axis=0) for k in range(len(sizes))])
-        unit = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-300)
-        away = 1 - unit[small] @ unit[large].T
-        for k, row in zip(small, away, strict=True):
-            if row.min() < merge_distance:
-                labels[labels == k] = large[row.argmin()]
+        members = np.split(np.argsort(labels, kind="stable"), np.cumsum(sizes)[:-1])
+        mean = np.stack([points[own].mean(axis=0) for own in members])
+        unit, to = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-300), np.arange(len(sizes))
+        for k in range(0, len(small), BLOCK):
+            own = small[k : k + BLOCK]
+            away = 1 - unit[own] @ unit[large].T
+            to[own] = np.where(away.min(axis=1) < merge_distance, large[away.argmin(axis=1)], own)
+        labels = to[labels]
     return by_first_appearance(labels)
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from wavemill.operators.timeline import ONSET
 
 RATE = 16000
+#: Rows that a fold reads, over streams, before it hands on what they gave.
+GATHERED = 10_000
 
 
 class Program:
@@ -169,20 +171,29 @@ def folded(rows: DataFrame, program: Program, stream: str = "stream_id", order:
     """stream and the program's output. A stream takes one task, which holds a batch of its rows and the program's state; a null value counts as NaN."""
     slim = rows.select(stream, order, *program.columns)
 
-    def run(pieces: Iterator[tuple[Any, bool, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+    def outputs(pieces: Iterator[tuple[Any, bool, pd.DataFrame]]) -> Iterator[tuple[Any, pd.DataFrame, int]]:
         state, last = None, None
-
-        def named(name: Any, out: pd.DataFrame) -> pd.DataFrame:
-            out.insert(0, stream, name)
-            return out
-
         for name, first, part in pieces:
             if first:
                 if state is not None:
-                    yield named(last, program.finish(state))
+                    yield last, program.finish(state), 0
                 state, last = program.begin(), name
-            yield named(name, program.take(state, part))
+            yield name, program.take(state, part), len(part)
         if state is not None:
-            yield named(last, program.finish(state))
+            yield last, program.finish(state), 0
+
+    def run(pieces: Iterator[tuple[Any, bool, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        """Short streams give a few rows each: these are handed on together."""
+        held, size = [], 0
+        for name, out, read in outputs(pieces):
+            size += read
+            if len(out):
+                out.insert(0, stream, name)
+                held.append(out)
+            if size >= GATHERED and held:
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+                held, size = [], 0
+        if held:
+            yield pd.concat(held, ignore_index=True)
 
     return chunks_in_order(slim, stream, order, run, f"{stream} {slim.schema[stream].dataType.simpleString()}, {program.output}")

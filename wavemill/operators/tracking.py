@@ -5,6 +5,7 @@ Pure steps over the ordered rows of a stream, batch by batch as in ``operators.v
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from typing import Any
@@ -19,10 +20,15 @@ from wavemill.operators.folds import RATE, Program, chunks_in_order, consumed, f
 
 MATCH, RECENT, PRUNE_EVERY, PRUNE_LEAST, PRUNE_SHARE = 0.4, 20, 121, 3, 0.2
 CHANGE_OPTIONS = {"cap": 5, "prune_every": 0}
+EPSILON = float(np.finfo(np.float32).eps)
+
+
+def length(v: np.ndarray) -> float:
+    return math.sqrt(v.dot(v))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    return float(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), np.finfo(np.float32).eps))
+    return float(a @ b / max(length(a) * length(b), EPSILON))
 
 
 @dataclass
@@ -37,9 +43,22 @@ class Tracker:
     last: int = 0
     recent: list[int] = field(default_factory=list)
     windows: int = 0
+    known: dict[int, tuple[list[np.ndarray], list[float]]] = field(default_factory=dict, init=False, repr=False, compare=False)
+
+    def lengths(self, ident: int) -> list[float]:
+        """The lengths of an id's vectors, each computed once."""
+        xs = self.vectors[ident]
+        kept = self.known.get(ident)
+        if kept is None or kept[0] is not xs or len(kept[1]) > len(xs):
+            if len(self.known) > 2 * len(self.vectors) + 8:
+                self.known = {k: x for k, x in self.known.items() if k in self.vectors}
+            kept = self.known[ident] = (xs, [])
+        kept[1].extend(length(x) for x in xs[len(kept[1]) :])
+        return kept[1]
 
     def match(self, v: np.ndarray) -> int:
-        scores = {k: max(cosine(v, x) for x in xs) for k, xs in self.vectors.items() if xs}
+        own = length(v)
+        scores = {k: max([float(v.dot(x)) / max(own * n, EPSILON) for x, n in zip(xs, self.lengths(k), strict=True)]) for k, xs in self.vectors.items() if xs}
         hits = {k: s for k, s in scores.items() if s > self.threshold}
         if not hits:
             return -1
@@ -134,14 +153,15 @@ class Diarist:
 class SpeakerTrack(Program):
     """Who speaks in a sliding window (the specification's track_demo), or whether the speaker has changed (change_id_demo; ``changes``). Survey ids T1, T3, P9, N2, J3, T6, T8.
 
-    A window is cut into whole pieces of ``gate.window`` samples; ``probability`` maps them (n x samples) to scores, which the activity machine follows from window to window. If at least ``least`` pieces start
+    A window is cut into whole pieces of ``gate.window`` samples; ``probability`` maps them (n x samples; the pieces of up to ``at_once`` windows in a call) to scores, which the activity machine follows from window to window. If at least ``least`` pieces start
     or go on with speech, ``embed`` maps the window to a vector (or None), and the tracker looks for it. Rows: start (sample), speaking, ident, is_first, ratio (0, false and 0 in silence),
     change (false unless ``changes``).
     """
 
     output = "start long, speaking boolean, ident long, is_first boolean, ratio double, change boolean"
 
-    def __init__(self, probability: Callable[[np.ndarray], np.ndarray], embed: Callable[[np.ndarray], np.ndarray | None], window: int = 2 * RATE, hop: int = RATE // 2, gate: vad.GateConfig | None = None, least: int = 6, changes: bool = False, **options):
+    def __init__(self, probability: Callable[[np.ndarray], np.ndarray], embed: Callable[[np.ndarray], np.ndarray | None], window: int = 2 * RATE, hop: int = RATE // 2, gate: vad.GateConfig | None = None, least: int = 6, changes: bool = False, at_once: int = 64, **options):
+        self.at_once = at_once
         self.probability, self.embed, self.window, self.hop, self.least, self.changes = probability, embed, window, hop, least, changes
         self.gate = gate or vad.GateConfig(threshold=0.85)
         self.options = CHANGE_OPTIONS | options if changes else options
@@ -156,11 +176,17 @@ class SpeakerTrack(Program):
             own.vectors = {int(k): [np.array(v) for v in x] for k, x in saved["vectors"].items()}
             own.last, own.recent, own.windows = saved["last"], saved["recent"], saved["windows"]
         detector, at = ChangeDetector(own), 0
-        while at + self.window <= len(state["held"]):
+        n = max(0, (len(state["held"]) - self.window) // self.hop + 1)
+        pieces = self.window // self.gate.window
+        for k in range(n):
+            if k % self.at_once == 0:
+                firsts = np.arange(k, min(n, k + self.at_once)) * self.hop
+                cut = state["held"][firsts[:, None] + np.arange(pieces * self.gate.window)].reshape(-1, self.gate.window)
+                scores = np.asarray(self.probability(cut), np.float64).reshape(len(firsts), pieces).tolist()
             window = state["held"][at : at + self.window]
             heard = 0
-            for p in self.probability(window[: self.window // self.gate.window * self.gate.window].reshape(-1, self.gate.window)):
-                gate, code = vad.gate_step(gate, float(p), self.gate)
+            for p in scores[k % self.at_once]:
+                gate, code = vad.gate_step(gate, p, self.gate)
                 heard += code in (vad.START, vad.SPEAKING)
             vector = self.embed(window) if heard >= self.least else None
             last, change = (0, False, 0.0), False

@@ -42,15 +42,14 @@ def gate_step(state: GateState, p: float, c: GateConfig) -> tuple[GateState, int
     """One window of machine A. A score in the margin keeps speech going without ending a silence run; only a score at the threshold does that."""
     now, high, low = state.now + c.window, p >= c.threshold, p < c.threshold - MARGIN
     quiet = 0 if high else state.silence_from
-    s = replace(state, now=now, silence_from=quiet)
     if not state.triggered:
-        return (replace(s, triggered=True, start=now - c.window - c.pad), START) if high else (s, SILENCE)
+        return (GateState(True, quiet, now, now - c.window - c.pad, state.end), START) if high else (GateState(False, quiet, now, state.start, state.end), SILENCE)
     if not low:
-        return s, SPEAKING
+        return GateState(True, quiet, now, state.start, state.end), SPEAKING
     quiet = quiet or now
     if now - quiet < c.min_silence:
-        return replace(s, silence_from=quiet), UNDECIDED
-    return replace(s, triggered=False, silence_from=0, end=quiet + c.pad), END
+        return GateState(True, quiet, now, state.start, state.end), UNDECIDED
+    return GateState(False, 0, now, state.start, quiet + c.pad), END
 
 
 @dataclass(frozen=True)
